@@ -49,7 +49,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     alive = hashed.where("alive")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("rid"))).alias("first")
-    groups = alive.groupBy("sha256").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1")
+    # Written, so that the join below has a plain exchange on either side and can be split where it is skewed.
+    groups = materialise(alive.groupBy("sha256").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1"), "dedup-groups")
     met = alive.join(groups, "sha256", "left")
     one = F.col("n").isNull()
     found = met.select(

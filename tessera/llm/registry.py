@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash
+from . import exact_dedup, mixing, quality_rules, sharding, simhash, spm, store, token_orc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -21,6 +27,31 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha256").alias("text_sha256"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spm.round_trips(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return rows.withColumnRenamed("id", "doc_id")
+
+
+def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = store.scratch_path(spark, "tokens")
+    token_orc.write_tokens(_table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"))
+    return token_orc.token_layout(spark, path)
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.sharded(_table(spark, sf_dir, "documents"), 8)
+    return rows.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(_table(spark, sf_dir, "documents")).drop("th").withColumnRenamed("id", "doc_id")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mixed(_table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(_table(spark, sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -276,7 +276,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tied = materialise(tied.join(fps, "fp"), "simhash-tied")
     least = tied.groupBy("root").agg(F.min("low").alias("component"))
     moved = tied.join(least, "root").select("fp", "component")
-    by_fp = fps.join(moved, "fp", "left").select("fp", F.coalesce("component", "low").alias("first"))
+    # Written, so that the join with all rows has a plain exchange on either side and can be split where it is skewed.
+    by_fp = materialise(fps.join(moved, "fp", "left").select("fp", F.coalesce("component", "low").alias("first")), "simhash-components")
     kept = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
     return prints.join(by_fp, "fp", "left").select("id", "th", "fp", F.col("first.id").alias("component_id"), kept.alias("keep"))
 
