@@ -1,28 +1,58 @@
-"""From raw documents to token ids: five stages, each one of the pipeline operators."""
+"""From raw documents to piece ids: five stages, each one of the pipeline operators.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, simhash
+from tessera.llm import exact_dedup, mixing, quality_rules, simhash, spm
+from tessera.llm.registry import tokenizer_file
+from tessera.llm.store import materialise
+
+
+def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or diverge from every language go."""
+    return quality_rules.filter_documents(docs)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each distinct normalised text stays, the one with the smallest id."""
     return exact_dedup.exact_dedup(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near fingerprints stays, the one with the smallest id."""
     return simhash.near_dedup(docs)
 
 
-STAGES = [("exact dedup", exact_dedup_stage), ("near dedup", near_dedup_stage)]
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.mix_documents(docs)
+
+
+def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every whole text, and the text that they decode to."""
+    path = tokenizer_file("piece_bpe_32k.model")
+    return spm.decode(spm.encode(docs, path), path)
+
+
+STAGES = [
+    ("quality rules", quality_rules_stage),
+    ("exact dedup", exact_dedup_stage),
+    ("near dedup", near_dedup_stage),
+    ("mixing", mixing_stage),
+    ("sentencepiece", sentencepiece_stage),
+]
 
-#: SQL can't express the fingerprints, the divergence rules or the pieces; the tests hold run() against brute force.
+#: SQL can't express the divergence rules, the fingerprints or the pieces; the tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what each keeps is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -235,7 +236,7 @@ def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     judge = _judge(refs)
 
     @F.pandas_udf("boolean")
-    def kept(texts: Iterator) -> Iterator:  # of pandas Series
+    def kept(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = _Known()
         for series in texts:
             n = len(series)
