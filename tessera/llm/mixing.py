@@ -31,7 +31,7 @@ WORDS = r"[^\x20\x09-\x0D]+"
 #: Remaining budget, in words, that the dynamic programme fits.
 DP_BUDGET = 4096
 #: Documents of one (source, size) that one task sorts at most, on average.
-RANGE_ROWS = 4096
+RANGE_ROWS = 512
 
 
 def size_of(text: Column) -> Column:
