@@ -22,7 +22,8 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from array import array
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -36,45 +37,73 @@ from .store import materialise, quoted
 END_ID = 2
 #: Bytes of text in a file, about; also the number of ids after which ORC begins a row group.
 FILE_BYTES, ROW_STRIDE = 32 << 20, 1000
-#: Pieces that a worker's cache holds.
+#: Pieces that a generation of a worker's cache holds (of about 200 bytes; there are two generations).
 CACHE_PIECES = 400_000
 #: Characters of stable class beyond ASCII: the letters of Latin-1 and of the Latin extensions A and B.
 _UNSURE = re.compile("[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ɏ]")
-_MIXED_SPACE = re.compile(r" \s|\s ")
+#: White space on either side of a space; the other kinds of white space are unsure characters.
+_RUNS = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
+
+
+class Recent:
+    """A mapping of bounded size: a full generation becomes the old one, and what is used of it comes back."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def lookup(self, keys: list[str]) -> list[bytes | None]:
+        return list(map(self.new.get, keys))
+
+    def fill(self, missing: set[str], make: Callable[[list[str]], list[bytes]]) -> None:
+        if len(self.new) > self.limit:
+            self.old, self.new = self.new, {}
+        unknown = []
+        for k in missing:
+            got = self.old.get(k)
+            if got is None:
+                unknown.append(k)
+            else:
+                self.new[k] = got
+        self.new.update(zip(unknown, make(unknown)))
 
 
 class PieceEncoder:
     """Texts to little-endian unsigned 32-bit ids."""
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.later: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        self.later, self.first = Recent(CACHE_PIECES), Recent(CACHE_PIECES // 10)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _fill(self, cache: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        missing = [p for p in pieces if p not in cache]
-        cache.update(zip(missing, self._ids([lead + p for p in missing])))
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _looked_up(self, cache: Recent, pieces: list[list[str]], lead: str) -> list[list[bytes]]:
+        got = [cache.lookup(p) for p in pieces]
+        open_ = [i for i, g in enumerate(got) if None in g]
+        if open_:
+            missing = {p for i in open_ for p, g in zip(pieces[i], got[i]) if g is None}
+            cache.fill(missing, lambda unknown: self._ids([lead + p for p in unknown]))
+            for i in open_:
+                got[i] = [cache.new[p] if g is None else g for p, g in zip(pieces[i], got[i])]
+        return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [not (_MIXED_SPACE.search(t) or _UNSURE.search(t) or any(s in t for s in self.special)) and t[-1:] != " " for t in texts]
+        whole = [i for i, t in enumerate(texts) if t[-1:] == " " or any(r in t for r in _RUNS) or _UNSURE.search(t) or any(s in t for s in self.special)]
         out = [b""] * len(texts)
-        whole = [i for i, ok in enumerate(plain) if not ok]
         for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
             out[i] = ids
-        cut = {i: texts[i].split(" ") for i, ok in enumerate(plain) if ok}
-        self._fill(self.later, {p for pieces in cut.values() for p in pieces[1:]}, " ")
-        self._fill(self.first, {pieces[0] for pieces in cut.values()}, "")
-        for i, pieces in cut.items():
-            out[i] = self.first[pieces[0]] + b"".join(map(self.later.__getitem__, pieces[1:]))
+        rest = sorted(set(range(len(texts))) - set(whole))
+        cut = [texts[i].split(" ") for i in rest]
+        first = self._looked_up(self.first, [p[:1] for p in cut], "")
+        later = self._looked_up(self.later, [p[1:] for p in cut], " ")
+        for i, a, b in zip(rest, first, later):
+            out[i] = a[0] + b"".join(b)
         return out
 
 
