@@ -7,7 +7,7 @@ piece and are written as the byte pieces of their UTF-8 form.
 
 In the models at hand a piece has the word mark only at its front. So no piece spans a character that is not the
 mark and a mark after it, every best path passes through such a place, and the parts between can be solved
-apart: the operator solves each distinct part once and keeps it in a bounded cache. (A model with other
+apart: the operator solves each distinct part and keeps it in a bounded cache. (A model with other
 pieces is solved text by text.)
 
 The score of a path is the sum of its pieces' scores: SentencePiece's unigram rule. The model file that ships with the
@@ -21,10 +21,11 @@ space; nothing else is changed. Nulls count as empty texts, which have no ids an
 from __future__ import annotations
 
 import zlib
-from collections import deque
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,46 +35,12 @@ from .store import free_names, quoted
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Distinct parts that a worker's cache holds.
-CACHE_PARTS = 400_000
+#: Distinct parts that a generation of a worker's cache holds (of about 200 bytes; there are two generations).
+CACHE_PARTS = 600_000
 #: Kinds of pieces in a model file that may be matched in a text: normal and user-defined.
 _MATCHED, _BYTE = (1, 4), 6
 
 
-class Automaton:
-    """Goto, failure and output links over pieces, states numbered breadth first."""
-
-    def __init__(self, pieces: dict[str, int]):
-        self.goto: list[dict[str, int]] = [{}]
-        self.piece = [-1]
-        self.length = [0]
-        for text, index in pieces.items():
-            state = 0
-            for ch in text:
-                nxt = self.goto[state].get(ch)
-                if nxt is None:
-                    nxt = self.goto[state][ch] = len(self.goto)
-                    self.goto.append({})
-                    self.piece.append(-1)
-                    self.length.append(self.length[state] + 1)
-                state = nxt
-            self.piece[state] = index
-        self.fail = [0] * len(self.goto)
-        #: The nearest state on the failure path (itself excluded) that ends a piece, 0 if there is none.
-        self.output = [0] * len(self.goto)
-        queue = deque(self.goto[0].values())
-        while queue:
-            state = queue.popleft()
-            for ch, nxt in self.goto[state].items():
-                queue.append(nxt)
-                back = self.fail[state]
-                while back and ch not in self.goto[back]:
-                    back = self.fail[back]
-                back = self.goto[back].get(ch, 0)
-                self.fail[nxt] = back
-                self.output[nxt] = back if self.piece[back] >= 0 else self.output[back]
-
-
 class PieceModel:
     """A SentencePiece model file: pieces, scores and normalisation."""
 
@@ -98,27 +65,30 @@ class PieceModel:
         usable = [self.scores[i] for i in matched.values() if self.scores[i] > -1e8] or [0.0]
         self.unknown_score = min(usable) - UNKNOWN_PENALTY
         self.separable = not any(MARK in p.lstrip(MARK) for p in matched)
-        self.automaton = Automaton(matched)
-        self.cache: dict[str, bytes] = {}
+        #: Finds every piece that ends at a place, with (length, score, id), by following the output links.
+        self.automaton = ahocorasick.Automaton()
+        for piece, i in matched.items():
+            self.automaton.add_word(piece, (len(piece), self.scores[i], i))
+        self.automaton.make_automaton()
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def best_path(self, text: str) -> list[int]:
         """The ids of the best-scoring path over a text whose spaces are marks already."""
-        auto, scores = self.automaton, self.scores
-        goto, fail, output, piece, length = auto.goto, auto.fail, auto.output, auto.piece, auto.length
-        best, origin, by = [0.0] + [-1e300] * len(text), [0] * (len(text) + 1), [-1] * (len(text) + 1)
-        state = 0
-        for end, ch in enumerate(text, 1):
-            while state and ch not in goto[state]:
-                state = fail[state]
-            state = goto[state].get(ch, 0)
-            best[end], origin[end] = best[end - 1] + self.unknown_score, end - 1
-            hit = state if piece[state] >= 0 else output[state]
-            while hit:
-                begin = end - length[hit]
-                score = best[begin] + scores[piece[hit]]
-                if score > best[end]:
-                    best[end], origin[end], by[end] = score, begin, piece[hit]
-                hit = output[hit]
+        n, unknown = len(text), self.unknown_score
+        best, origin, by = [0.0] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        at = 0  # the positions up to here have their first value
+        for last, (length, score, piece) in self.automaton.iter(text):
+            end = last + 1
+            while at < end:  # a character may always stand alone, as an unknown one
+                at += 1
+                best[at], origin[at] = best[at - 1] + unknown, at - 1
+            score += best[end - length]
+            if score > best[end]:
+                best[end], origin[end], by[end] = score, end - length, piece
+        while at < n:
+            at += 1
+            best[at], origin[at] = best[at - 1] + unknown, at - 1
         ids: list[int] = []
         end = len(text)
         while end:
@@ -137,9 +107,16 @@ class PieceModel:
             return b""
         if not self.separable:
             return np.array(self.best_path(self.prefix + text.replace(" ", MARK)), "<i4").tobytes()
-        if len(self.cache) > CACHE_PARTS:
-            self.cache.clear()
-        return b"".join(map(self._part, self._parts(self.prefix + text.replace(" ", MARK))))
+        if len(self.new) > CACHE_PARTS:
+            self.old, self.new = self.new, {}
+        parts = text.split(" ")
+        if not self.prefix or "" in parts or MARK in text:
+            parts = self._parts(self.prefix + text.replace(" ", MARK))
+        # Else every part is a word with a mark before it, and is kept without the mark.
+        got = list(map(self.new.get, parts))
+        if None in got:
+            got = [self._part(p) if g is None else g for p, g in zip(parts, got)]
+        return b"".join(got)
 
     @staticmethod
     def _parts(text: str) -> list[str]:
@@ -156,9 +133,13 @@ class PieceModel:
         return parts + [MARK * marks] * bool(marks)
 
     def _part(self, part: str) -> bytes:
-        ids = self.cache.get(part)
+        ids = self.new.get(part)
         if ids is None:
-            ids = self.cache[part] = np.array(self.best_path(part), "<i4").tobytes()
+            ids = self.old.get(part)
+            if ids is None:
+                whole = part if not self.prefix or part[:1] == MARK else MARK + part
+                ids = array("i", self.best_path(whole)).tobytes()
+            self.new[part] = ids
         return ids
 
     def decode(self, ids: list[int]) -> str:
