@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
 from array import array
 from collections.abc import Callable, Iterator, Sequence
@@ -28,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,10 +41,22 @@ END_ID = 2
 FILE_BYTES, ROW_STRIDE = 32 << 20, 1000
 #: Pieces that a generation of a worker's cache holds (of about 200 bytes; there are two generations).
 CACHE_PIECES = 400_000
+#: Text that is encoded at once.
+PORTION_BYTES = 8 << 20
 #: Characters of stable class beyond ASCII: the letters of Latin-1 and of the Latin extensions A and B.
-_UNSURE = re.compile("[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ɏ]")
+_UNSURE = "[^\\t\\n\\r\\x20-\\x7eÀ-ÖØ-öø-ɏ]"
 #: White space on either side of a space; the other kinds of white space are unsure characters.
-_RUNS = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
+_RUNS = ("  ", r" [\n\t\r]", r"[\n\t\r] ")
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable Latin-1 stands for itself, the rest follows from U+0100 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTE_ALPHABET = _byte_alphabet()
 
 
 class Recent:
@@ -77,53 +91,138 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Texts that aren't cut at their spaces.
+        self.odd = "|".join([*_RUNS, " $", *special, _UNSURE])
         self.later, self.first = Recent(CACHE_PIECES), Recent(CACHE_PIECES // 10)
+        self.model = self.tokenizer.model
+        self.marks: dict[str, bytes] = {}
+        self.line_end = self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _looked_up(self, cache: Recent, pieces: list[list[str]], lead: str) -> list[list[bytes]]:
-        got = [cache.lookup(p) for p in pieces]
-        open_ = [i for i, g in enumerate(got) if None in g]
-        if open_:
-            missing = {p for i in open_ for p, g in zip(pieces[i], got[i]) if g is None}
-            cache.fill(missing, lambda unknown: self._ids([lead + p for p in unknown]))
-            for i in open_:
-                got[i] = [cache.new[p] if g is None else g for p, g in zip(pieces[i], got[i])]
-        return got
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if t[-1:] == " " or any(r in t for r in _RUNS) or _UNSURE.search(t) or any(s in t for s in self.special)]
-        out = [b""] * len(texts)
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
+    def _word(self, piece: str, lead: str, known: dict[str, bytes]) -> bytes | None:
+        """Ids of letters with marks after them, or None if the piece is something else.
+
+        A run of letters is one pre-token, and so are the marks after it: they go to the library's model as they are, in
+        its alphabet of bytes, without the cost of a whole encoding.
+        """
+        word = piece.rstrip(string.punctuation)
+        if not word.isalpha():
+            return None
+        ids = known.get(word) if len(word) < len(piece) else None
+        if ids is None:
+            own = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_ALPHABET)
+            ids = array("I", [t.id for t in self.model.tokenize(lead + own)]).tobytes()
+        if len(word) < len(piece):
+            end = piece[len(word) :]
+            if end not in self.marks:
+                self.marks[end] = self._ids([end])[0]
+            ids += self.marks[end]
+        return ids
+
+    def _solve(self, pieces: list[str], space: str) -> list[bytes]:
+        """Ids of pieces, each after a space or none. A line end between non-spaces is a pre-token of its own, so lines are solved apart."""
+        out, other = [b""] * len(pieces), []
+        lead, known, tokenize = ("Ġ", self.later.new, self.model.tokenize) if space else ("", self.first.new, self.model.tokenize)
+        for i, p in enumerate(pieces):
+            if p.isalpha() and p.isascii():
+                out[i] = array("I", [t.id for t in tokenize(lead + p)]).tobytes()
+                continue
+            lines = p.split("\n")
+            found = [self._word(lines[0], lead, known)] + [self._word(x, "", self.first.new) for x in lines[1:]]
+            if None in found:
+                other.append(i)
+            else:
+                out[i] = self.line_end.join(found)
+        for i, ids in zip(other, self._ids([space + pieces[i] for i in other])):
             out[i] = ids
-        rest = sorted(set(range(len(texts))) - set(whole))
-        cut = [texts[i].split(" ") for i in rest]
-        first = self._looked_up(self.first, [p[:1] for p in cut], "")
-        later = self._looked_up(self.later, [p[1:] for p in cut], " ")
-        for i, a, b in zip(rest, first, later):
-            out[i] = a[0] + b"".join(b)
         return out
 
+    @staticmethod
+    def _looked_up(cache: Recent, pieces: list[str], make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        got = cache.lookup(pieces)
+        if None in got:
+            gaps = [i for i, g in enumerate(got) if g is None]
+            cache.fill({pieces[i] for i in gaps}, make)
+            for i in gaps:
+                got[i] = cache.new[pieces[i]]
+        return got
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each text's followed by ``end_id``, and the number of ids of each text.
+
+        The pieces of a batch are numbered by Arrow, so Python sees each distinct one once; ids are gathered by number.
+        """
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False).astype(bool)
+        counts = np.zeros(len(texts), np.int64)
+        flat, counts[~odd] = self._cut_and_gather(texts.filter(pa.array(~odd)) if odd.any() else texts, end_id)
+        if not odd.any():
+            return flat, counts
+        whole = [array("I", [*e.ids, end_id]) for e in self.tokenizer.encode_batch_fast(texts.filter(pa.array(odd)).to_pylist(), add_special_tokens=False)]
+        counts[odd] = [len(w) for w in whole]
+        out, of_odd = np.empty(counts.sum(), np.uint32), np.repeat(odd, counts)
+        out[~of_odd] = flat
+        out[of_odd] = np.concatenate([np.frombuffer(w, np.uint32) for w in whole])
+        return out, counts
+
+    def _cut_and_gather(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        n = len(texts)
+        if not n:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        cut = pc.split_pattern(texts, " ")
+        begin = cut.offsets.to_numpy()[:-1].astype(np.int64)
+        last = cut.offsets.to_numpy()[1:].astype(np.int64) - 1
+        pieces = cut.values.slice(begin[0], last[-1] + 1 - begin[0])
+        begin, last = begin - cut.offsets[0].as_py(), last - cut.offsets[0].as_py()
+        numbered = pieces.dictionary_encode()
+        number = numbered.indices.to_numpy().astype(np.int64)
+        later = self._looked_up(self.later, numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), lambda p: self._solve(p, " "))
+        first = self._looked_up(self.first, pieces.take(pa.array(begin)).to_pylist(), lambda p: self._solve(p, ""))
+        # A text's first piece has no space before it, its last one takes the end id along.
+        end = array("I", [end_id]).tobytes()
+        tails = [(first[i] if b == z else later[number[z]]) + end for i, (b, z) in enumerate(zip(begin.tolist(), last.tolist()))]
+        m = len(later)
+        number[begin] = m + np.arange(n)
+        number[last] = m + n + np.arange(n)
+        every = later + first + tails
+        size = np.fromiter(map(len, every), np.int64, len(every)) // 4
+        at = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(every), np.uint32)
+        sizes = size[number]
+        upto = np.cumsum(sizes)
+        out = flat[np.repeat(at[number] - (upto - sizes), sizes) + np.arange(upto[-1])]
+        return out, np.add.reduceat(sizes, begin)
+
 
 @lru_cache
 def encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def _encoded(path: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
+def portions(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about PORTION_BYTES of text each, one row at least."""
+    if not batch.num_rows:
+        return
+    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PORTION_BYTES, "right"))
+        upto = max(upto, at + 1)
+        yield batch.slice(at, upto - at)
+        at = upto
+
 
+def _encoded(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [x + end for x in enc.encode(part.column("text").to_pylist())]
-                ends = np.cumsum([0] + [len(x) // 4 for x in ids])
-                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["id", "ids"])
+            for part in portions(batch, "text"):
+                flat, counts = enc.encode(part.column("text"), end_id)
+                offsets = np.concatenate([[0], np.cumsum(counts)])
+                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("id"), ids], ["id", "ids"])
 
     return run
 
@@ -138,7 +237,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, id_col: str = "doc_i
     ranged = base.repartitionByRange(n_files, "id")
     ordered = ranged.withColumn("th", F.xxhash64("text")).sortWithinPartitions("id", "th").select("id", "text")
     rows = ordered.mapInArrow(_encoded(tokenizer, end_id), f"id {kind}, ids array<int>").withColumnRenamed("id", "doc_id")
-    rows.write.options(**{"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": str(ROW_STRIDE), "orc.create.index": "true"}).orc(out)
+    rows.write.options(**{"compression": "snappy", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": str(ROW_STRIDE), "orc.create.index": "true"}).orc(out)
 
 
 def read_tokens(spark: SparkSession, path: str, ids: Sequence | None = None) -> DataFrame:
