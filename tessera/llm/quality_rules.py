@@ -17,12 +17,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .caches import hold
 from .store import free_names, materialise, quoted
 
 # Common words of each language of which there is a reference.
@@ -137,8 +137,9 @@ _SCHEMA = T.StructType(
 )
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = _Known()
+def _measured(batches: Iterator[pa.RecordBatch], known: _Known | None = None) -> Iterator[pa.RecordBatch]:
+    hold("rules")
+    known = _Known() if known is None else known
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
@@ -233,19 +234,17 @@ def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in _SCHEMA)
     measured = base.mapInArrow(_measured, f"id int, th long, lang string, {fields}").drop("id", "th")
     refs = references(materialise(measured, "rules-measured"))
-    judge = _judge(refs)
+    judge, names = _judge(refs), docs.columns
+    (text,) = free_names(docs, "rules_text")
 
-    @F.pandas_udf("boolean")
-    def kept(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known()
-        for series in texts:
-            n = len(series)
-            if not n:
-                yield series.astype(bool)
-                continue
-            batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64))] * 2 + [pa.nulls(n, pa.string()), pa.array(series, pa.string())], ["id", "th", "lang", "text"])
-            verdicts = pa.Table.from_batches(list(judge(_measured(iter([batch])))))
-            yield verdicts.column("kept").to_pandas()
-
-    (flag,) = free_names(docs, "rules_kept")
-    return docs.withColumn(flag, kept(quoted(text_col).cast("string"))).where(quoted(flag)).drop(flag)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                none = pa.array(np.zeros(part.num_rows, np.int64))
+                own = pa.RecordBatch.from_arrays([none, none, pa.nulls(part.num_rows, pa.string()), part.column(text)], ["id", "th", "lang", "text"])
+                verdicts = pa.Table.from_batches(list(judge(_measured(iter([own]), known))))
+                yield part.select(names).filter(verdicts.column("kept").combine_chunks())
+
+    return docs.withColumn(text, quoted(text_col).cast("string")).mapInArrow(keep, docs.schema)

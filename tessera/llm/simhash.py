@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .caches import hold
 from .components import components
 from .store import materialise, quoted, retain
 
@@ -77,6 +78,7 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hold("simhash")
     for batch in batches:
         texts = batch.column("text").cast(pa.binary())
         out = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, batch.num_rows).view(np.int64)

@@ -29,14 +29,15 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .caches import hold
 from .store import free_names, quoted
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Distinct parts that a generation of a worker's cache holds (of about 200 bytes; there are two generations).
-CACHE_PARTS = 600_000
+CACHE_PARTS = 450_000
 #: Kinds of pieces in a model file that may be matched in a text: normal and user-defined.
 _MATCHED, _BYTE = (1, 4), 6
 
@@ -118,6 +119,9 @@ class PieceModel:
             got = [self._part(p) if g is None else g for p, g in zip(parts, got)]
         return b"".join(got)
 
+    def forget(self) -> None:
+        self.new, self.old = {}, {}
+
     @staticmethod
     def _parts(text: str) -> list[str]:
         """A cut before every mark that follows another character."""
@@ -148,10 +152,17 @@ class PieceModel:
 
 
 @lru_cache
-def model(path: str) -> PieceModel:
+def _loaded(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+def model(path: str) -> PieceModel:
+    """The model of a file, loaded once in each worker."""
+    m = _loaded(path)
+    hold("spm", m.forget)
+    return m
+
+
 def _each(path: str, fn) -> object:
     """mapInArrow over all columns plus what ``fn`` adds, a few hundred rows at a time."""
 
@@ -172,22 +183,24 @@ def _ids_of(m: PieceModel, texts: list[str | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4")))
 
 
+def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with the piece ids of every whole text; a column of the name of ``ids_col`` is replaced."""
     rest = docs.drop(quoted(ids_col)) if ids_col in docs.columns else docs
     (tmp,) = free_names(rest, "spm_text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
     run = _each(path, lambda m, b: {ids_col: _ids_of(m, b.column(tmp).to_pylist())})
     wide = rest.withColumn(tmp, quoted(text_col).cast("string"))
-    return wide.mapInArrow(run, f"{schema}, `{tmp}` string, `{ids_col}` array<int>").drop(tmp)
+    return wide.mapInArrow(run, _with(wide, ids_col, T.ArrayType(T.IntegerType()))).drop(tmp)
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``rows`` with the text of their ids; null ids give an empty text."""
     rest = rows.drop(quoted(out_col)) if out_col in rows.columns else rows
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
     run = _each(path, lambda m, b: {out_col: pa.array([m.decode(x or []) for x in b.column(ids_col).to_pylist()], pa.string())})
-    return rest.mapInArrow(run, f"{schema}, `{out_col}` string")
+    return rest.mapInArrow(run, _with(rest, out_col, T.StringType()))
 
 
 def _checked(m: PieceModel, batch: pa.RecordBatch) -> dict[str, pa.Array]:

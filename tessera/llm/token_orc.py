@@ -34,15 +34,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .caches import hold
 from .store import materialise, quoted
 
 END_ID = 2
 #: Bytes of text in a file, about; also the number of ids after which ORC begins a row group.
 FILE_BYTES, ROW_STRIDE = 32 << 20, 1000
 #: Pieces that a generation of a worker's cache holds (of about 200 bytes; there are two generations).
-CACHE_PIECES = 400_000
+CACHE_PIECES = 350_000
 #: Text that is encoded at once.
-PORTION_BYTES = 8 << 20
+PORTION_BYTES = 2 << 20
 #: Characters of stable class beyond ASCII: the letters of Latin-1 and of the Latin extensions A and B.
 _UNSURE = "[^\\t\\n\\r\\x20-\\x7eÀ-ÖØ-öø-ɏ]"
 #: White space on either side of a space; the other kinds of white space are unsure characters.
@@ -94,11 +95,14 @@ class PieceEncoder:
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: Texts that aren't cut at their spaces.
         self.odd = "|".join([*_RUNS, " $", *special, _UNSURE])
-        self.later, self.first = Recent(CACHE_PIECES), Recent(CACHE_PIECES // 10)
+        self.forget()
         self.model = self.tokenizer.model
         self.marks: dict[str, bytes] = {}
         self.line_end = self._ids(["\n"])[0]
 
+    def forget(self) -> None:
+        self.later, self.first = Recent(CACHE_PIECES), Recent(CACHE_PIECES // 10)
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -177,30 +181,38 @@ class PieceEncoder:
         pieces = cut.values.slice(begin[0], last[-1] + 1 - begin[0])
         begin, last = begin - cut.offsets[0].as_py(), last - cut.offsets[0].as_py()
         numbered = pieces.dictionary_encode()
-        number = numbered.indices.to_numpy().astype(np.int64)
+        number = numbered.indices.to_numpy().copy()
         later = self._looked_up(self.later, numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), lambda p: self._solve(p, " "))
         first = self._looked_up(self.first, pieces.take(pa.array(begin)).to_pylist(), lambda p: self._solve(p, ""))
         # A text's first piece has no space before it, its last one takes the end id along.
         end = array("I", [end_id]).tobytes()
         tails = [(first[i] if b == z else later[number[z]]) + end for i, (b, z) in enumerate(zip(begin.tolist(), last.tolist()))]
         m = len(later)
-        number[begin] = m + np.arange(n)
-        number[last] = m + n + np.arange(n)
+        number[begin] = m + np.arange(n, dtype=np.int32)
+        number[last] = m + n + np.arange(n, dtype=np.int32)
         every = later + first + tails
-        size = np.fromiter(map(len, every), np.int64, len(every)) // 4
-        at = np.cumsum(size) - size
+        size = np.fromiter(map(len, every), np.int32, len(every)) // 4
+        at = np.cumsum(size, dtype=np.int32) - size
         flat = np.frombuffer(b"".join(every), np.uint32)
         sizes = size[number]
-        upto = np.cumsum(sizes)
-        out = flat[np.repeat(at[number] - (upto - sizes), sizes) + np.arange(upto[-1])]
-        return out, np.add.reduceat(sizes, begin)
+        upto = np.cumsum(sizes, dtype=np.int32)
+        place = np.repeat(at[number] - (upto - sizes), sizes)
+        place += np.arange(upto[-1], dtype=np.int32)
+        return flat[place], np.add.reduceat(sizes, begin)
 
 
 @lru_cache
-def encoder(path: str) -> PieceEncoder:
+def _loaded(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
+def encoder(path: str) -> PieceEncoder:
+    """The encoder of a file, loaded once in each worker."""
+    e = _loaded(path)
+    hold("tokens", e.forget)
+    return e
+
+
 def portions(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about PORTION_BYTES of text each, one row at least."""
     if not batch.num_rows:
