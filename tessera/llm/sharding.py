@@ -13,7 +13,7 @@ shifted by the counts of the parts before, so no task holds a shard. Null texts
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,22 +21,41 @@ from .mixing import size_of
 from .store import materialise, quoted
 
 LARGE = 4096
+#: Weights of bytes, tokens and rows: bytes are to be equal first.
+WEIGHTS = (8.0, 1.0, 1.0)
 #: Pieces of an over-large group, for each shard's share that it holds.
-PIECES = 8
+PIECES = 32
 #: Rows of one part of a shard that one task ranks, on average.
 PART_ROWS = 20_000
 
 
 def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each vector (rows of shares of the total), by the highest dot product with residual capacity."""
+    """The shard of each vector (rows of shares of the total), by the highest dot product with residual capacity, the dimensions weighed by WEIGHTS."""
     place = np.zeros(len(vectors), np.int64)
+    weights = np.array(WEIGHTS[: vectors.shape[1]])
     left = np.full((shards, vectors.shape[1]), 1.0 / shards)
     for i in np.lexsort((np.arange(len(vectors)), -vectors.max(axis=1))):
-        place[i] = k = int(np.argmax(left @ vectors[i]))
+        place[i] = k = int(np.argmax(left @ (weights * vectors[i])))
         left[k] -= vectors[i]
     return place
 
 
+def _piece(pieces: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(7), "id"), pieces)
+
+
+def _piece_shares(narrow: DataFrame, pieces: dict[bytes, int]) -> dict[bytes, list[float]]:
+    """What share of a group's rows each of its pieces has, for the few groups (fewer than three to a shard) that are split."""
+    if not pieces:
+        return {}
+    split = narrow.sparkSession.createDataFrame([(bytearray(d), n) for d, n in pieces.items()], "digest binary, pieces long")
+    counts = narrow.join(F.broadcast(split), "digest").groupBy("digest", _piece(F.col("pieces")).alias("piece")).agg(F.count(F.lit(1)).alias("n")).collect()
+    found = {d: [0.0] * n for d, n in pieces.items()}
+    for r in counts:
+        found[bytes(r["digest"])][r["piece"]] = float(r["n"])
+    return {d: [x / sum(n) for x in n] for d, n in found.items()}
+
+
 def sharded(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, size, text_crc32, tokens, shard, slot."""
     spark = docs.sparkSession
@@ -58,11 +77,10 @@ def sharded(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col:
     parts = groups.withColumn("large", share > 1 / LARGE)
     large = parts.where("large").select("digest", *dims)
     rest = parts.where("not large").groupBy("bundle").agg(*(F.sum(c).alias(c) for c in dims))
-    units: list[tuple] = []  # (digest, piece, pieces) or bundle, and the vector
-    for r in sorted(large.collect(), key=lambda r: bytes(r["digest"])):
-        v = np.array([float(r[c]) for c in dims]) / total
-        pieces = 1 if v.max() <= 1 / shards else int(np.ceil(v.max() * shards * PIECES))
-        units += [((bytes(r["digest"]), p, pieces), v / pieces) for p in range(pieces)]
+    large = {bytes(r["digest"]): np.array([float(r[c]) for c in dims]) / total for r in large.collect()}
+    pieces = {d: 1 if v.max() <= 1 / shards else int(np.ceil(v.max() * shards * PIECES)) for d, v in sorted(large.items())}
+    shares = {d: [1.0] for d in pieces} | _piece_shares(narrow, {d: n for d, n in pieces.items() if n > 1})
+    units: list[tuple] = [((d, p), large[d] * s) for d in pieces for p, s in enumerate(shares[d])]  # (digest, piece) or bundle, and the vector
     units += [(r["bundle"], np.array([float(r[c]) for c in dims]) / total) for r in sorted(rest.collect(), key=lambda r: r["bundle"])]
     place = pack(np.array([v for _, v in units]).reshape(-1, 3), shards)
 
@@ -74,7 +92,7 @@ def sharded(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col:
     bundles = spark.createDataFrame(by_bundle, "bundle long, bundle_shard int")
     larges = spark.createDataFrame([(bytearray(d), ks) for d, ks in by_group.items()], "digest binary, group_shards array<int>")
     dealt = narrow.join(F.broadcast(larges), "digest", "left").join(F.broadcast(bundles), "bundle", "left")
-    piece = F.element_at("group_shards", (F.pmod(F.xxhash64(F.lit(7), "id"), F.size("group_shards")) + 1).cast("int"))
+    piece = F.element_at("group_shards", (_piece(F.size("group_shards")) + 1).cast("int"))
     dealt = dealt.select("id", "size", "text_crc32", "tokens", F.when(F.col("group_shards").isNotNull(), piece).otherwise(F.col("bundle_shard")).alias("shard"))
 
     n_parts = max(64, -(-int(total[2]) // (PART_ROWS * shards)))
