@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .caches import hold
-from .store import free_names, materialise, quoted
+from .store import free_names, materialise, quoted, short_batches
 
 # Common words of each language of which there is a reference.
 COMMON_WORDS = {
@@ -218,6 +218,7 @@ def _judge(refs: dict[str, tuple[np.ndarray, np.ndarray]]):
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """Per row of ``docs``: id, th (xxhash64 of the text), the base counts, base_failed, kept and both distances."""
+    short_batches(docs.sparkSession)
     lang = quoted(lang_col).cast("string") if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
     base = docs.select(quoted(id_col).alias("id"), F.xxhash64(quoted(text_col)).alias("th"), lang.alias("lang"), quoted(text_col).cast("string").alias("text"))
     kind = dict(base.dtypes)["id"]
@@ -229,6 +230,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns; a second scan decides row by row, without a join."""
+    short_batches(docs.sparkSession)
     lang = quoted(lang_col).cast("string") if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
     base = docs.select(F.lit(0).alias("id"), F.lit(0).cast("long").alias("th"), lang.alias("lang"), quoted(text_col).cast("string").alias("text"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in _SCHEMA)

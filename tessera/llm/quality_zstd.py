@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import held_out, labelled_sample
-from .store import quoted
+from .store import quoted, short_batches
 
 #: The bound of the labelled sample.
 SAMPLE_ROWS = 6000
@@ -130,5 +130,6 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 score, diff = m.scores(part.column("text").to_pylist(), sizer)
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(diff)], ["id", "held_out", "score", "predicted", "difference"])
 
+    short_batches(docs.sparkSession)
     base = docs.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("text")).withColumn("held_out", held_out())
     return base.mapInArrow(run, f"id {dict(base.dtypes)['id']}, held_out boolean, score double, predicted int, difference double")

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .caches import hold
 from .components import components
-from .store import materialise, quoted, retain
+from .store import materialise, quoted, retain, short_batches
 
 SEED = 42
 SHINGLE = 3
@@ -268,6 +268,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     keep marks the row with the smallest (id, th) of its component, null ids last.
     """
+    short_batches(docs.sparkSession)
     base = docs.select(quoted(id_col).alias("id"), F.xxhash64(quoted(text_col)).alias("th"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"))
     kind = dict(base.dtypes)["id"]
     prints = materialise(base.mapInArrow(_fingerprints, f"id {kind}, th long, fp long"), "simhash-prints")

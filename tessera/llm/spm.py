@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .caches import hold
-from .store import free_names, quoted
+from .store import free_names, quoted, short_batches
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Distinct parts that a generation of a worker's cache holds (of about 200 bytes; there are two generations).
-CACHE_PARTS = 450_000
+CACHE_PARTS = 400_000
 #: Kinds of pieces in a model file that may be matched in a text: normal and user-defined.
 _MATCHED, _BYTE = (1, 4), 6
 
@@ -183,26 +183,44 @@ def _ids_of(m: PieceModel, texts: list[str | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4")))
 
 
-def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
+def _with(df: DataFrame | T.StructType, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([*(df.schema if isinstance(df, DataFrame) else df).fields, T.StructField(name, kind)])
+
+
+def _text_frame(docs: DataFrame, text_col: str, *drop: str) -> tuple[DataFrame, str]:
+    """``docs`` without the columns to be replaced, and with its text as a string under a free name."""
+    short_batches(docs.sparkSession)
+    rest = docs.drop(*(quoted(c) for c in drop if c in docs.columns)) if drop else docs
+    (tmp,) = free_names(rest, "spm_text")
+    return rest.withColumn(tmp, quoted(text_col).cast("string")), tmp
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with the piece ids of every whole text; a column of the name of ``ids_col`` is replaced."""
-    rest = docs.drop(quoted(ids_col)) if ids_col in docs.columns else docs
-    (tmp,) = free_names(rest, "spm_text")
+    wide, tmp = _text_frame(docs, text_col, ids_col)
     run = _each(path, lambda m, b: {ids_col: _ids_of(m, b.column(tmp).to_pylist())})
-    wide = rest.withColumn(tmp, quoted(text_col).cast("string"))
     return wide.mapInArrow(run, _with(wide, ids_col, T.ArrayType(T.IntegerType()))).drop(tmp)
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``rows`` with the text of their ids; null ids give an empty text."""
+    short_batches(rows.sparkSession)
     rest = rows.drop(quoted(out_col)) if out_col in rows.columns else rows
     run = _each(path, lambda m, b: {out_col: pa.array([m.decode(x or []) for x in b.column(ids_col).to_pylist()], pa.string())})
     return rest.mapInArrow(run, _with(rest, out_col, T.StringType()))
 
 
+def transcribe(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` in one pass, so that a task has one Python worker."""
+    wide, tmp = _text_frame(docs, text_col, ids_col, out_col)
+
+    def both(m: PieceModel, b: pa.RecordBatch) -> dict[str, pa.Array]:
+        ids = _ids_of(m, b.column(tmp).to_pylist())
+        return {ids_col: ids, out_col: pa.array(map(m.decode, ids.to_pylist()), pa.string())}
+
+    return wide.mapInArrow(_each(path, both), _with(_with(wide, ids_col, T.ArrayType(T.IntegerType())), out_col, T.StringType())).drop(tmp)
+
+
 def _checked(m: PieceModel, batch: pa.RecordBatch) -> dict[str, pa.Array]:
     texts = [t or "" for t in batch.column("text").to_pylist()]
     ids = _ids_of(m, texts)
@@ -215,6 +233,7 @@ def _checked(m: PieceModel, batch: pa.RecordBatch) -> dict[str, pa.Array]:
 
 def round_trips(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, ids, n_pieces, ids_crc32 (little-endian 32-bit ids), round_trip (decoding gives the text back)."""
+    short_batches(docs.sparkSession)
     base = docs.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("text"))
     kind = dict(base.dtypes)["id"]
     out = base.mapInArrow(_each(path, _checked), f"id {kind}, text string, ids array<int>, n_pieces long, ids_crc32 long, round_trip boolean")

@@ -34,6 +34,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches of this session hold ``rows`` rows at most: rows of whole texts are long, and either side of the pipe holds batches outside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete every scratch table of this application."""
     jvm = spark.sparkContext._jvm

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .caches import hold
-from .store import materialise, quoted
+from .store import materialise, quoted, short_batches
 
 END_ID = 2
 #: Bytes of text in a file, about; also the number of ids after which ORC begins a row group.
@@ -241,6 +241,7 @@ def _encoded(path: str, end_id: int):
 
 def write_tokens(docs: DataFrame, out: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, n_files: int | None = None) -> None:
     """Write rows (doc_id, ids) in ascending doc_id order to ORC files in ``out``."""
+    short_batches(docs.sparkSession)
     base = docs.select(quoted(id_col).alias("id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"))
     if n_files is None:
         total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0

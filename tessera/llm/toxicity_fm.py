@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from .sampling import held_out, labelled_sample
-from .store import quoted
+from .store import quoted, short_batches
 
 #: The bound of the labelled sample.
 SAMPLE_ROWS = 12_000
@@ -151,5 +151,6 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             score = np.array([scorer(t.as_py()) for t in batch.column("text")], float)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["id", "held_out", "score", "predicted"])
 
+    short_batches(docs.sparkSession)
     base = docs.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("text")).withColumn("held_out", held_out())
     return base.mapInArrow(run, f"id {dict(base.dtypes)['id']}, held_out boolean, score double, predicted int")
