@@ -183,12 +183,16 @@ def has_letter(x: Column) -> Column:
     return x.rlike(r"\p{L}")
 
 
-def actions(x: Column) -> Column:
+def actions(text: Column) -> Column:
     """Bracketed spans, parsed with a stack: struct(spans, nested, unbalanced).
 
     spans: the outermost ones as (first, last, body), positions from 0. A closing bracket of the other kind closes too and counts as
     unbalanced. The text is cut at its brackets, so the fold takes a step for each bracket, not for each character.
     """
+    return let(text, _parse)
+
+
+def _parse(x: Column) -> Column:
     opens, closes = [b[0] for b in BRACKETS], [b[1] for b in BRACKETS]
     each = "".join(escape(b) for kind in BRACKETS for b in kind)
     parts = F.split(x, f"(?<=[{each}])")  # every part but the last ends in a bracket
@@ -220,8 +224,12 @@ def actions(x: Column) -> Column:
     return F.aggregate(parts, start, step, done)
 
 
-def action_facts(x: Column, parsed: Column) -> Column:
+def action_facts(text: Column, parsed: Column) -> Column:
     """What the rules need of the parsed actions: counts, lengths, share, smallest gap between spans, spans without letters."""
+    return let(F.struct(text.alias("text"), parsed.alias("parsed")), lambda s: _facts(s["text"], s["parsed"]))
+
+
+def _facts(x: Column, parsed: Column) -> Column:
     bodies = F.transform(parsed["spans"], lambda s: s["body"])
     lengths = F.transform(bodies, filled_length)
     total = F.aggregate(lengths, F.lit(0).cast("long"), lambda a, n: a + n)

@@ -181,4 +181,29 @@ ORACLES: dict[str, str] = {
     "q_corpus_stats": f"SELECT source, count(*) AS n, count(*) FILTER (WHERE contains(text, 'the')) AS with_signature, count(*) FILTER (WHERE regexp_matches(text, 'idiot|scum')) AS with_wrong, round(avg(length(text)), 2) AS mean_length, max(len({_WORDS})) AS max_tokens FROM documents GROUP BY source",
     "q_training_plan": "WITH n AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang) SELECT lang, n, (ceil(ceil(n / 2.0) / 8) * 3)::BIGINT AS steps FROM n",
     "q_last_status": "SELECT user_id, arg_max(event_type, event_id) AS status, max(event_id) AS at FROM events GROUP BY user_id",
+    "q_preference_rows": f"""WITH {DOCS}, x AS (SELECT a.pair, CASE WHEN a.pair % 5 <> 0 THEN a.lang END AS u, substr(a.text, 1, 9) AS c, CASE WHEN a.pair % 7 = 0 THEN substr(a.text, 1, 9) ELSE substr(b.text, 1, 9) END AS r FROM d a JOIN d b ON a.pair = b.pair AND a.side = 0 AND b.side = 1)
+      SELECT CASE WHEN u IS NULL OR trim(u) = '' OR c IS NULL OR trim(c) = '' THEN 'blank_message' WHEN r IS NULL OR trim(r) = '' THEN 'blank_rejected' WHEN r = c THEN 'same_answers' ELSE 'ok' END AS issue, count(*) AS n FROM x GROUP BY 1""",
+    "q_persona_render": """WITH n AS (SELECT n_regionkey AS r, string_agg('- ' || n_name, chr(10) ORDER BY n_name) AS l, min(n_name) AS f FROM nation GROUP BY 1)
+      SELECT r_regionkey, 'You are ' || r_name || '.' || chr(10) || chr(10) || 'identity:' || chr(10) || l || chr(10) || chr(10) || 'facts:' || chr(10) || '- (none)' || chr(10) || chr(10) || CASE WHEN r_regionkey % 2 = 0 THEN 'notes:' || chr(10) || '- ' || f || chr(10) || chr(10) ELSE '' END || 'Stay in character.' AS prompt FROM region JOIN n ON r_regionkey = r""",
+    "q_unknown_references": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY 1",
+    "q_contiguous_ids": "WITH x AS (SELECT conv_id, turn, printf('c_%04d', turn // 2 + 1) AS ident, printf('c_%04d', row_number() OVER (PARTITION BY conv_id ORDER BY turn)) AS expected_id FROM conversations WHERE role = 'assistant') SELECT * FROM x WHERE ident <> expected_id",
+    "q_minimal_edits": f"""WITH k AS (SELECT doc_id // 2 AS pair FROM documents GROUP BY 1 HAVING count(*) = 2), s AS (SELECT {', '.join(f"{drawn(d + w, 'pair', 3)} + {b} AS {w}_{d}" for w, b in (('s', 6), ('i', 7)) for d in _DIMS)}, {drawn('target', 'pair', 2)} = 0 AS role, {drawn('sim', 'pair', 101)} / 100.0 AS sim, {drawn('len', 'pair', 200)} / 100.0 AS len, {drawn('st', 'pair', 5)} > 0 AS st FROM k),
+      t AS (SELECT *, CASE WHEN role THEN s_role_consistency ELSE s_dialogue_quality END AS so, CASE WHEN role THEN s_dialogue_quality ELSE s_role_consistency END AS sx, CASE WHEN role THEN i_role_consistency ELSE i_dialogue_quality END AS io, CASE WHEN role THEN i_dialogue_quality ELSE i_role_consistency END AS ix FROM s)
+      SELECT CASE WHEN s_generation_stability < 8 OR so <> 7 OR sx < 8 THEN 'source_not_single_fault' WHEN i_generation_stability < 8 OR io < 8 OR ix < 8 THEN 'improved_below_floor' WHEN io < so + 1 OR ix <> sx OR i_generation_stability <> s_generation_stability THEN 'other_dimension_changed'
+        WHEN NOT st THEN 'unstable' WHEN sim < 0.65 THEN 'too_different' WHEN NOT len BETWEEN 0.8 AND 1.2 THEN 'length_changed' ELSE 'ok' END AS issue, count(*) AS n FROM t GROUP BY 1""",
+    "q_series_ok": "SELECT user_id, count(*) AS n, bool_and(value IS NOT NULL AND isfinite(value) AND value > 0) AND count(*) = 10 AS ok FROM events GROUP BY user_id",
+    "q_newest": "SELECT user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id DESC) AS n FROM events) WHERE n = 1",
+    "q_reported_steps": "WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber AS s FROM lineitem), x AS (SELECT *, max(s) OVER (PARTITION BY l_orderkey) AS t, lag(s) OVER (PARTITION BY l_orderkey ORDER BY s) AS b FROM l) SELECT s AS l_linenumber, count(*) AS n FROM x WHERE s = 1 OR s = t OR coalesce((s - 1) // greatest(ceil(t / 5), 1)::INT > (b - 1) // greatest(ceil(t / 5), 1)::INT, false) GROUP BY 1",
+    "q_judge_contract": f"""WITH x AS (SELECT doc_id, list_filter([{', '.join(f"CASE WHEN {drawn(n, 'doc_id', h + 2)} > {h} THEN 'invalid:{n}' END" for n, h in (('identity_boundary_facts', 2), ('personality_relationship', 2)))}, 'invalid:character_voice',
+      {', '.join(f"CASE WHEN {drawn(n, 'doc_id', h + 2)} > {h} THEN 'invalid:{n}' END" for n, h in (('response_effectiveness', 3), ('expression_quality', 2)))}, CASE WHEN doc_id % 4 = 0 THEN 'invalid:reason' END, CASE WHEN {drawn('code', 'doc_id', 3)} = 1 THEN 'unknown_code:rude' END], lambda i: i IS NOT NULL) AS l FROM documents)
+      SELECT doc_id, len(l) AS n_issues, array_to_string(l, ',') AS issues FROM x""",
+    "q_pilot_report": f"""WITH x AS (SELECT doc_id % 5 AS scenario, {drawn('decision', 'doc_id', 3)} AS d, toxic = 0 AS passed, {', '.join(f"{drawn(n, 'doc_id', 11)} AS {n}" for n in _DIMS)} FROM labels)
+      SELECT count(*) AS sample_count, count(DISTINCT scenario) AS scenario_count, count(*) FILTER (WHERE d = 0) AS keep_count, count(*) FILTER (WHERE d = 1) AS light_edit_count, count(*) FILTER (WHERE d = 2) AS rewrite_count, {', '.join(f'round(avg({n}), 2) AS mean_{n}' for n in _DIMS)},
+        CASE WHEN bool_and(passed) THEN 'automatic_checks_passed' ELSE 'manual_review_required' END AS status FROM x""",
+    "q_editability_report": f"""WITH x AS (SELECT quality = 1 AS ok, {drawn('sim', 'doc_id', 101)} / 100.0 AS s, {drawn('len', 'doc_id', 200)} / 100.0 AS l FROM labels), g AS (SELECT count(*) AS prompts, count(*) FILTER (WHERE ok) AS successful, round(avg(s) FILTER (WHERE ok), 6) AS mean_similarity, round(avg(l) FILTER (WHERE ok), 6) AS mean_length_ratio FROM x)
+      SELECT *, CASE WHEN successful >= 25 THEN 'strong' WHEN successful >= 10 THEN 'viable' ELSE 'insufficient' END AS outcome FROM g""",
+    "q_triples": "WITH x AS (SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 2 <> 0 THEN 'missing:packet' END, CASE WHEN doc_id % 3 <> 0 THEN 'missing:key' END, CASE WHEN doc_id % 5 <> 0 THEN 'missing:results' WHEN doc_id % 10 = 0 THEN 'repeated:results' END) AS issue FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 OR doc_id % 5 = 0) SELECT * FROM x WHERE issue <> ''",
+    "q_constraint_issues": f"""WITH b AS (SELECT {', '.join(f"CASE WHEN {drawn(f'{m}_{n}null', 'doc_id', 5)} > 0 THEN {drawn(f'{m}_{n}', 'doc_id', 9)} END AS {m}_{n}" for n in ('actions', 'sentences', 'chars', 'signatures') for m in ('min', 'max'))} FROM documents)
+      SELECT CASE {' '.join(f"WHEN (min_{n} IS NULL) <> (max_{n} IS NULL) OR coalesce(min_{n} > max_{n}, false)" + (f" OR min_{n} IS NULL" if n in ('chars', 'signatures') else '') + f" THEN '{n}'" for n in ('actions', 'sentences', 'chars', 'signatures'))} ELSE 'ok' END AS issue, count(*) AS n FROM b GROUP BY 1""",
+    "q_training_rows": "WITH x AS (SELECT CASE WHEN doc_id % 9 = 0 THEN 'role_order' WHEN NOT contains(text, 'the') THEN 'no_signature' WHEN regexp_matches(text, 'idiot|scum') THEN 'wrong_alias' END AS issue FROM documents) SELECT issue, count(*) AS n FROM x WHERE issue IS NOT NULL GROUP BY 1",
 }

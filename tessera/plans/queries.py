@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import pandas_text as P
 from ..functions import scoring as S
 from ..functions import text as T
-from ..operators import contracts, curation, evaluation, isolation, pairs
+from ..operators import contracts, curation, evaluation, isolation, pairs, reports, reviews, rows
 from ..streaming import logs
 from . import bindings as B
+from . import workflows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -361,5 +362,109 @@ def q_generated_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("prompt", "candidate_index", F.md5("raw").alias("raw_md5"))
 
 
+def q_preference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = B.documents(spark, sf_dir)
+    chosen, rejected = (d.where(f"side = {k}").select("pair", F.substring("text", 1, 9).alias(n), F.col("lang").alias(f"{n}_lang")) for k, n in ((0, "chosen"), (1, "rejected")))
+    messages, answer = rows.preference_row(F.lit("system"), F.when(F.col("pair") % 5 != 0, F.col("chosen_lang")), F.col("chosen"), F.when(F.col("pair") % 7 == 0, F.col("chosen")).otherwise(F.col("rejected")))
+    built = chosen.join(rejected, "pair").select("pair", messages, answer)
+    return built.groupBy(F.coalesce(rows.preference_row_issue(F.col("messages"), F.col("rejected_response")), F.lit("ok")).alias("issue")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_persona_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = B.table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("names"))
+    r = B.table(spark, sf_dir, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey"))
+    none = F.array().cast("array<string>")
+    text = rows.render_persona(F.col("r_name"), {"identity": F.col("names"), "facts": none, "notes": F.when(F.col("r_regionkey") % 2 == 0, F.slice("names", 1, 1))}, "You are %s.", ("Stay in character.",))
+    return r.select("r_regionkey", text.alias("prompt"))
+
+
+def q_unknown_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = B.table(spark, sf_dir, "customer").where("c_acctbal > 0")
+    lost = reviews.unknown_references(B.table(spark, sf_dir, "orders"), "o_custkey", known, "c_custkey")
+    return lost.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_contiguous_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = B.conversations(spark, sf_dir).where("role = 'assistant'").withColumn("ident", F.format_string("c_%04d", F.floor(F.col("turn") / 2) + 1))
+    return rows.contiguous_issues(c, "ident", "c_", "turn", "conv_id").select("conv_id", "turn", "ident", "expected_id")
+
+
+def q_minimal_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("pair")
+    s, i = ({d: B.drawn(d + w, k, 3) + (6 if w == "s" else 7) for d in evaluation.DIMENSIONS} for w in ("s", "i"))
+    target = F.when(B.drawn("target", k, 2) == 0, "role_consistency").otherwise("dialogue_quality")
+    issue = reviews.minimal_edit_issue(s, i, target, B.drawn("sim", k, 101) / 100.0, B.drawn("len", k, 200) / 100.0, B.drawn("st", k, 5) > 0)
+    return _pairs_of_documents(spark, sf_dir).groupBy(F.coalesce(issue, F.lit("ok")).alias("issue")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_series_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.series_ok(B.table(spark, sf_dir, "events"), "user_id", "value", 10)
+
+
+def q_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.newest(B.table(spark, sf_dir, "events"), "user_id", "event_type", "value", "event_id")
+
+
+def q_reported_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = B.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    last = lines.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("total"))
+    return reports.reported_steps(lines.join(last, "l_orderkey"), "l_orderkey", "l_linenumber", F.col("total")).groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_judge_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    scores = [B.drawn(n, k, high + 2).alias(n) for n, high in reviews.JUDGE_SCORES.items() if n != "character_voice"]
+    voice = (B.drawn("character_voice", k, 2) == 0).alias("character_voice")  # a boolean, where a number belongs
+    codes = F.when(B.drawn("code", k, 3) == 0, F.array(F.lit("identity_break"))).when(B.drawn("code", k, 3) == 1, F.array(F.lit("rude"))).otherwise(F.array().cast("array<string>")).alias("violations")
+    raw = F.to_json(F.struct(*scores, voice, codes, F.when(k % 4 == 0, " ").otherwise("why").alias("reason")))
+    issues = reviews.judge_issues(raw)
+    return B.documents(spark, sf_dir).select("doc_id", F.size(issues).cast("long").alias("n_issues"), F.array_join(issues, ",").alias("issues"))
+
+
+def q_pilot_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    decision = F.element_at(F.array(*map(F.lit, ("keep", "light_edit", "rewrite"))), (B.drawn("decision", k, 3) + 1).cast("int"))
+    items = B.table(spark, sf_dir, "labels").select((k % 5).alias("scenario"), decision.alias("decision"), (F.col("toxic") == 0).alias("passed"), *(B.drawn(d, k, 11).alias(d) for d in evaluation.DIMENSIONS))
+    return reports.pilot_report(items, ("keep", "light_edit", "rewrite"), evaluation.DIMENSIONS)
+
+
+def q_editability_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    items = B.table(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("successful"), (B.drawn("sim", k, 101) / 100.0).alias("similarity"), (B.drawn("len", k, 200) / 100.0).alias("length_ratio"))
+    return reports.editability_report(items, 10, 25)
+
+
+def q_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = B.table(spark, sf_dir, "documents").select("doc_id")
+    return reviews.triple_issues(d.where("doc_id % 2 = 0"), d.where("doc_id % 3 = 0"), d.where("doc_id % 5 = 0").unionByName(d.where("doc_id % 10 = 0")), "doc_id")
+
+
+def q_constraint_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    bound = lambda n: F.when(B.drawn(n + "null", k, 5) > 0, B.drawn(n, k, 9)).cast("int")
+    c = F.struct(*(bound(f"{m}_{n}").alias(f"{m}_{n}") for n in S.CONSTRAINT_NAMES for m in ("min", "max")))
+    issue = contracts.paired_range_issue(F.col("c"), S.CONSTRAINT_NAMES, ("chars", "signatures"))
+    return B.documents(spark, sf_dir).select("doc_id", c.alias("c")).groupBy(F.coalesce(issue, F.lit("ok")).alias("issue")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.array(rows.message("system", F.lit("s")), rows.message("user", F.col("lang")), rows.message("assistant", F.col("text")))
+    d = B.documents(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 9 == 0, F.reverse(m)).otherwise(m).alias("messages"))
+    return workflows.training_row_issues(d, "messages").groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_curation_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _user_turns(spark, sf_dir).withColumn("scenario", F.col("pos") % 5)
+    split, _ = workflows.curate(turns, "user", "scenario", "pos", [("train", 20), ("dev", 5)], 20260806, curation.prompt_issue(F.col("user"), self_reference="hea", verbs=("th", "nd")))
+    return split.select("pos", "scenario", "split", "record_id")
+
+
+def q_prepared_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = logs.generate(B.prompts(spark, sf_dir).withColumn("user", F.concat("user", F.lit(" (nods) yes."))), "id", "user", 4).withColumn("finish_reason", F.lit("stop"))
+    made = made.withColumn("conv_id", F.floor(F.col("prompt") / 100)).withColumn("constraints", _constraints())
+    out = workflows.prepare_candidates(made, "prompt", "candidate_index", "raw", "finish_reason", "constraints", 20260810)
+    return out.select("prompt", "candidate_id", "hard_valid", "duplicate_of", "eligible", "label", F.round("reward.total_reward", 6).alias("total_reward"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("q_")}
