@@ -1,7 +1,7 @@
 """Token ids in ORC: run-length encoded integers, row indexes, and Bloom filters on document ids.
 
 Writing: the texts are dealt by ranges of document ids in one shuffle, sorted by id there, encoded and written, one
-ORC file per range. They are encoded after the shuffle, so that its sampling pass reads texts but encodes none.
+ORC file per range, as many as the scan has partitions unless told otherwise. They are encoded after the shuffle, so that its sampling pass reads texts but encodes none.
 ORC stores the list lengths and the ids as run-length encoded integer streams (version 2), keeps minimum and
 maximum of every column for each stripe and each ROW_STRIDE rows, and a Bloom filter of the document ids.
 
@@ -38,12 +38,12 @@ from .caches import hold
 from .store import materialise, quoted, short_batches
 
 END_ID = 2
-#: Bytes of text in a file, about; also the number of ids after which ORC begins a row group.
-FILE_BYTES, ROW_STRIDE = 32 << 20, 1000
+#: Rows after which ORC begins a row group.
+ROW_STRIDE = 1000
 #: Pieces that a generation of a worker's cache holds (of about 200 bytes; there are two generations).
 CACHE_PIECES = 350_000
 #: Text that is encoded at once.
-PORTION_BYTES = 2 << 20
+PORTION_BYTES = 4 << 20
 #: Characters of stable class beyond ASCII: the letters of Latin-1 and of the Latin extensions A and B.
 _UNSURE = "[^\\t\\n\\r\\x20-\\x7eÀ-ÖØ-öø-ɏ]"
 #: White space on either side of a space; the other kinds of white space are unsure characters.
@@ -99,6 +99,7 @@ class PieceEncoder:
         self.model = self.tokenizer.model
         self.marks: dict[str, bytes] = {}
         self.line_end = self._ids(["\n"])[0]
+        self.marks.update(zip(string.punctuation, self._ids(list(string.punctuation))))
 
     def forget(self) -> None:
         self.later, self.first = Recent(CACHE_PIECES), Recent(CACHE_PIECES // 10)
@@ -129,10 +130,18 @@ class PieceEncoder:
     def _solve(self, pieces: list[str], space: str) -> list[bytes]:
         """Ids of pieces, each after a space or none. A line end between non-spaces is a pre-token of its own, so lines are solved apart."""
         out, other = [b""] * len(pieces), []
-        lead, known, tokenize = ("Ġ", self.later.new, self.model.tokenize) if space else ("", self.first.new, self.model.tokenize)
+        lead, known, tokenize, mark = ("Ġ" if space else ""), (self.later if space else self.first).new, self.model.tokenize, self.marks.get
         for i, p in enumerate(pieces):
-            if p.isalpha() and p.isascii():
-                out[i] = array("I", [t.id for t in tokenize(lead + p)]).tobytes()
+            # Most are a word, or a word and one mark.
+            word, tail = p, b""
+            if not p.isalpha():
+                word, tail = p[:-1], mark(p[-1:])
+            if tail is not None and word.isalpha():
+                ids = known.get(word) if tail else None
+                if ids is None:
+                    own = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_ALPHABET)
+                    ids = array("I", [t.id for t in tokenize(lead + own)]).tobytes()
+                out[i] = ids + tail if tail else ids
                 continue
             lines = p.split("\n")
             found = [self._word(lines[0], lead, known)] + [self._word(x, "", self.first.new) for x in lines[1:]]
@@ -244,8 +253,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, id_col: str = "doc_i
     short_batches(docs.sparkSession)
     base = docs.select(quoted(id_col).alias("id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"))
     if n_files is None:
-        total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        n_files = max(1, -(-int(total) // FILE_BYTES))
+        n_files = max(1, base.rdd.getNumPartitions())
     kind = dict(base.dtypes)["id"]
     ranged = base.repartitionByRange(n_files, "id")
     ordered = ranged.withColumn("th", F.xxhash64("text")).sortWithinPartitions("id", "th").select("id", "text")
@@ -262,7 +270,7 @@ def read_tokens(spark: SparkSession, path: str, ids: Sequence | None = None) ->
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column("ids")
-        flat, ends = lists.flatten().to_numpy().astype("<u4", copy=False), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
         raw = memoryview(np.ascontiguousarray(flat)).cast("B")
         crc = [zlib.crc32(raw[4 * int(a) : 4 * int(b)]) for a, b in zip(ends[:-1], ends[1:])]
         names = ["doc_id", "file", "block"]
