@@ -36,6 +36,7 @@ from .store import free_names, quoted, short_batches
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
+UNSCORED = -1e8
 #: Distinct parts that a generation of a worker's cache holds (of about 200 bytes; there are two generations).
 CACHE_PARTS = 400_000
 #: Kinds of pieces in a model file that may be matched in a text: normal and user-defined.
@@ -63,8 +64,10 @@ class PieceModel:
         self.raw: list[bytes] = [p.encode() for p in self.pieces]
         for b, i in self.byte_ids.items():
             self.raw[i] = bytes([b])
-        usable = [self.scores[i] for i in matched.values() if self.scores[i] > -1e8] or [0.0]
-        self.unknown_score = min(usable) - UNKNOWN_PENALTY
+        # Runs of marks come without a score of their own (-1e9): they count as the worst that has one.
+        worst = min([self.scores[i] for i in matched.values() if self.scores[i] > UNSCORED] or [0.0])
+        self.scores = [max(s, worst) for s in self.scores]
+        self.unknown_score = worst - UNKNOWN_PENALTY
         self.separable = not any(MARK in p.lstrip(MARK) for p in matched)
         #: Finds every piece that ends at a place, with (length, score, id), by following the output links.
         self.automaton = ahocorasick.Automaton()
