@@ -34,7 +34,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every whole text, and the text that they decode to."""
-    return spm.transcribe(docs, tokenizer_file("piece_bpe_32k.model"))
+    return spm.transcribe(docs, tokenizer_file("piece_bpe_32k.model"), cache_parts=150_000)
 
 
 STAGES = [

@@ -74,6 +74,7 @@ class PieceModel:
         for piece, i in matched.items():
             self.automaton.add_word(piece, (len(piece), self.scores[i], i))
         self.automaton.make_automaton()
+        self.limit = CACHE_PARTS
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -111,7 +112,7 @@ class PieceModel:
             return b""
         if not self.separable:
             return np.array(self.best_path(self.prefix + text.replace(" ", MARK)), "<i4").tobytes()
-        if len(self.new) > CACHE_PARTS:
+        if len(self.new) > self.limit:
             self.old, self.new = self.new, {}
         parts = text.split(" ")
         if not self.prefix or "" in parts or MARK in text:
@@ -159,18 +160,19 @@ def _loaded(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def model(path: str) -> PieceModel:
-    """The model of a file, loaded once in each worker."""
+def model(path: str, cache_parts: int = 0) -> PieceModel:
+    """The model of a file, loaded once in each worker, with a cache of that many parts to a generation."""
     m = _loaded(path)
+    m.limit = cache_parts or CACHE_PARTS
     hold("spm", m.forget)
     return m
 
 
-def _each(path: str, fn) -> object:
+def _each(path: str, fn, cache_parts: int = 0) -> object:
     """mapInArrow over all columns plus what ``fn`` adds, a few hundred rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
+        m = model(path, cache_parts)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -213,15 +215,15 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", out_col: str = "dec
     return rest.mapInArrow(run, _with(rest, out_col, T.StringType()))
 
 
-def transcribe(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``encode`` and ``decode`` in one pass, so that a task has one Python worker."""
+def transcribe(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded", cache_parts: int = 0) -> DataFrame:
+    """``encode`` and ``decode`` in one pass, so that a task has one Python worker; ``cache_parts`` (0: as many as usual) trades its memory for time."""
     wide, tmp = _text_frame(docs, text_col, ids_col, out_col)
 
     def both(m: PieceModel, b: pa.RecordBatch) -> dict[str, pa.Array]:
         ids = _ids_of(m, b.column(tmp).to_pylist())
         return {ids_col: ids, out_col: pa.array(map(m.decode, ids.to_pylist()), pa.string())}
 
-    return wide.mapInArrow(_each(path, both), _with(_with(wide, ids_col, T.ArrayType(T.IntegerType())), out_col, T.StringType())).drop(tmp)
+    return wide.mapInArrow(_each(path, both, cache_parts), _with(_with(wide, ids_col, T.ArrayType(T.IntegerType())), out_col, T.StringType())).drop(tmp)
 
 
 def _checked(m: PieceModel, batch: pa.RecordBatch) -> dict[str, pa.Array]:
