@@ -40,8 +40,8 @@ from .store import materialise, quoted, short_batches
 END_ID = 2
 #: Rows after which ORC begins a row group.
 ROW_STRIDE = 1000
-#: Pieces that a generation of a worker's cache holds (of about 200 bytes; there are two generations).
-CACHE_PIECES = 350_000
+#: Pieces that a generation of a worker's cache holds (of about 140 bytes; there are two generations).
+CACHE_PIECES = 800_000
 #: Text that is encoded at once.
 PORTION_BYTES = 4 << 20
 #: Characters of stable class beyond ASCII: the letters of Latin-1 and of the Latin extensions A and B.
