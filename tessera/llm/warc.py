@@ -150,7 +150,10 @@ def resolve_revisits(records: DataFrame, ranges: int = RANGES) -> DataFrame:
     revisits = keyed.where(F.col("kind") == "revisit").select("record_id", "key", "ts", "headers")
     hits = as_of(revisits, full, ranges)
     stored = full.select(F.col("record_id").alias("hit"), F.col("headers").alias("r_headers"), "payload").dropDuplicates(["hit"])
-    met = hits.join(stored, "hit", "left")
+    # Revisits without a response stay out of the join, where their null key would meet in one task.
+    hits = materialise(hits, "warc-hits")
+    found = hits.where("hit is not null").join(stored, "hit", "left")
+    met = found.unionByName(hits.where("hit is null"), allowMissingColumns=True)
     no_tag, no_date = (_header(F.col("headers"), n).isNull() for n in ("etag", "last-modified"))
     agree = F.when(~no_tag, _header(F.col("headers"), "etag") == _header(F.col("r_headers"), "etag")).otherwise(_header(F.col("headers"), "last-modified") == _header(F.col("r_headers"), "last-modified"))
     status = (
