@@ -2,7 +2,8 @@
 
 1. Size of a document: its words. Documents are counted by (source, size).
 2. Targets: each source's share by weight of the total, cut at ``max_repeats`` times what the source
-   has; what is cut off is shared again by weight among the others until none is above.
+   has; what is cut off is shared again by weight among the others until none is above. This needs one
+   row per source on the driver.
 3. A source takes every document as many whole times as fit; the rest of its budget is fitted over the
    counts by size: first an even share of every size, then large sizes greedily, down to a small remaining budget
    that a bounded-knapsack dynamic programme closes as exactly as the counts allow.
@@ -161,7 +162,7 @@ def plan_mix(docs: DataFrame, weights: Callable[[Sequence[str | None]], list[flo
             take[some] = fit(length[some], count[some], int(round(target)) - repeats * total)
         return pd.DataFrame({"skey": key[0], "size": length, "n": count, "repeats": repeats, "take": take})
 
-    joined = hist.join(F.broadcast(sizes), "skey")
+    joined = hist.join(sizes, "skey")
     took = materialise(joined.groupBy("skey").applyInPandas(fitted, "skey string, size long, n long, repeats long, take long"), "mix-fit")
 
     every = F.lit((1 << 63) - 1).cast("long")
@@ -188,7 +189,7 @@ def _copies(h: Column) -> Column:
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """Per row of ``docs``: id, size, source_size, target, copies, taken (size times copies)."""
     mix, narrow = plan_mix(docs, **options)
-    rows = narrow.join(mix.plan, ["skey", "size"], "left").join(F.broadcast(mix.sizes), "skey", "left")
+    rows = narrow.join(mix.plan, ["skey", "size"], "left").join(mix.sizes, "skey", "left")
     copies = F.when(F.col("size") == 0, 0).otherwise(_copies(F.col("h"))).cast("long")
     return rows.select("id", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
 
