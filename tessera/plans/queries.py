@@ -23,7 +23,7 @@ def _round(df: DataFrame, digits: int, *names: str) -> DataFrame:
 
 
 def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.inspect(B.documents(spark, sf_dir), "text", "finish_reason", repeated=False)
+    return evaluation.inspect(B.documents(spark, sf_dir), "text", "finish_reason")
 
 
 def q_compare_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
