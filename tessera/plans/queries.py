@@ -364,7 +364,7 @@ def q_generated_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_preference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = B.documents(spark, sf_dir)
-    chosen, rejected = (d.where(f"side = {k}").select("pair", F.substring("text", 1, 9).alias(n), F.col("lang").alias(f"{n}_lang")) for k, n in ((0, "chosen"), (1, "rejected")))
+    chosen, rejected = (d.where(f"side = {k}").select("pair", F.col("text").alias(n), F.col("lang").alias(f"{n}_lang")) for k, n in ((0, "chosen"), (1, "rejected")))
     messages, answer = rows.preference_row(F.lit("system"), F.when(F.col("pair") % 5 != 0, F.col("chosen_lang")), F.col("chosen"), F.when(F.col("pair") % 7 == 0, F.col("chosen")).otherwise(F.col("rejected")))
     built = chosen.join(rejected, "pair").select("pair", messages, answer)
     return built.groupBy(F.coalesce(rows.preference_row_issue(F.col("messages"), F.col("rejected_response")), F.lit("ok")).alias("issue")).agg(F.count(F.lit(1)).alias("n"))

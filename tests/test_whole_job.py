@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pytest
 
 from tessera.functions import pandas_text as P
@@ -56,3 +58,16 @@ def test_flags_summary_and_gate_see_repeated_spans(spark, tables):
     assert clean["no_repeated_spans"] and clean["passed"]
     more = queries.q_compare_gate(spark, tables(["plain", "z" * 24], "more")).first()
     assert not more["degeneration_count_not_higher"]
+
+
+def test_preference_rows_compare_whole_answers(spark, tables):
+    def issue(pair, chosen, rejected):
+        if pair % 5 == 0 or not chosen.strip(" "):
+            return "blank_message"
+        rejected = chosen if pair % 7 == 0 else rejected
+        return "blank_rejected" if not rejected.strip(" ") else "same_answers" if rejected == chosen else "ok"
+
+    sides = [("a", "b"), ("same nine, then this", "same nine, then that"), ("equal answers", "equal answers"), (" " * 9 + "late start", "b"), ("a", " " * 9 + "late start"), ("a", "b"), ("a", " " * 12), ("a", "b"), (" " * 12, "b")]
+    sf = tables([t for pair in sides for t in pair], "preferences")
+    got = {r["issue"]: r["n"] for r in queries.q_preference_rows(spark, sf).collect()}
+    assert got == Counter(issue(i, *pair) for i, pair in enumerate(sides)) == {"blank_message": 3, "ok": 3, "same_answers": 2, "blank_rejected": 1}
