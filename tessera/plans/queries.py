@@ -94,7 +94,7 @@ def q_similarity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_answer_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = B.documents(spark, sf_dir)
-    reason = F.coalesce(curation.answer_issue(F.col("text"), F.col("finish_reason"), allow_repeated=True), F.lit("ok"))
+    reason = F.coalesce(curation.answer_issue(F.col("text"), F.col("finish_reason")), F.lit("ok"))
     return d.groupBy("lang", reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import pytest
@@ -71,3 +72,14 @@ def test_preference_rows_compare_whole_answers(spark, tables):
     sf = tables([t for pair in sides for t in pair], "preferences")
     got = {r["issue"]: r["n"] for r in queries.q_preference_rows(spark, sf).collect()}
     assert got == Counter(issue(i, *pair) for i, pair in enumerate(sides)) == {"blank_message": 3, "ok": 3, "same_answers": 2, "blank_rejected": 1}
+
+
+def test_answer_reasons_name_contiguous_repetition(spark, tables):
+    def reason(i, text):
+        if not text.strip():
+            return "empty"
+        return "finish_reason=length" if i % 10 == 0 else "contiguous_repetition" if re.search(r"(.{1,20}?)\1{3,}", re.sub(r"\s+", "", text)) else "ok"
+
+    texts = ["ab ab ab ab", "ab ab ab ab", "ab ab ab", " ", "twenty characters it " * 4, "one two three", "aaa", "a a a a", "12345678901234567890x" * 4, "ok", "aaaa"]
+    got = {r["reason"]: r["n"] for r in queries.q_answer_reasons(spark, tables(texts, "reasons")).collect()}
+    assert got == Counter(reason(i, t) for i, t in enumerate(texts)) and got["contiguous_repetition"] == 3
