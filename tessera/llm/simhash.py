@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import overlap
 from .caches import hold
 from .components import components
 from .store import materialise, quoted, retain, short_batches
@@ -77,12 +78,18 @@ def fingerprint(text: bytes | None) -> int:
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hold("simhash")
-    for batch in batches:
-        texts = batch.column("text").cast(pa.binary())
-        out = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, batch.num_rows).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(out)], ["id", "th", "fp"])
+def _fingerprints(words: int, rows: int) -> Callable:
+    """Rows (id, th, fp, bands) from rows (id, th, text); bands of shingles of that many words, none if ``rows`` is 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("simhash")
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary())
+            out = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, batch.num_rows).view(np.int64)
+            bands = [overlap.bands(overlap.shingles(t.as_py(), words), rows) if rows else None for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(out), pa.array(bands, pa.list_(pa.int64()))], ["id", "th", "fp", "bands"])
+
+    return run
 
 
 # --- the anchor code --------------------------------------------------------------------------------
@@ -263,18 +270,20 @@ def links(fps: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return found.unionByName(tied.distinct())
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT_ROWS, similarity: float | None = None, words: int = 5) -> DataFrame:
     """Per row of ``docs``: id, th (xxhash64 of the raw text), fp (signed), component_id (smallest id reachable), keep.
 
-    keep marks the row with the smallest (id, th) of its component, null ids last.
+    With ``similarity`` texts are linked too whose sets of shingles of ``words`` words have at least that Jaccard similarity. keep marks the row with the smallest (id, th) of its component, null ids last.
     """
     short_batches(docs.sparkSession)
     base = docs.select(quoted(id_col).alias("id"), F.xxhash64(quoted(text_col)).alias("th"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"))
     kind = dict(base.dtypes)["id"]
-    prints = materialise(base.mapInArrow(_fingerprints, f"id {kind}, th long, fp long"), "simhash-prints")
+    rows = overlap.band_rows(similarity) if similarity else 0
+    prints = materialise(base.mapInArrow(_fingerprints(words, rows), f"id {kind}, th long, fp long, bands array<long>"), "simhash-prints")
     first = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("th"))
     fps = materialise(prints.groupBy("fp").agg(F.min(first).alias("low")), "simhash-distinct")
-    roots = components(links(fps, hot_rows))
+    near = links(fps, hot_rows)
+    roots = components(overlap.links(prints, base.select("th", "text"), near, words, similarity) if similarity else near)
     tied = roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
     tied = materialise(tied.join(fps, "fp"), "simhash-tied")
     least = tied.groupBy("root").agg(F.min("low").alias("component"))
@@ -285,6 +294,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return prints.join(by_fp, "fp", "left").select("id", "th", "fp", F.col("first.id").alias("component_id"), kept.alias("keep"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, words: int = 5) -> DataFrame:
     """``docs`` with one row of each group, the one of the smallest id, all columns kept as they are."""
-    return retain(docs, id_col, text_col, near_groups(docs, id_col, text_col).select("id", "th", "keep"))
+    return retain(docs, id_col, text_col, near_groups(docs, id_col, text_col, similarity=similarity, words=words).select("id", "th", "keep"))
