@@ -31,6 +31,10 @@ from .store import free_names, materialise, quoted
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Remaining budget, in words, that the dynamic programme fits.
 DP_BUDGET = 4096
+#: Where a fit falls short, the longest documents that the programme's budget holds.
+LONG_DOCUMENTS = 4
+#: Words, and items times words, up to which the programme may fit a whole budget.
+WHOLE_BUDGET, WHOLE_WORK = 1 << 22, 1 << 28
 #: Documents of one (source, size) that one task sorts at most, on average.
 RANGE_ROWS = 512
 
@@ -63,10 +67,27 @@ def targets(sizes: Sequence[int], weights: Sequence[float], max_repeats: int = 3
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_budget: int = DP_BUDGET) -> np.ndarray:
-    """How many documents of each length to take, so that their lengths sum to ``budget`` or as little below as is found."""
+    """How many documents of each length to take, so that their lengths sum to ``budget`` or as little below as is found.
+
+    Where that leaves words over, as for few or long documents, the programme's budget follows the longest, and then, if its
+    work allows, the programme fits the whole budget.
+    """
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
+    best = _fit(lengths, counts, budget, dp_budget)
+    longest = LONG_DOCUMENTS * int(lengths.max())
+    if (lengths * best).sum() < budget and longest > dp_budget:
+        best = max(best, _fit(lengths, counts, budget, longest), key=lambda take: int((lengths * take).sum()))
+    items = int(np.ceil(np.log2(np.minimum(counts, budget // lengths) + 1.0)).sum())
+    if (lengths * best).sum() < budget <= WHOLE_BUDGET and items * budget <= WHOLE_WORK:
+        best = max(best, _knapsack(lengths, counts, budget), key=lambda take: int((lengths * take).sum()))
+    return best
+
+
+def _fit(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_budget: int) -> np.ndarray:
+    """An even share, large lengths greedily, and the programme over at most ``dp_budget`` words."""
+    total = int((lengths * counts).sum())
     take = np.array([int(c) * budget // total for c in counts], np.int64)
     left = budget - int((lengths * take).sum())
     order = np.argsort(-lengths, kind="stable")
