@@ -9,7 +9,8 @@ applies to it exceeds its limit.
 
 References are one row per language, from partial aggregates over all documents, so what goes to
 the driver and back is fixed in size. Null and empty texts have no words and fail the base rules. Without
-any reference (an empty table, no known language) only the base rules count.
+any reference (an empty table, no known language) only the base rules count, and so they do for a document whose
+own language is named but has no reference.
 """
 
 from __future__ import annotations
@@ -208,8 +209,9 @@ def _judge(refs: dict[str, tuple[np.ndarray, np.ndarray]]):
             char = word = np.zeros(batch.num_rows)
             if refs and batch.num_rows:
                 char, word = distances(classes, words, refs)
-                kept &= ~((chars >= MIN_CHARS_TESTED) & (char > _limit(CHAR_LIMIT, chars)))
-                kept &= ~((n_words >= MIN_WORDS_TESTED) & (word > _limit(WORD_LIMIT, n_words)))
+                held = np.array([lang is None or lang in refs for lang in batch.column("lang").to_pylist()], bool)
+                kept &= ~(held & (chars >= MIN_CHARS_TESTED) & (char > _limit(CHAR_LIMIT, chars)))
+                kept &= ~(held & (n_words >= MIN_WORDS_TESTED) & (word > _limit(WORD_LIMIT, n_words)))
             names = ["id", "th", *_SCHEMA.names[:5]]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *map(pa.array, (failed, kept, char, word))], [*names, "base_failed", "kept", "char_distance", "word_distance"])
 
@@ -237,7 +239,7 @@ def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     measured = base.mapInArrow(_measured, f"id int, th long, lang string, {fields}").drop("id", "th")
     refs = references(materialise(measured, "rules-measured"))
     judge, names = _judge(refs), docs.columns
-    (text,) = free_names(docs, "rules_text")
+    text, own_lang = free_names(docs, "rules_text", "rules_lang")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known()
@@ -245,8 +247,8 @@ def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 none = pa.array(np.zeros(part.num_rows, np.int64))
-                own = pa.RecordBatch.from_arrays([none, none, pa.nulls(part.num_rows, pa.string()), part.column(text)], ["id", "th", "lang", "text"])
+                own = pa.RecordBatch.from_arrays([none, none, part.column(own_lang), part.column(text)], ["id", "th", "lang", "text"])
                 verdicts = pa.Table.from_batches(list(judge(_measured(iter([own]), known))))
                 yield part.select(names).filter(verdicts.column("kept").combine_chunks())
 
-    return docs.withColumn(text, quoted(text_col).cast("string")).mapInArrow(keep, docs.schema)
+    return docs.withColumns({text: quoted(text_col).cast("string"), own_lang: lang}).mapInArrow(keep, docs.schema)
