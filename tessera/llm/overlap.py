@@ -1,12 +1,23 @@
 """Links between texts whose sets of word shingles have a Jaccard similarity of at least a threshold.
 
-Candidates come from MinHash bands, and every candidate is checked on the whole sets of shingle hashes (XXH64). HASHES
-minima are cut in bands as long as leaves a pair at the threshold without a common band with a chance of MISS at most;
-at 0.8 these are 32 bands of 4, and the chance is 5e-8.
+Fingerprints can't find all of these: at 0.8 two texts differ in about 10 of 64 bits. So texts are candidates too that share
+a band of MinHash values, and every candidate, of either kind, is checked on the whole sets of shingle hashes (XXH64). BANDS bands are
+as long as leaves a pair at the threshold without a common band with a chance of MISS at most; at 0.8 these are
+36 bands of 5 values, and the chance is 6e-7.
 
-Links are between fingerprints, as texts that share one are linked already. A band's texts are first checked against its smallest
-one. What these links and the given ones leave in different components is then checked pair by pair, so a dense heap of
-near copies costs rows linear in its size and no candidate that could join two components is left out.
+What is known of a pair before its sets are read: the sizes of both sets (at 0.8 the smaller has at least 0.8 of the larger's), and one bit of
+each value (SPREAD standard deviations are left to a pair at the threshold, so it is dropped with a chance below 1e-6).
+
+Candidates are checked in rounds, and after each of them what is tied already is left alone:
+
+1. each text with the likeliest of its bands' pivots (a band's pivot is its text with the smallest hash of band and text, another one in each
+   band), and with its neighbour by fingerprint;
+2. each text with the other pivots that are not tied to it yet;
+3. all pairs of a band that are not tied yet.
+
+So a dense heap of near copies, which the first round ties, costs rows linear in its size, and no candidate that could join two
+components is left out. Texts are named by their hash (th). A set is read from its text again, only for texts in a pair, and never stands in
+a row per band. Texts without words have an empty set, which is like other empty sets alone.
 """
 
 from __future__ import annotations
@@ -14,85 +25,125 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .caches import hold
 from .components import components
-from .store import materialise
+from .store import flag_members, key_filter, materialise
 
 SEED = 43
-HASHES, MISS = 128, 1e-6
+MISS, SPREAD, BANDS = 1e-6, 5.0, 36
 #: Shingles of one text whose minima are taken at once.
 BLOCK = 4096
+#: Bits of a signature in one number.
+WORD_BITS = 60
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_RNG = np.random.default_rng(SEED)
-_TIMES = _RNG.integers(0, 1 << 64, HASHES, np.uint64) | np.uint64(1)
-_PLUS = _RNG.integers(0, 1 << 64, HASHES, np.uint64)
-_MIX = _RNG.integers(0, 1 << 64, HASHES, np.uint64) | np.uint64(1)
-
-
-def shingles(text: bytes | None, words: int) -> np.ndarray:
-    """The distinct hashes of a text's shingles, sorted; of a shorter text, the one of all its words."""
-    parts = (text or b"").translate(LOWER).split()
-    runs = map(b" ".join, zip(*(parts[i:] for i in range(words)))) if len(parts) >= words else [b" ".join(parts)] if parts else []
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in runs), np.uint64))
 
 
 def band_rows(similarity: float) -> int:
-    """Minima in a band."""
-    fits = (r for r in (16, 8, 4, 2) if (1 - similarity**r) ** (HASHES // r) <= MISS)
-    return next(fits, 1)
-
-
-def bands(own: np.ndarray, rows: int) -> np.ndarray:
-    """The key of each band of a set of hashes."""
-    if not len(own):
-        return np.zeros(0, np.int64)
-    least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(own), BLOCK):
-        np.minimum(least, (own[None, at : at + BLOCK] * _TIMES[:, None] + _PLUS[:, None]).min(axis=1), out=least)
-    least = (least ^ (least >> np.uint64(29))) * _MIX  # other factors in each band, so that bands don't meet each other
-    return least.reshape(-1, rows).sum(axis=1, dtype=np.uint64).view(np.int64)
-
-
-def _sets(words: int):
+    """Values in a band: as many as leave a pair at the threshold without a common band with a chance of MISS at most."""
+    return max((r for r in range(1, 17) if (1 - similarity**r) ** BANDS <= MISS), default=1)
+
+
+class Sketch:
+    """What is kept of a text's set of shingles: its size, a signature of one bit for each MinHash value, and its bands."""
+
+    def __init__(self, words: int, similarity: float):
+        self.words, self.rows = words, band_rows(similarity)
+        self.hashes = self.rows * BANDS
+        rng = np.random.default_rng(SEED)
+        self.times, self.plus, self.mix = (rng.integers(0, 1 << 64, self.hashes, np.uint64) for _ in range(3))
+        self.times |= np.uint64(1)
+        self.mix |= np.uint64(1)
+        self.numbers = -(-self.hashes // WORD_BITS)
+        differ = self.hashes * (1 - similarity) / 2
+        #: Bits in which signatures of a pair at the threshold may differ.
+        self.most = int(np.ceil(differ + SPREAD * np.sqrt(differ * (1 + similarity) / 2)))
+
+    def shingles(self, text: bytes | None) -> np.ndarray:
+        """The distinct hashes of a text's shingles, sorted; of a shorter text, the one of all its words."""
+        parts = (text or b"").translate(LOWER).split()
+        runs = map(b" ".join, zip(*(parts[i:] for i in range(self.words)))) if len(parts) >= self.words else [b" ".join(parts)] if parts else []
+        return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in runs), np.uint64))
+
+    def of(self, text: bytes | None) -> tuple[int, np.ndarray, np.ndarray]:
+        """(size, signature, bands); no band where there is no shingle."""
+        own = self.shingles(text)
+        if not len(own):
+            return 0, np.zeros(self.numbers, np.int64), np.zeros(0, np.int64)
+        least = np.full(self.hashes, np.iinfo(np.uint64).max, np.uint64)
+        for at in range(0, len(own), BLOCK):
+            np.minimum(least, (own[None, at : at + BLOCK] * self.times[:, None] + self.plus[:, None]).min(axis=1), out=least)
+        least = (least ^ (least >> np.uint64(29))) * self.mix  # other factors in each band, so that bands don't meet each other
+        bits = np.zeros(self.numbers * WORD_BITS, np.uint64)
+        bits[: self.hashes] = (least >> np.uint64(40)) & np.uint64(1)
+        signature = (bits.reshape(-1, WORD_BITS) << np.arange(WORD_BITS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
+        return len(own), signature, least.reshape(-1, self.rows).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def _sets(sketch: Sketch):
     def run(batches):
         hold("overlap")
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            own = [shingles(t.as_py(), words).view(np.int64) for t in texts]
+            own = [sketch.shingles(t.as_py()).view(np.int64) for t in batch.column("text").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("th"), pa.array(own, pa.list_(pa.int64()))], ["th", "own"])
 
     return run
 
 
-def _checked(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Rows (u, v) of the pairs (a, b, u, v) of texts a and b that are similar enough."""
-    pairs = materialise(pairs.distinct(), "overlap-pairs")
-    named = pairs.select(F.col("a").alias("th")).unionByName(pairs.select(F.col("b").alias("th"))).distinct()
-    some = texts.join(named, "th", "left_semi")
-    sets = some.mapInArrow(_sets(words), "th long, own array<long>")
-    sets = materialise(sets.groupBy("th").agg(F.first("own").alias("own")), "overlap-sets")
+def _checked(pairs: DataFrame, texts: DataFrame, sketch: Sketch, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of texts that are similar enough, as (u, v)."""
+    pairs = materialise(pairs.select("a", "b").distinct(), "overlap-pairs")
+    named = materialise(pairs.select(F.col("a").alias("th")).unionByName(pairs.select(F.col("b").alias("th"))).distinct(), "overlap-named")
+    some = flag_members(texts, "th", key_filter(named, "th"), "hit").where("hit").select("th", "text")
+    sets = some.mapInArrow(_sets(sketch), "th long, own array<long>").groupBy("th").agg(F.first("own").alias("own"))
+    sets = materialise(sets.join(named, "th", "left_semi"), "overlap-sets")
     left, right = (sets.select(F.col("th").alias(n), F.col("own").alias(f"own_{n}")) for n in "ab")
     common = F.size(F.array_intersect("own_a", "own_b"))
-    share = common / (F.size("own_a") + F.size("own_b") - common)
-    return materialise(pairs.join(left, "a").join(right, "b").where(share >= similarity).select("u", "v").distinct(), "overlap-links")
-
-
-def links(prints: DataFrame, texts: DataFrame, given: DataFrame, words: int, similarity: float) -> DataFrame:
-    """``given`` (u, v) and the links that join components of it, from rows (th, fp, bands) and (th, text)."""
-    given = materialise(given.select("u", "v"), "overlap-given")
-    flat = prints.select("th", "fp", F.explode("bands").alias("band"))
-    text = F.struct("fp", "th")
-    several = flat.groupBy("band").agg(F.min(text).alias("low"), F.max("fp").alias("high")).where("low.fp != high").select("band", "low")
-    members = materialise(flat.join(several, "band").distinct(), "overlap-members")
-    star = members.where("fp != low.fp").select(F.col("low.th").alias("a"), F.col("th").alias("b"), F.col("low.fp").alias("u"), F.col("fp").alias("v"))
-    found = given.unionByName(_checked(star, texts, words, similarity))
-    roots = components(found)
-    placed = members.join(roots, F.col("fp") == F.col("node"), "left").select("band", "th", "fp", F.coalesce("root", "fp").alias("root"))
+    both = F.size("own_a") + F.size("own_b") - common
+    alike = F.when(both == 0, True).otherwise(common >= similarity * both)
+    return materialise(pairs.join(left, "a").join(right, "b").where(alike).select(F.col("a").alias("u"), F.col("b").alias("v")), "overlap-links")
+
+
+def _placed(rows: DataFrame, roots: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` with the root of the text in ``column`` (the text itself where it is tied to none)."""
+    own = roots.select(F.col("node").alias(column), F.col("root").alias(name))
+    return rows.join(own, column, "left").withColumn(name, F.coalesce(name, column))
+
+
+def links(prints: DataFrame, texts: DataFrame, near: DataFrame, sketch: Sketch, similarity: float) -> DataFrame:
+    """Links (u, v) that connect all similar texts.
+
+    ``prints`` has rows (th, size, signature, bands), ``texts`` rows (th, text), ``near`` candidate pairs (a, b) from elsewhere.
+    """
+    # Only bands that at least two texts share are spread out; a key filter recognises them.
+    flat = prints.select("th", F.explode("bands").alias("band"))
+    shared = materialise(flat.groupBy("band").agg(F.min("th").alias("low"), F.max("th").alias("high")).where("low != high").select("band"), "overlap-shared")
+    spread = flag_members(prints.select("th", "size", "signature", F.explode("bands").alias("band")), "band", key_filter(shared, "band"), "hit").where("hit")
+    spread = spread.groupBy("band", "th").agg(F.first("size").alias("size"), F.first("signature").alias("signature"))
+    members = materialise(spread.join(shared, "band", "left_semi"), "overlap-members")
+
+    def likely(x: str, y: str) -> tuple[Column, Column]:
+        """Whether a pair may be at the threshold, and in how many bits its signatures differ."""
+        n, m = (F.col(f"{s}.size") for s in (x, y))
+        bits = sum((F.bit_count(F.element_at(f"{x}.signature", i + 1).bitwiseXOR(F.element_at(f"{y}.signature", i + 1))) for i in range(sketch.numbers)), F.lit(0))
+        return (F.least(n, m) >= similarity * F.greatest(n, m)) & (bits <= sketch.most), bits
+
+    own = F.struct("th", "size", "signature")
+    pivots = members.groupBy("band").agg(F.min_by(own, F.xxhash64("band", "th")).alias("x"))
+    can, bits = likely("x", "y")
+    star = members.select("band", own.alias("y")).join(pivots, "band").where(F.col("x.th") != F.col("y.th")).where(can)
+    star = materialise(star.select(F.col("x.th").alias("a"), F.col("y.th").alias("b"), bits.alias("bits")).distinct(), "overlap-star")
+
+    first = star.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a"))
+    found = _checked(first.select("a", "b").unionByName(near), texts, sketch, similarity)
+    rest = _placed(_placed(star, components(found), "a", "ra"), components(found), "b", "rb").where("ra != rb")
+    found = materialise(found.unionByName(_checked(rest, texts, sketch, similarity)), "overlap-found")
+
+    placed = materialise(_placed(members, components(found), "th", "root"), "overlap-placed")
     open_ = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band")
-    placed = materialise(placed.join(open_, "band"), "overlap-open")
-    x, y = (placed.select("band", F.col("th").alias(a), F.col("fp").alias(u), F.col("root").alias(r)) for a, u, r in (("a", "u", "ru"), ("b", "v", "rv")))
-    rest = x.join(y, "band").where("ru < rv").select("a", "b", "u", "v")
-    return found.unionByName(_checked(rest, texts, words, similarity))
+    placed = placed.join(open_, "band", "left_semi")
+    x, y = (placed.select("band", F.col("root").alias(f"r{s}"), own.alias(s)) for s in "xy")
+    last = x.join(y, "band").where(F.col("rx") < F.col("ry")).where(can).select(F.col("x.th").alias("a"), F.col("y.th").alias("b"))
+    return found.unionByName(_checked(last, texts, sketch, similarity))

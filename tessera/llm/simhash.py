@@ -78,16 +78,17 @@ def fingerprint(text: bytes | None) -> int:
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def _fingerprints(words: int, rows: int) -> Callable:
-    """Rows (id, th, fp, bands) from rows (id, th, text); bands of shingles of that many words, none if ``rows`` is 0."""
+def _fingerprints(sketch: overlap.Sketch | None) -> Callable:
+    """Rows (id, th, fp, size, signature, bands) from rows (id, th, text); without a sketch the last three are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("simhash")
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             out = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, batch.num_rows).view(np.int64)
-            bands = [overlap.bands(overlap.shingles(t.as_py(), words), rows) if rows else None for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(out), pa.array(bands, pa.list_(pa.int64()))], ["id", "th", "fp", "bands"])
+            size, signature, bands = zip(*(sketch.of(t.as_py()) for t in texts)) if sketch and batch.num_rows else ([None] * batch.num_rows,) * 3
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(out), pa.array(size, pa.int64()), pa.array(signature, longs), pa.array(bands, longs)], ["id", "th", "fp", "size", "signature", "bands"])
 
     return run
 
@@ -270,28 +271,43 @@ def links(fps: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return found.unionByName(tied.distinct())
 
 
+def _near_texts(prints: DataFrame, near: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts to be checked: those that share a fingerprint with its smallest, and of each fingerprint the smallest with that of one near it."""
+    least = prints.groupBy("fp").agg(F.min("th").alias("low"), F.max("th").alias("high"))
+    same = prints.select("fp", "th").join(least.where("low != high"), "fp").where("th != low").select(F.col("low").alias("a"), F.col("th").alias("b"))
+    one = near.groupBy("v").agg(F.min("u").alias("u"))
+    named = one.join(least.select(F.col("fp").alias("u"), F.col("low").alias("a")), "u").join(least.select(F.col("fp").alias("v"), F.col("low").alias("b")), "v")
+    return same.unionByName(named.select("a", "b"))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT_ROWS, similarity: float | None = None, words: int = 5) -> DataFrame:
     """Per row of ``docs``: id, th (xxhash64 of the raw text), fp (signed), component_id (smallest id reachable), keep.
 
-    With ``similarity`` texts are linked too whose sets of shingles of ``words`` words have at least that Jaccard similarity. keep marks the row with the smallest (id, th) of its component, null ids last.
+    Without ``similarity`` texts are linked whose fingerprints differ in 3 bits at most. With it, those whose sets of shingles of ``words`` words
+    have at least that Jaccard similarity: near fingerprints are then candidates only, see ``overlap``. keep marks the row with the smallest
+    (id, th) of its component, null ids last.
     """
     short_batches(docs.sparkSession)
     base = docs.select(quoted(id_col).alias("id"), F.xxhash64(quoted(text_col)).alias("th"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"))
     kind = dict(base.dtypes)["id"]
-    rows = overlap.band_rows(similarity) if similarity else 0
-    prints = materialise(base.mapInArrow(_fingerprints(words, rows), f"id {kind}, th long, fp long, bands array<long>"), "simhash-prints")
+    sketch = overlap.Sketch(words, similarity) if similarity else None
+    prints = materialise(base.mapInArrow(_fingerprints(sketch), f"id {kind}, th long, fp long, size long, signature array<long>, bands array<long>"), "simhash-prints")
+    near = links(materialise(prints.select("fp").distinct(), "simhash-distinct"), hot_rows)
+    node = "fp"
+    if sketch:
+        node = "th"
+        near = overlap.links(prints, base.select("th", "text"), _near_texts(prints, near), sketch, similarity)
+    roots = components(near)
     first = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("th"))
-    fps = materialise(prints.groupBy("fp").agg(F.min(first).alias("low")), "simhash-distinct")
-    near = links(fps, hot_rows)
-    roots = components(overlap.links(prints, base.select("th", "text"), near, words, similarity) if similarity else near)
-    tied = roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
-    tied = materialise(tied.join(fps, "fp"), "simhash-tied")
+    lows = materialise(prints.groupBy(node).agg(F.min(first).alias("low")), "simhash-lows")
+    tied = roots.select(F.col("node").alias(node), "root").unionByName(roots.select(F.col("root").alias(node), "root").distinct())
+    tied = materialise(tied.join(lows, node), "simhash-tied")
     least = tied.groupBy("root").agg(F.min("low").alias("component"))
-    moved = tied.join(least, "root").select("fp", "component")
+    moved = tied.join(least, "root").select(node, "component")
     # Written, so that the join with all rows has a plain exchange on either side and can be split where it is skewed.
-    by_fp = materialise(fps.join(moved, "fp", "left").select("fp", F.coalesce("component", "low").alias("first")), "simhash-components")
+    by_node = materialise(lows.join(moved, node, "left").select(node, F.coalesce("component", "low").alias("first")), "simhash-components")
     kept = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
-    return prints.join(by_fp, "fp", "left").select("id", "th", "fp", F.col("first.id").alias("component_id"), kept.alias("keep"))
+    return prints.join(by_node, node, "left").select("id", "th", "fp", F.col("first.id").alias("component_id"), kept.alias("keep"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, words: int = 5) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,9 +16,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and the master is local."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         place = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tessera-"))
     return place.rstrip("/")
@@ -96,7 +99,7 @@ def retain(docs: DataFrame, id_col: str, text_col: str, verdict: DataFrame) -> D
     """The rows of ``docs`` that a verdict keeps, with all their columns.
 
     ``verdict`` has one row (id, th, keep) per row of ``docs``, th being xxhash64 of the text. Rows that
-    are equal in id and text are one document: one of them stays if any is kept. Rows that the verdict
+    are equal in id and text are one document: one of them stays if any is kept, the one whose columns have the smallest hash. Rows that the verdict
     leaves alone go through without a shuffle; only the others, found by a key filter, are joined.
     """
     cols = docs.columns
@@ -110,5 +113,5 @@ def retain(docs: DataFrame, id_col: str, text_col: str, verdict: DataFrame) -> D
     v = touched.select(*(F.col(c).alias(n) for c, n in zip(("id", "th", "keep", "n"), names)))
     met = tagged.where(quoted(n_hit)).join(v, quoted(n_id).eqNullSafe(v[names[0]]) & (quoted(n_th) == v[names[1]]), "left")
     alone = met.where(quoted(names[2]).isNull()).select(*map(quoted, cols))
-    several = met.where(quoted(names[2])).groupBy(quoted(n_id), quoted(n_th)).agg(F.first(F.struct(*map(quoted, cols))).alias("row"))
+    several = met.where(quoted(names[2])).groupBy(quoted(n_id), quoted(n_th)).agg(F.min_by(F.struct(*map(quoted, cols)), F.xxhash64(*map(quoted, cols))).alias("row"))
     return through.unionByName(alone).unionByName(several.select(*(F.col("row").getField(c).alias(c) for c in cols)))

@@ -14,8 +14,8 @@ import xxhash
 import corpus_pipeline
 from tessera.llm import mixing, quality_rules, registry, spm
 
-from .test_dedup import slow_fingerprint
 from .test_models import slow_counts
+from .test_overlap import slow_shingles
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -86,7 +86,7 @@ def first_of_equal(docs):
 
 
 def first_of_near(docs):
-    prints = [slow_fingerprint(d["text"]) for d in docs]
+    sets = [slow_shingles(d["text"]) for d in docs]
     root = list(range(len(docs)))
 
     def find(i):
@@ -94,7 +94,7 @@ def first_of_near(docs):
 
     for i in range(len(docs)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 3:
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     return [d for i, d in enumerate(docs) if find(i) == i]
