@@ -23,7 +23,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near fingerprints, or of five-word shingles of Jaccard similarity 0.8 or more, stays, the one with the smallest id."""
+    """One document of each component of texts of Jaccard similarity 0.8 or more over five-word shingles stays, the one with the smallest id."""
     return simhash.near_dedup(docs, similarity=0.8)
 
 
