@@ -35,7 +35,7 @@ from .store import flag_members, key_filter, materialise
 SEED = 43
 MISS, SPREAD, BANDS = 1e-6, 5.0, 36
 #: Shingles of one text whose minima are taken at once.
-BLOCK = 4096
+BLOCK = 256
 #: Bits of a signature in one number.
 WORD_BITS = 60
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
