@@ -13,7 +13,7 @@ Candidates are checked in rounds, and after each of them what is tied already is
 1. each text with the likeliest of its bands' pivots (a band's pivot is its text with the smallest hash of band and text, another one in each
    band), and with its neighbour by fingerprint;
 2. each text with the other pivots that are not tied to it yet;
-3. all pairs of a band that are not tied yet.
+3. all pairs that share a band and are not tied yet, each pair in the first band that it shares.
 
 So a dense heap of near copies, which the first round ties, costs rows linear in its size, and no candidate that could join two
 components is left out. Texts are named by their hash (th). A set is read from its text again, only for texts in a pair, and never stands in
@@ -144,6 +144,10 @@ def links(prints: DataFrame, texts: DataFrame, near: DataFrame, sketch: Sketch,
     placed = materialise(_placed(members, components(found), "th", "root"), "overlap-placed")
     open_ = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band")
     placed = placed.join(open_, "band", "left_semi")
-    x, y = (placed.select("band", F.col("root").alias(f"r{s}"), own.alias(s)) for s in "xy")
-    last = x.join(y, "band").where(F.col("rx") < F.col("ry")).where(can).select(F.col("x.th").alias("a"), F.col("y.th").alias("b"))
+    # A pair is met in the first band that it shares, of those that are open still (a text is in BANDS at most).
+    listed = placed.groupBy("th").agg(F.collect_list("band").alias("own"))
+    placed = materialise(placed.join(listed, "th"), "overlap-open")
+    x, y = (placed.select("band", F.col("root").alias(f"r{s}"), F.col("own").alias(f"own_{s}"), own.alias(s)) for s in "xy")
+    once = F.array_min(F.array_intersect("own_x", "own_y")) == F.col("band")
+    last = x.join(y, "band").where(F.col("rx") < F.col("ry")).where(can).where(once).select(F.col("x.th").alias("a"), F.col("y.th").alias("b"))
     return found.unionByName(_checked(last, texts, sketch, similarity))
