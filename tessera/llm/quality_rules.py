@@ -1,46 +1,57 @@
 """Quality rules: base counts, then distribution divergence from language references.
 
-For every text: the base counts, a histogram of character classes and a histogram of common words. A
-language's reference is the mean of the normalised histograms of all documents of that language that pass
-the base rules. A document's divergence is the Jensen-Shannon distance (base 2, 0 to 1) to the nearest
-reference, taken apart for characters and for words. Minimum-length guards leave short texts out of a
-test that their few counts can't bear. A text is kept if it passes the base rules and no test that
-applies to it exceeds its limit.
-
-References are one row per language, from partial aggregates over all documents, so what goes to
-the driver and back is fixed in size. Null and empty texts have no words and fail the base rules. Without
-any reference (an empty table, no known language) only the base rules count, and so they do for a document whose
-own language is named but has no reference.
+For every text: the base counts, a histogram of character classes and a histogram of its language's common words. A
+document's divergence is the Jensen-Shannon distance (base 2, 0 to 1) of either histogram from its language's reference. A text is kept if it
+passes the base rules and no test that applies to it exceeds its limit. Minimum-length guards leave short texts out of a test that
+their few counts can't bear.
+
+All of this is learnt from the table, over all documents:
+
+* Languages: those that the table names and that have at least one word in MIN_SHARE of all words.
+* Common words: those that make up at least one word in COMMON_SHARE of all words of a language. Each task counts in chunks and reports what makes up
+  half of that in a chunk; a word that is common in all has at least half of its count in such chunks, so none is missed and what is reported is bounded. The exact
+  counts decide.
+* References: a language's mean histogram over its documents that pass the base rules, taken again, TRIMS times, over the nearer half of them, so that
+  junk has no part in it. A language of fewer than MIN_REFERENCE such documents has none.
+* Limits: by language and size (a power of two of characters or words) the median distance, SPREADS times the median deviation from it, and ALLOWANCE for kinds
+  of documents. A size with fewer than MIN_REFERENCE documents takes the limit of the next smaller size that has one, else of the next larger.
+
+What goes to the driver and back is fixed in size: languages (MIN_SHARE of them at most) by bins. Distances are
+counted in steps of 1/STEPS, so that medians are exact and don't hang on the order of the rows.
+
+Null and empty texts have no words and fail the base rules. A document whose language has no reference is held to the base
+rules only; one whose language is null to those and to the reference nearest in characters. Ties: a distance at its limit passes. Very long texts are
+measured whole, in memory linear in their words. Repeated rows count as often as they stand there and get the same verdict each. An empty table
+has no references and gives an empty result; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .caches import hold
-from .store import free_names, materialise, quoted, short_batches
-
-# Common words of each language of which there is a reference.
-COMMON_WORDS = {
-    "de": "der die und in den von zu das mit sich des für auf im ist nicht dem ein eine als".split(),
-    "en": "the of and to a in is that it for was on with as be by this are at from".split(),
-    "es": "de la que el en y los se del las un por con una no su para es al lo".split(),
-    "fr": "de la le et les des en un du une que est pour qui dans par au sur pas avec".split(),
-}
+from .store import materialise, quoted, short_batches, without
+
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 #: Percent of words in repeated windows beyond which a text fails.
 MAX_REPEAT = 50
 #: Characters and words below which a text's histogram isn't tested.
 MIN_CHARS_TESTED, MIN_WORDS_TESTED = 200, 50
-#: Distances beyond which a text is rejected: the first, plus the second over the root of the count (few counts scatter more).
-CHAR_LIMIT, WORD_LIMIT = (0.15, 1.5), (0.24, 0.8)
+#: A word is common that is at least one in so many of its language, a language known that has at least one word in so many of all.
+COMMON_SHARE, MIN_SHARE = 250, 1000
+#: Documents of a language, or of one size of it, that a reference or a limit rests on at least.
+MIN_REFERENCE = 20
+TRIMS, STEPS = 2, 1000
+SPREADS, ALLOWANCE = 6, 0.06
+#: Words that a task counts, and distinct ones that it holds, before it reports a chunk.
+CHUNK_WORDS, CHUNK_DISTINCT = 4_000_000, 400_000
 
 _SPACES = b"\t\n\x0b\x0c\r "
 #: The class of each byte of UTF-8; bytes that continue a character count in none.
@@ -61,19 +72,25 @@ def _class_map() -> np.ndarray:
 
 
 _CLASS_OF = _class_map()
-_LANGS = sorted(COMMON_WORDS)
-_BIN = {w.encode(): i for i, w in enumerate(sorted(set().union(*COMMON_WORDS.values())))}
-_OWN = np.array([[float(w.decode() in COMMON_WORDS[lang]) for w in _BIN] for lang in _LANGS])
+_EDGES = b".,;:!?\"'()"
+
 
+def plain_word(word: bytes) -> str:
+    """A word as it is counted: without marks at either end, in lower case; empty if anything but letters is left."""
+    plain = word.strip(_EDGES).decode("utf-8", "replace").lower()
+    return plain if plain.isalpha() else ""
 
-class _Known(dict):
+
+class _Bins(dict):
     """The bin of a word as it stands in a text, or -1; it forgets all when it holds many words."""
 
+    def __init__(self, common: list[str]):
+        self.bins = {w: i for i, w in enumerate(common)}
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
-        plain = word.strip(b".,;:!?\"'()").decode("utf-8", "replace").lower().encode()
-        self[word] = out = _BIN.get(plain, -1)
+        self[word] = out = self.bins.get(plain_word(word), -1)
         return out
 
 
@@ -94,7 +111,7 @@ def repeated_words(words: list[bytes], window: int = 3) -> int:
     return int((np.cumsum(covered[:-1]) > 0).sum())
 
 
-def measure(text: str | None, known: dict[bytes, int]) -> tuple:
+def measure(text: str | None, bins: _Bins) -> tuple:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class counts, common-word counts)."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
@@ -107,8 +124,8 @@ def measure(text: str | None, known: dict[bytes, int]) -> tuple:
             dups += 1
         elif line.split(None, 1):
             seen.add(line)
-    bins = np.fromiter((known[w] for w in words), np.int64, len(words))
-    common = np.bincount(bins[bins >= 0], minlength=len(_BIN))
+    found = np.fromiter(map(bins.__getitem__, words), np.int64, len(words))
+    common = np.bincount(found[found >= 0], minlength=len(bins.bins))
     symbols = int(by_byte[[ord(c) for c in SYMBOLS]].sum())
     return len(words), chars - int(by_byte[list(_SPACES)].sum()), symbols, dups, repeated_words(words), by_byte @ _CLASS_OF, common
 
@@ -125,130 +142,274 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip(terms.sum(-1) / 2, 0, 1))
 
 
-def _word_shares(common: np.ndarray, n_words: np.ndarray) -> np.ndarray:
-    """By document and language: the shares of that language's common words, then of all other words."""
-    own = common[:, None, :] * _OWN[None]
-    rest = n_words[:, None, None] - own.sum(-1, keepdims=True)
-    return np.concatenate([own, rest], -1) / np.maximum(n_words, 1)[:, None, None]
+# --- common words -----------------------------------------------------------------------------------
 
 
-_SCHEMA = T.StructType(
-    [T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    + [T.StructField("classes", T.ArrayType(T.IntegerType())), T.StructField("common", T.ArrayType(T.IntegerType()))]
-)
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, word, n) of what makes up half a common word's share in a chunk; the word "" has the chunk's total."""
+    kind = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 
+    def report() -> pa.RecordBatch:
+        rows = []
+        for lang, raw in counts.items():
+            plain: Counter = Counter()
+            for word, n in raw.items():
+                plain[plain_word(word)] += n
+            total = sum(plain.values())
+            rows.append({"lang": lang, "word": "", "n": total})
+            rows += [{"lang": lang, "word": w, "n": n} for w, n in plain.items() if w and 2 * COMMON_SHARE * n >= total]
+        return pa.RecordBatch.from_pylist(rows, kind)
 
-def _measured(batches: Iterator[pa.RecordBatch], known: _Known | None = None) -> Iterator[pa.RecordBatch]:
-    hold("rules")
-    known = _Known() if known is None else known
+    counts: dict[str, Counter] = {}
+    words = 0
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            rows = [measure(t.as_py(), known) for t in part.column("text")]
-            cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(5)] + [pa.array([r[i].astype(np.int32) for r in rows], pa.list_(pa.int32())) for i in (5, 6)]
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), part.column("lang"), *cols], ["id", "th", "lang", *_SCHEMA.names])
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary())):
+            own = (text.as_py() or b"").split()
+            counts.setdefault(lang, Counter()).update(own)
+            words += len(own)
+        if words > CHUNK_WORDS or sum(map(len, counts.values())) > CHUNK_DISTINCT:
+            yield report()
+            counts, words = {}, 0
+    yield report()
+
+
+def likely_words(base: DataFrame) -> dict[str, list[str]]:
+    """By language all words that may be common, from rows (lang, text)."""
+    named = base.where("lang is not null").select("lang", F.coalesce("text", F.lit("")).alias("text"))
+    sums = named.mapInArrow(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    sums = materialise(sums, "rules-words")
+    totals = sums.where("word = ''").select("lang", F.col("n").alias("total"))
+    every = totals.agg(F.sum("total")).first()[0] or 0
+    large = totals.where(F.col("total") * MIN_SHARE >= every)  # at most MIN_SHARE languages
+    rows = sums.join(F.broadcast(large), "lang").where((F.col("word") == "") | (F.col("n") * 2 * COMMON_SHARE >= F.col("total")))
+    out: dict[str, list[str]] = {}
+    for r in rows.select("lang", "word").collect():  # languages x 2 COMMON_SHARE at most
+        out.setdefault(r["lang"], []).append(r["word"])
+    return {lang: sorted(set(words) - {""}) for lang, words in sorted(out.items())}
+
+
+# --- references and limits --------------------------------------------------------------------------
+
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def _measured(likely: dict[str, list[str]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("rules")
+        bins = {lang: _Bins(words) for lang, words in likely.items()}
+        none = _Bins([])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                rows = [measure(t.as_py(), bins.get(lang, none)) for t, lang in zip(part.column("text"), part.column("lang").to_pylist())]
+                cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(5)] + [pa.array([r[i].astype(np.int32) for r in rows], pa.list_(pa.int32())) for i in (5, 6)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), part.column("lang"), *cols], ["id", "th", "lang", *_COUNTS, "classes", "common"])
+
+    return run
+
+
+def common_words(measured: DataFrame, likely: dict[str, list[str]]) -> dict[str, list[int]]:
+    """By language the places of those likely words that are common, by exact counts over all documents."""
+    known = measured.where(F.col("lang").isin(list(likely)))
+    words = known.groupBy("lang").agg(F.sum("n_words").alias("total"))
+    bins = known.select("lang", F.posexplode("common")).where("col > 0").groupBy("lang", "pos").agg(F.sum("col").alias("n"))
+    out: dict[str, list[int]] = {lang: [] for lang in likely}
+    for r in bins.join(F.broadcast(words), "lang").where(F.col("n") * COMMON_SHARE >= F.col("total")).select("lang", "pos").collect():  # languages x COMMON_SHARE at most
+        out[r["lang"]].append(r["pos"])
+    return {lang: sorted(places) for lang, places in out.items()}
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(float)
 
 
-def _shares(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n_words = batch.column("n_words").to_numpy()
-    classes = _matrix(batch.column("classes"), len(CLASSES))
-    chars = classes.sum(-1)
-    return n_words, chars, classes / np.maximum(chars, 1)[:, None], _word_shares(_matrix(batch.column("common"), len(_BIN)), n_words)
+class _Histograms:
+    """The normalised histograms of the rows of a batch that are of one language, in characters and in common words."""
 
+    def __init__(self, batch: pa.RecordBatch, places: list[int], width: int):
+        classes, self.n_words = _matrix(batch.column("classes"), len(CLASSES)), batch.column("n_words").to_numpy()
+        self.n_chars = classes.sum(-1)
+        self.chars = classes / np.maximum(self.n_chars, 1)[:, None]
+        common = _matrix(batch.column("common"), width)[:, places] if width else np.zeros((batch.num_rows, 0))
+        rest = self.n_words - common.sum(-1)
+        self.words = np.concatenate([common, rest[:, None]], -1) / np.maximum(self.n_words, 1)[:, None]
+
+
+def _by_language(batch: pa.RecordBatch, likely: dict[str, list[str]], common: dict[str, list[int]]) -> Iterator[tuple[str, np.ndarray, _Histograms]]:
+    langs = np.array(batch.column("lang").to_pylist(), object)
+    for lang in common:
+        rows = np.flatnonzero(langs == lang)
+        if len(rows):
+            yield lang, rows, _Histograms(batch.take(pa.array(rows)), common[lang], len(likely[lang]))
+
+
+References = dict[str, tuple[np.ndarray, np.ndarray]]
+_STEP_ROWS = "lang string, test int, size int, step int, n long"
+_SUM_ROWS = "lang string, n long, hist array<double>"
+
+
+def _summed(likely: dict, common: dict, refs: References | None, near: dict | None):
+    """A task's sums of normalised histograms by language and test, of all rows or of those no farther than the median; rows (lang, test, n, hist)."""
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's sums of normalised histograms by language: rows (lang, n, classes, words)."""
-    total = {lang: [0, np.zeros(len(CLASSES)), np.zeros(len(_BIN) + 1)] for lang in _LANGS}
-    for batch in batches:
-        _, _, classes, words = _shares(batch)
-        langs = np.array(batch.column("lang").to_pylist(), object)
-        for k, lang in enumerate(_LANGS):
-            own = langs == lang
-            if own.any():
-                t = total[lang]
-                t[0] += int(own.sum())
-                t[1] += classes[own].sum(0)
-                t[2] += words[own, k].sum(0)
-    found = [(lang, *t) for lang, t in total.items() if t[0]]
-    yield pa.RecordBatch.from_pylist([{"lang": x[0], "n": x[1], "hist": [*x[2], *x[3]]} for x in found], pa.schema([("lang", pa.string()), ("n", pa.int64()), ("hist", pa.list_(pa.float64()))]))
-
-
-def references(measured: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """The mean histograms of each language, from all measured documents that pass the base rules."""
-    good = measured.where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    parts = good.select("lang", "n_words", "classes", "common").mapInArrow(_summed, "lang string, n long, hist array<double>")
-    summed = parts.select("lang", "n", F.posexplode("hist")).groupBy("lang", "pos").agg(F.sum("n").alias("n"), F.sum("col").alias("total"))
-    out: dict[str, np.ndarray] = {}
-    for r in summed.collect():  # languages x bins
-        # Rounded: the order in which floats are summed differs from run to run.
-        out.setdefault(r["lang"], np.zeros(len(CLASSES) + len(_BIN) + 1))[r["pos"]] = round(r["total"] / r["n"], 9)
-    return {k: (v[: len(CLASSES)] / v[: len(CLASSES)].sum(), v[len(CLASSES) :] / v[len(CLASSES) :].sum()) for k, v in sorted(out.items())}
-
-
-def distances(classes: np.ndarray, words: np.ndarray, refs: dict[str, tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """The distances to the nearest reference by character classes and by common words."""
-    char = np.min([js_distance(classes, c) for c, _ in refs.values()], axis=0)
-    word = np.min([js_distance(words[:, _LANGS.index(lang)], w) for lang, (_, w) in refs.items()], axis=0)
-    return char, word
-
-
-def _limit(limit: tuple[float, float], counts: np.ndarray) -> np.ndarray:
-    return limit[0] + limit[1] / np.sqrt(np.maximum(counts, 1))
-
-
-def _judge(refs: dict[str, tuple[np.ndarray, np.ndarray]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[str, int], list] = {}
         for batch in batches:
-            n_words, chars, classes, words = _shares(batch)
-            failed = base_failed(n_words, batch.column("n_repeat_words").to_numpy())
-            kept = ~failed
-            char = word = np.zeros(batch.num_rows)
-            if refs and batch.num_rows:
-                char, word = distances(classes, words, refs)
-                held = np.array([lang is None or lang in refs for lang in batch.column("lang").to_pylist()], bool)
-                kept &= ~(held & (chars >= MIN_CHARS_TESTED) & (char > _limit(CHAR_LIMIT, chars)))
-                kept &= ~(held & (n_words >= MIN_WORDS_TESTED) & (word > _limit(WORD_LIMIT, n_words)))
-            names = ["id", "th", *_SCHEMA.names[:5]]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *map(pa.array, (failed, kept, char, word))], [*names, "base_failed", "kept", "char_distance", "word_distance"])
+            for lang, _, h in _by_language(batch, likely, common):
+                for test, hist in enumerate((h.chars, h.words)):
+                    own = hist if refs is None else hist[_step(js_distance(hist, refs[lang][test])) <= near[lang, test]] if lang in refs else hist[:0]
+                    t = total.setdefault((lang, test), [0, np.zeros(hist.shape[1])])
+                    t[0] += len(own)
+                    t[1] += own.sum(0)
+        rows = [{"lang": lang, "test": test, "n": n, "hist": hist.tolist()} for (lang, test), (n, hist) in total.items() if n]
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("lang", pa.string()), ("test", pa.int32()), ("n", pa.int64()), ("hist", pa.list_(pa.float64()))]))
 
     return run
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
-    """Per row of ``docs``: id, th (xxhash64 of the text), the base counts, base_failed, kept and both distances."""
+def _step(distance: np.ndarray) -> np.ndarray:
+    return np.ceil(distance * STEPS - 1e-6).astype(np.int32)
+
+
+def _size(count: np.ndarray) -> np.ndarray:
+    """The power of two of a count."""
+    return np.frexp(np.maximum(count, 1).astype(float))[1] - 1
+
+
+def _stepped(likely: dict, common: dict, refs: References):
+    """How many rows of a task have which distance: rows (lang, test, size, step, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for lang, _, h in _by_language(batch, likely, common):
+                if lang in refs:
+                    for test, (hist, count) in enumerate(((h.chars, h.n_chars), (h.words, h.n_words))):
+                        seen.update(zip([lang] * len(count), [test] * len(count), _size(count).tolist(), _step(js_distance(hist, refs[lang][test])).tolist()))
+        rows = [{"lang": k[0], "test": k[1], "size": k[2], "step": k[3], "n": n} for k, n in seen.items()]
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("lang", pa.string()), ("test", pa.int32()), ("size", pa.int32()), ("step", pa.int32()), ("n", pa.int64())]))
+
+    return run
+
+
+def _median(counts: dict[int, int]) -> int:
+    half, seen = sum(counts.values()) / 2, 0
+    for step in sorted(counts):
+        seen += counts[step]
+        if seen >= half:
+            return step
+    return 0
+
+
+class Judge:
+    """Common words, references and limits of every language of a corpus."""
+
+    def __init__(self, measured: DataFrame, likely: dict[str, list[str]]):
+        self.likely, self.common = likely, common_words(measured, likely) if likely else {}
+        good = measured.where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).where(F.col("lang").isin(list(likely))).select("lang", "n_words", "classes", "common")
+        self.refs: References = {}
+        self.limits: dict[tuple[str, int], dict[int, float]] = {}
+        if not likely:
+            return
+        refs = self._means(good, None, None)
+        for _ in range(TRIMS):
+            refs = self._means(good, refs, {k: _median(self._merged(v)) for k, v in self._steps(good, refs).items()})
+        self.refs = refs
+        for key, by_size in self._steps(good, refs).items():
+            for size, counts in by_size.items():
+                if sum(counts.values()) >= MIN_REFERENCE:
+                    m = _median(counts)
+                    off: Counter = Counter()
+                    for step, n in counts.items():
+                        off[abs(step - m)] += n
+                    self.limits.setdefault(key, {})[size] = (m + SPREADS * _median(off)) / STEPS + ALLOWANCE
+
+    def _means(self, good: DataFrame, refs: References | None, near: dict | None) -> References:
+        parts = good.mapInArrow(_summed(self.likely, self.common, refs, near), "lang string, test int, n long, hist array<double>")
+        summed = parts.select("lang", "test", "n", F.posexplode("hist")).groupBy("lang", "test", "pos").agg(F.sum("n").alias("n"), F.sum("col").alias("total"))
+        found: dict[str, dict] = {}
+        for r in summed.collect():  # languages x bins
+            # Rounded: the order in which floats are summed differs from run to run.
+            if refs is not None or r["n"] >= MIN_REFERENCE:
+                found.setdefault(r["lang"], {})[r["test"], r["pos"]] = round(r["total"] / r["n"], 9)
+        out = {}
+        for lang, v in sorted(found.items()):
+            hists = [np.array([x for (t, _), x in sorted(v.items()) if t == test]) for test in (0, 1)]
+            out[lang] = tuple(h / h.sum() for h in hists)
+        return out
+
+    def _steps(self, good: DataFrame, refs: References) -> dict[tuple[str, int], dict[int, dict[int, int]]]:
+        parts = good.mapInArrow(_stepped(self.likely, self.common, refs), _STEP_ROWS).groupBy("lang", "test", "size", "step").agg(F.sum("n").alias("n"))
+        out: dict = {}
+        for r in parts.collect():  # languages x sizes x STEPS at most
+            out.setdefault((r["lang"], r["test"]), {}).setdefault(r["size"], {})[r["step"]] = r["n"]
+        return out
+
+    @staticmethod
+    def _merged(by_size: dict[int, dict[int, int]]) -> dict[int, int]:
+        out: Counter = Counter()
+        for counts in by_size.values():
+            out.update(counts)
+        return out
+
+    def limit(self, lang: str, test: int, count: np.ndarray) -> np.ndarray:
+        known = self.limits.get((lang, test), {})
+        sizes = _size(count)
+        if not known:
+            return np.full(len(count), np.inf)
+        by = {s: known[max((k for k in known if k <= s), default=min(known))] for s in set(sizes.tolist())}
+        return np.array([by[s] for s in sizes.tolist()])
+
+    def __call__(self, batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """(base_failed, kept, distance in characters, distance in words) of measured rows; a distance is NaN without a reference."""
+        n_words = batch.column("n_words").to_numpy()
+        failed = base_failed(n_words, batch.column("n_repeat_words").to_numpy())
+        kept, distance = ~failed, np.full((2, len(failed)), np.nan)
+        for lang, rows, h in _by_language(batch, self.likely, self.common):
+            if lang in self.refs:
+                for test, (hist, count, least) in enumerate(((h.chars, h.n_chars, MIN_CHARS_TESTED), (h.words, h.n_words, MIN_WORDS_TESTED))):
+                    distance[test, rows] = d = js_distance(hist, self.refs[lang][test])
+                    kept[rows] &= ~((count >= least) & (d > self.limit(lang, test, count)))
+        rows = np.flatnonzero(np.array([x is None for x in batch.column("lang").to_pylist()], bool))
+        if len(rows) and self.refs:
+            h = _Histograms(batch.take(pa.array(rows)), [], 0)
+            every = np.array([js_distance(h.chars, chars) for chars, _ in self.refs.values()])
+            limits = np.array([self.limit(lang, 0, h.n_chars) for lang in self.refs])
+            distance[0, rows] = every.min(0)
+            kept[rows] &= ~((h.n_chars >= MIN_CHARS_TESTED) & (every.min(0) > limits[every.argmin(0), np.arange(len(rows))]))
+        return failed, kept, distance[0], distance[1]
+
+
+def _verdicts(judge: Judge):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = ["id", "th", "lang", *_COUNTS]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *map(pa.array, judge(batch))], [*names, "base_failed", "kept", "char_distance", "word_distance"])
+
+    return run
+
+
+def _base(docs: DataFrame, id_col: str | None, text_col: str, lang_col: str | None) -> DataFrame:
     short_batches(docs.sparkSession)
     lang = quoted(lang_col).cast("string") if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
-    base = docs.select(quoted(id_col).alias("id"), F.xxhash64(quoted(text_col)).alias("th"), lang.alias("lang"), quoted(text_col).cast("string").alias("text"))
+    own = quoted(id_col) if id_col else F.lit(0)
+    return docs.select(own.alias("id"), F.xxhash64(quoted(text_col)).alias("th"), lang.alias("lang"), quoted(text_col).cast("string").alias("text"))
+
+
+def _judged(base: DataFrame) -> DataFrame:
     kind = dict(base.dtypes)["id"]
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in _SCHEMA)
-    measured = materialise(base.mapInArrow(_measured, f"id {kind}, th long, lang string, {fields}"), "rules-measured")
-    counts = ", ".join(f"{c} long" for c in _SCHEMA.names[:5])
-    return measured.mapInArrow(_judge(references(measured)), f"id {kind}, th long, {counts}, base_failed boolean, kept boolean, char_distance double, word_distance double")
+    likely = likely_words(base.select("lang", "text"))
+    counts = ", ".join(f"{c} long" for c in _COUNTS)
+    measured = materialise(base.mapInArrow(_measured(likely), f"id {kind}, th long, lang string, {counts}, classes array<int>, common array<int>"), "rules-measured")
+    return measured.mapInArrow(_verdicts(Judge(measured, likely)), f"id {kind}, th long, lang string, {counts}, base_failed boolean, kept boolean, char_distance double, word_distance double")
+
+
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
+    """Per row of ``docs``: id, th (xxhash64 of the text), the base counts, base_failed, kept and both distances (NaN without a reference)."""
+    return _judged(_base(docs, id_col, text_col, lang_col)).drop("lang")
 
 
 def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns; a second scan decides row by row, without a join."""
-    short_batches(docs.sparkSession)
+    """The rows of ``docs`` that the rules keep, with all their columns. Texts are measured once; what is rejected is recognised by text hash and language."""
+    refused = _judged(_base(docs, None, text_col, lang_col)).where("not kept").select("th", "lang").distinct()
     lang = quoted(lang_col).cast("string") if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
-    base = docs.select(F.lit(0).alias("id"), F.lit(0).cast("long").alias("th"), lang.alias("lang"), quoted(text_col).cast("string").alias("text"))
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in _SCHEMA)
-    measured = base.mapInArrow(_measured, f"id int, th long, lang string, {fields}").drop("id", "th")
-    refs = references(materialise(measured, "rules-measured"))
-    judge, names = _judge(refs), docs.columns
-    text, own_lang = free_names(docs, "rules_text", "rules_lang")
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Known()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                none = pa.array(np.zeros(part.num_rows, np.int64))
-                own = pa.RecordBatch.from_arrays([none, none, part.column(own_lang), part.column(text)], ["id", "th", "lang", "text"])
-                verdicts = pa.Table.from_batches(list(judge(_measured(iter([own]), known))))
-                yield part.select(names).filter(verdicts.column("kept").combine_chunks())
-
-    return docs.withColumns({text: quoted(text_col).cast("string"), own_lang: lang}).mapInArrow(keep, docs.schema)
+    return without(docs, [F.xxhash64(quoted(text_col)), lang], refused)

@@ -115,3 +115,16 @@ def retain(docs: DataFrame, id_col: str, text_col: str, verdict: DataFrame) -> D
     alone = met.where(quoted(names[2]).isNull()).select(*map(quoted, cols))
     several = met.where(quoted(names[2])).groupBy(quoted(n_id), quoted(n_th)).agg(F.min_by(F.struct(*map(quoted, cols)), F.xxhash64(*map(quoted, cols))).alias("row"))
     return through.unionByName(alone).unionByName(several.select(*(F.col("row").getField(c).alias(c) for c in cols)))
+
+
+def without(docs: DataFrame, keys: list[Column], refused: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``keys`` aren't a row of ``refused``, with all their columns; nulls are equal. Only rows that a key filter can't let through are joined."""
+    cols, names = docs.columns, free_names(docs, *(f"w_{i}" for i in range(len(keys))), "w_key", "w_hit")
+    own, key, hit = names[:-2], names[-2], names[-1]
+    refused = materialise(refused.withColumn("key", F.xxhash64(*(F.col(c) for c in refused.columns))), "refused")
+    tagged = docs.withColumns(dict(zip(own, keys))).withColumn(key, F.xxhash64(*map(quoted, own)))
+    tagged = flag_members(tagged, key, key_filter(refused, "key"), hit)
+    out = refused.select(*(F.col(c).alias(f"o_{i}") for i, c in enumerate(refused.columns[:-1])))
+    same = [quoted(c).eqNullSafe(out[f"o_{i}"]) for i, c in enumerate(own)]
+    met = tagged.where(quoted(hit)).join(out, same, "left_anti")
+    return tagged.where(~quoted(hit)).select(*map(quoted, cols)).unionByName(met.select(*map(quoted, cols)))

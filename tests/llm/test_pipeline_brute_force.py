@@ -12,7 +12,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from tessera.llm import mixing, quality_rules, registry, spm
+from tessera.llm import quality_rules, registry, spm
 
 from .test_models import slow_counts
 from .test_overlap import slow_shingles
@@ -33,11 +33,9 @@ def classes(text):
     return [out[k] for k in quality_rules.CLASSES]
 
 
-def common(text, lang):
-    words = re.findall(r"[^\x20\x09-\x0D]+", text)
-    plain = Counter(w.strip(".,;:!?\"'()").lower() for w in words)
-    own = [plain[w] for w in sorted(quality_rules.COMMON_WORDS[lang])]
-    return [*own, len(words) - sum(own)]
+def plain(text):
+    words = [w.strip(".,;:!?\"'()").lower() for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    return [w if w.isalpha() else "" for w in words]
 
 
 def share(counts):
@@ -52,27 +50,60 @@ def distance(p, q):
     return math.sqrt(max(total / 2, 0))
 
 
+def middle(values):
+    values = sorted(values)
+    return values[(len(values) - 1) // 2]
+
+
+def step(d):
+    return math.ceil(d * 1000 - 1e-6)
+
+
 def rules(docs):
     failed = {}
     for d in docs:
         n = slow_counts(d["text"])
         failed[d["doc_id"]] = n[0] < 50 or 100 * n[4] > 50 * n[0]
-    refs = {}
-    for lang in quality_rules.COMMON_WORDS:
-        own = [d["text"] for d in docs if d["lang"] == lang and not failed[d["doc_id"]]]
-        if own:
-            refs[lang] = [[sum(x) / len(own) for x in zip(*(share(f(t)) for t in own))] for f in (classes, lambda t, lang=lang: common(t, lang))]
-    kept = []
+    words = defaultdict(list)
     for d in docs:
-        t = d["text"]
-        char = min(distance(share(classes(t)), refs[lang][0]) for lang in refs)
-        word = min(distance(share(common(t, lang)), refs[lang][1]) for lang in refs)
-        chars, words = len(t), len(t.split())
-        bad = chars >= quality_rules.MIN_CHARS_TESTED and char > quality_rules.CHAR_LIMIT[0] + quality_rules.CHAR_LIMIT[1] / math.sqrt(chars)
-        bad |= words >= quality_rules.MIN_WORDS_TESTED and word > quality_rules.WORD_LIMIT[0] + quality_rules.WORD_LIMIT[1] / math.sqrt(words)
-        if not failed[d["doc_id"]] and not bad:
-            kept.append(d)
-    return kept
+        words[d["lang"]] += plain(d["text"])
+    common = {lang: sorted(w for w, n in Counter(own).items() if w and 250 * n >= len(own)) for lang, own in words.items()}
+
+    def histograms(d):
+        own = Counter(plain(d["text"]))
+        counts = [own[w] for w in common[d["lang"]]]
+        return share(classes(d["text"] or "")), share([*counts, sum(own.values()) - sum(counts)])
+
+    shares = {d["doc_id"]: histograms(d) for d in docs}
+    size = lambda d, test: (len(d["text"]) if test == 0 else len(plain(d["text"]))).bit_length() - 1
+    kept = {d["doc_id"] for d in docs if not failed[d["doc_id"]]}
+    tested = 0
+    for lang in common:
+        good = [d for d in docs if d["lang"] == lang and not failed[d["doc_id"]]]
+        if len(good) < 20:
+            continue
+        for test, least in ((0, 200), (1, 50)):
+            of = {d["doc_id"]: shares[d["doc_id"]][test] for d in docs if d["lang"] == lang}
+            inside = good
+            for _ in range(3):
+                ref = share([sum(x) / len(inside) for x in zip(*(of[d["doc_id"]] for d in inside))])
+                half = middle(step(distance(of[d["doc_id"]], ref)) for d in good)
+                inside = [d for d in good if step(distance(of[d["doc_id"]], ref)) <= half]
+            limits = {}
+            for k in {size(d, test) for d in good}:
+                steps = [step(distance(of[d["doc_id"]], ref)) for d in good if size(d, test) == k]
+                if len(steps) >= 20:
+                    m = middle(steps)
+                    limits[k] = (m + 6 * middle(abs(x - m) for x in steps)) / 1000 + 0.06
+            for d in good:
+                n = len(d["text"]) if test == 0 else len(plain(d["text"]))
+                if n >= least and limits:
+                    tested += 1
+                    limit = limits[max((k for k in limits if k <= size(d, test)), default=min(limits))]
+                    if distance(of[d["doc_id"]], ref) > limit:
+                        kept.discard(d["doc_id"])
+    assert tested > 100
+    return [d for d in docs if d["doc_id"] in kept]
 
 
 def first_of_equal(docs):
@@ -104,40 +135,56 @@ def signed_hash(data, seed):
     return xxhash.xxh64_intdigest(data, seed % (1 << 64))
 
 
-def selected(docs):
+def selected(docs, taken):
+    """What the mix takes: whole copies, and of each source and size the rows of the smallest hash, as many as ``taken`` has; their sum is the best that counts allow."""
     by = defaultdict(list)
     for d in docs:
         by[d["source"]].append(d)
-    names = sorted(by)
     size = {d["doc_id"]: len(d["text"].split()) for d in docs}
-    totals = [sum(size[d["doc_id"]] for d in by[s]) for s in names]
-    goals = mixing.targets(totals, [i % 3 + 1 for i in range(len(names))])
+    total = {s: sum(size[d["doc_id"]] for d in by[s]) for s in by}
+    goal, open_, left = {}, sorted(by), sum(total.values())
+    weight = {s: i % 3 + 1 for i, s in enumerate(open_)}
+    while open_:
+        part = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = [s for s in open_ if part[s] > 3 * total[s]]
+        goal |= {s: 3 * total[s] for s in over} if over else part
+        left -= sum(3 * total[s] for s in over)
+        open_ = [s for s in open_ if s in over] and [s for s in open_ if s not in over]
     out = Counter()
-    for s, total, goal in zip(names, totals, goals):
-        repeats = min(int(goal // total), 3)
-        lengths = sorted({size[d["doc_id"]] for d in by[s]})
-        groups = {n: [d for d in by[s] if size[d["doc_id"]] == n] for n in lengths}
-        import numpy as np
-
-        take = mixing.fit(np.array(lengths), np.array([len(groups[n]) for n in lengths]), round(goal) - repeats * total) if repeats < 3 else [0] * len(lengths)
-        for n, k in zip(lengths, take):
+    for s in by:
+        repeats = min(int(goal[s] // total[s]), 3)
+        budget = round(goal[s]) - repeats * total[s] if repeats < 3 else 0
+        reach = 1
+        for d in by[s]:
+            reach |= reach << size[d["doc_id"]]
+        best = (reach & ((1 << (budget + 1)) - 1)).bit_length() - 1
+        groups = defaultdict(list)
+        for d in by[s]:
+            groups[size[d["doc_id"]]].append(d)
+        got = 0
+        for n, own in groups.items():
+            k = sum(taken[d["doc_id"]] - repeats for d in own)
+            got += n * k
+
             def key(d):
                 h = signed_hash(struct.pack("<i", 42), 42)
                 h = signed_hash(struct.pack("<q", d["doc_id"]), h)
                 h = signed_hash(struct.pack("<Q", signed_hash(d["text"].encode(), 42)), h)
                 return h - (1 << 64) if h >> 63 else h
 
-            for i, d in enumerate(sorted(groups[n], key=key)):
+            for i, d in enumerate(sorted(own, key=key)):
                 out[d["doc_id"]] += repeats + (i < k)
+        assert got == best
     return +out
 
 
 def test_run_matches_brute_force(spark):
     docs = [r.asDict() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     kept = first_of_near(first_of_equal(rules(docs)))
-    want = selected(kept)
     rows = corpus_pipeline.run(spark, SF).collect()
-    assert Counter(r["doc_id"] for r in rows) == want and 0 < len(kept) < len(docs)
+    taken = Counter(r["doc_id"] for r in rows)
+    assert set(taken) <= {d["doc_id"] for d in kept} and 0 < len(kept) < len(docs)
+    assert taken == selected(kept, taken)
     m = spm.PieceModel(registry.tokenizer_file("piece_bpe_32k.model"))
     text = {d["doc_id"]: d["text"] for d in docs}
     for r in rows[:40]:
