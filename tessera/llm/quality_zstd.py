@@ -1,14 +1,15 @@
 """Quality classifier by compression: dictionaries from good and from bad text, and the difference of sizes.
 
-A bounded sample of labelled rows is halved. One half's texts, cut in blocks, train one zstandard dictionary of
-good and one of bad text. Every text is compressed whole, block by block, with either dictionary and
-with none. Its difference is (bad size - good size) / bytes: how many bytes of output per byte of text the
-good dictionary saves. The other half calibrates: a logistic curve over the difference and, since a text that compresses
-well by itself leaves little to save, the size without a dictionary per byte.
+A bounded sample of labelled rows is halved. All of one half's texts, cut in blocks, train one zstandard dictionary of
+good and one of bad text. Every text is compressed whole, block by block, with either dictionary. Its difference is
+(bad size - good size) / bytes: how many bytes of output per byte of text the good dictionary saves. The other half calibrates:
+a logistic curve over the difference, which is the score's only input.
 
-Blocks make the measure independent of length: a dictionary helps every block alike, not only a text's start.
+Blocks make the measure independent of length: a dictionary helps every block alike, not only a text's start. A text of any
+length takes memory for itself and one block.
 Nulls count as empty texts; an empty text has difference 0 and the score that the curve gives to it. Without labels of
-both classes the score is the share of good labels with one added to each class.
+both classes in both halves the score is the share of good labels with one added to each class. Equal texts have equal scores; a repeated row is
+scored as often as it stands there, and an empty table has no scores. Columns other than id and text aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,16 +27,13 @@ from .store import quoted, short_batches
 
 #: The bound of the labelled sample.
 SAMPLE_ROWS = 6000
-BLOCK, DICTIONARY_BYTES, LEVEL = 4096, 112 * 1024, 3
-#: Blocks of each class that train a dictionary.
-TRAINING_BLOCKS = 4000
+#: Bytes of a block, in training and in scoring.
+BLOCK, DICTIONARY_BYTES, LEVEL = 1024, 112 * 1024, 3
 
 
 def dictionary(texts: list[str]) -> bytes:
     """A trained dictionary, or the blocks themselves where they are too few to train one."""
-    blocks = [b[i : i + BLOCK // 2] for t in texts if (b := t.encode("utf-8", "surrogatepass")) for i in range(0, len(b), BLOCK // 2)]
-    if len(blocks) > TRAINING_BLOCKS:
-        blocks = blocks[:: -(-len(blocks) // TRAINING_BLOCKS)]
+    blocks = [b[i : i + BLOCK] for t in texts if (b := t.encode("utf-8", "surrogatepass")) for i in range(0, len(b), BLOCK)]
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, blocks)) // 4)), blocks).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -43,50 +41,40 @@ def dictionary(texts: list[str]) -> bytes:
 
 
 class Sizer:
-    """Compressed sizes of a text with each dictionary and with none."""
+    """Compressed sizes of a text with each dictionary."""
 
     def __init__(self, dictionaries: tuple[bytes, bytes]):
-        plain = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
-        self.by = [zstandard.ZstdCompressor(**plain)]
+        self.by = []
         for raw in dictionaries:
             trained = raw[:4] == b"\x37\xa4\x30\xec"
             d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_FULLDICT if trained else zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
-            self.by.append(zstandard.ZstdCompressor(dict_data=d, **plain))
+            self.by.append(zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False))
 
-    def features(self, text: str | None) -> tuple[float, float]:
-        """(difference, size without a dictionary), both per byte."""
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        if not raw:
-            return 0.0, 0.0
-        sizes = [0, 0, 0]
-        for i in range(0, len(raw), BLOCK):
-            part = raw[i : i + BLOCK]
-            for k, c in enumerate(self.by):
-                sizes[k] += len(c.compress(part))
-        return (sizes[1] - sizes[2]) / len(raw), sizes[0] / len(raw)
-
-
-def _design(x: np.ndarray) -> np.ndarray:
-    d, r = x[:, 0], np.minimum(x[:, 1], 2.0)
-    return np.stack([np.ones(len(d)), 10 * d, r, r * r, 10 * d * r], axis=1)
+    def difference(self, text: str | None) -> float:
+        """(size by the first dictionary - size by the second) / bytes."""
+        raw = memoryview((text or "").encode("utf-8", "surrogatepass"))
+        if not len(raw):
+            return 0.0
+        first, second = (sum(len(c.compress(raw[i : i + BLOCK])) for i in range(0, len(raw), BLOCK)) for c in self.by)
+        return (first - second) / len(raw)
 
 
 def logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
-    """Weights of the logistic curve, by Newton's method with a ridge."""
-    a, w = _design(x), np.zeros(5)
+def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 100) -> tuple[float, float]:
+    """(slope, shift) of the logistic curve over the differences, by damped Newton steps with a ridge."""
+    mean, spread = float(x.mean()), float(x.std()) or 1.0
+    a, w = np.stack([(x - mean) / spread, np.ones(len(x))], axis=1), np.zeros(2)
     for _ in range(steps):
         p = logistic(a @ w)
-        grad = a.T @ (p - y) + ridge * w
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(5), grad)
-        w -= step
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(2), a.T @ (p - y) + ridge * w)
+        w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return w
+    return float(w[0] / spread), float(w[1] - w[0] * mean / spread)
 
 
 class Model:
@@ -101,13 +89,13 @@ class Model:
             self.dictionaries = tuple(dictionary([t for t, own, k in zip(texts, half, y) if own and k == c]) for c in (0, 1))
             sizer = Sizer(self.dictionaries)
             rest = np.flatnonzero(~half)
-            self.weights = calibrate(np.array([sizer.features(texts[i]) for i in rest]), y[rest])
+            self.weights = calibrate(np.array([sizer.difference(texts[i]) for i in rest]), y[rest])
 
     def scores(self, texts: list[str | None], sizer: Sizer | None) -> tuple[np.ndarray, np.ndarray]:
         if sizer is None or not texts:
             return np.full(len(texts), self.prior), np.zeros(len(texts))
-        x = np.array([sizer.features(t) for t in texts])
-        return logistic(_design(x) @ self.weights), x[:, 0]
+        x = np.array([sizer.difference(t) for t in texts])
+        return logistic(self.weights[0] * x + self.weights[1]), x
 
     def sizer(self) -> Sizer | None:
         return Sizer(self.dictionaries) if self.weights is not None else None
