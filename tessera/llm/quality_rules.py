@@ -49,7 +49,7 @@ COMMON_SHARE, MIN_SHARE = 250, 1000
 #: Documents of a language, or of one size of it, that a reference or a limit rests on at least.
 MIN_REFERENCE = 20
 TRIMS, STEPS = 2, 1000
-SPREADS, ALLOWANCE = 6, 0.06
+SPREADS, ALLOWANCE = 6, 0.1
 #: Words that a task counts, and distinct ones that it holds, before it reports a chunk.
 CHUNK_WORDS, CHUNK_DISTINCT = 4_000_000, 400_000
 

@@ -59,10 +59,51 @@ def test_pairs_of_terms_are_learnt():
         texts.append(" ".join(words))
         labels.append(int(a and b))
     model = toxicity_fm.Model(texts, labels)
-    score = toxicity_fm.Scorer(model)
+    terms = toxicity_fm.Terms()
+    score = lambda t: model.score(terms(t))
     assert score("w1 scoundrels w2 neighbours") > 0.7 and max(score("w1 scoundrels"), score("w3 neighbours"), score(""), score(None)) < 0.3
 
 
+def test_words_that_say_nothing_alone_are_learnt_in_pairs():
+    """The label is exactly one of two words: each alone is as common in either class."""
+    rng = random.Random(2)
+    texts, labels = [], []
+    for _ in range(3000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = [f"f{rng.choice('abcdefgh')}{rng.choice('abcdefgh')}x" for _ in range(12)] + ["alpha"] * a + ["omega"] * b
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+        labels.append(int(a != b))
+    model, terms = toxicity_fm.Model(texts[:2400], labels[:2400]), toxicity_fm.Terms()
+    assert np.mean([(model.score(terms(t)) >= 0.5) == y for t, y in zip(texts[2400:], labels[2400:])]) > 0.98
+
+
+def auc(scores, labels):
+    order = sorted(range(len(scores)), key=lambda i: scores[i])
+    rank = {i: k for k, i in enumerate(order, 1)}
+    good = [i for i in range(len(labels)) if labels[i]]
+    return (sum(rank[i] for i in good) - len(good) * (len(good) + 1) / 2) / (len(good) * (len(labels) - len(good)))
+
+
+@tables
+def test_the_difference_alone_ranks_and_is_calibrated(spark):
+    docs, labels = read(spark, "documents"), read(spark, "labels")
+    y = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    rows = [r for r in quality_zstd.scored(docs, quality_zstd.train(docs, labels)).collect() if r["held_out"] and r["id"] in y]
+    assert auc([r["difference"] for r in rows], [y[r["id"]] for r in rows]) >= 0.97
+    assert sorted(rows, key=lambda r: r["difference"]) == sorted(rows, key=lambda r: (r["score"], r["difference"]))
+    assert abs(np.mean([r["score"] for r in rows]) - np.mean([y[r["id"]] for r in rows])) < 0.08
+
+
+def test_a_sample_is_deduplicated_and_bounded_before_it_is_collected(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "x" * 50), (3, "y" * 10), (4, None)], "doc_id long, text string").union(spark.range(20_000).selectExpr("5L", "'same'"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 6)], "doc_id long, y int")
+    own = [i for i in range(1, 6) if zlib.crc32(str(i).encode()) % 3 != 1]
+    texts, ys = labelled_sample(docs, labels, "y", 10)
+    assert texts == [{1: "a", 2: "x" * 50, 3: "y" * 10, 4: "", 5: "same"}[i] for i in own] and ys == [i % 2 for i in own]
+    assert sum(map(len, labelled_sample(docs, labels, "y", 10, max_bytes=12)[0])) <= 12
+
+
 def test_classifiers_without_labels_and_over_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, None, None), (None, 1, 1), (999, 0, 1)], "doc_id long, quality int, toxic int")
     for mod, label in ((quality_zstd, "quality"), (toxicity_fm, "toxic")):
@@ -83,8 +124,8 @@ def test_sample_leaves_held_out_rows_out(spark):
 
 def test_odd_texts_have_sizes():
     d = quality_zstd.dictionary(["some text " * 50, "other words " * 50])
-    s = quality_zstd.Sizer((d, d))
-    assert s.features(None) == (0.0, 0.0) and s.features("x")[0] == 0 and s.features("word " * 50_000)[1] > 0
+    s = quality_zstd.Sizer((d, quality_zstd.dictionary(["nothing alike 123 " * 50])))
+    assert s.difference(None) == s.difference("") == 0 and s.difference("some text " * 50_000) < 0
 
 
 def slow_counts(text):

@@ -94,7 +94,7 @@ def rules(docs):
                 steps = [step(distance(of[d["doc_id"]], ref)) for d in good if size(d, test) == k]
                 if len(steps) >= 20:
                     m = middle(steps)
-                    limits[k] = (m + 6 * middle(abs(x - m) for x in steps)) / 1000 + 0.06
+                    limits[k] = (m + 6 * middle(abs(x - m) for x in steps)) / 1000 + 0.1
             for d in good:
                 n = len(d["text"]) if test == 0 else len(plain(d["text"]))
                 if n >= least and limits:
