@@ -1,18 +1,27 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
-The units are groups of equal texts, which share a shard. A group that holds more than 1/LARGE of the bytes, tokens or rows
-is a unit of its own (at most 3 x LARGE of those exist); all other groups are dealt by their digest into LARGE
-bundles. So at most 4 x LARGE vectors reach the driver, whatever the input. They are placed in
-descending order of their largest share, each where the dot product of its vector with the shard's residual capacity is
-highest. A group that is larger than a shard's whole share is split by a hash of its ids, since it can't be balanced whole.
-
-Slots number the rows of a shard from 0 without gaps: rows are ranked within (shard, part of ids) and
-shifted by the counts of the parts before, so no task holds a shard. Null texts have size 1 (their bytes plus 1), crc32 0 and no tokens.
+The units are groups of equal texts, which share a shard. Each is placed by its own vector of shares of the total, in
+descending order of the largest, where the dot product of the vector with the shard's residual capacity is highest.
+
+1. Groups that hold more than 1/LARGE of the bytes, tokens or rows (at most 3 x LARGE of those exist) are placed first, together, on the driver. A
+   group that is larger than a shard's whole share is split by a hash of its ids, since it can't be balanced whole.
+2. All other groups are dealt by their digest into bins of about BIN_GROUPS, packed apart and in parallel. A bin has its part, by rows, of every
+   shard's capacity that is left after step 1, so that all bins together fill it. A group is below 1/LARGE of the total, so
+   a bin of many misses its capacities by less than its last, smallest groups have.
+
+So the driver gets at most 3 x LARGE vectors and a task about BIN_GROUPS at a time, whatever the input; groups are counted by partial aggregates, and no text is
+shuffled. Slots number the rows of a shard from 0 without gaps: rows are ranked within (shard, part of ids) and
+shifted by the counts of the parts before, so no task holds a shard.
+
+Null texts have size 1 (their bytes plus 1), crc32 0 and no tokens; they and empty texts are one group. Ties in order go by digest, in capacity to the
+lowest shard. Repeated rows are rows of their group like any other. Very long texts are read once, for their digest. An empty table gives no rows; columns other than id and
+text aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,21 +30,23 @@ from .mixing import size_of
 from .store import materialise, quoted
 
 LARGE = 4096
+#: Groups that are packed at once, on average.
+BIN_GROUPS = 20_000
 #: Weights of bytes, tokens and rows: bytes are to be equal first.
 WEIGHTS = (8.0, 1.0, 1.0)
 #: Pieces of an over-large group, for each shard's share that it holds.
 PIECES = 32
 #: Rows of one part of a shard that one task ranks, on average.
 PART_ROWS = 20_000
+DIMS = ("bytes", "tokens", "rows")
 
 
-def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each vector (rows of shares of the total), by the highest dot product with residual capacity, the dimensions weighed by WEIGHTS."""
+def pack(vectors: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The shard of each vector by the highest dot product with residual capacity, the dimensions weighed by WEIGHTS; ``left`` (shards x dimensions) is what remains afterwards."""
     place = np.zeros(len(vectors), np.int64)
-    weights = np.array(WEIGHTS[: vectors.shape[1]])
-    left = np.full((shards, vectors.shape[1]), 1.0 / shards)
-    for i in np.lexsort((np.arange(len(vectors)), -vectors.max(axis=1))):
-        place[i] = k = int(np.argmax(left @ (weights * vectors[i])))
+    weighed = vectors * np.array(WEIGHTS[: vectors.shape[1]])
+    for i in np.lexsort((np.arange(len(vectors)), -vectors.max(axis=1))).tolist():
+        place[i] = k = int((left @ weighed[i]).argmax())
         left[k] -= vectors[i]
     return place
 
@@ -56,6 +67,20 @@ def _piece_shares(narrow: DataFrame, pieces: dict[bytes, int]) -> dict[bytes, li
     return {d: [x / sum(n) for x in n] for d, n in found.items()}
 
 
+def _packed(total: np.ndarray, left: np.ndarray):
+    """Places the groups of a bin: rows (digest, bin_shard)."""
+    rest = np.maximum(left.sum(0), 1e-12)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("digest", kind="stable")
+        vectors = group[list(DIMS)].to_numpy(float) / total
+        # The bin's part of what is left of every shard, in each dimension.
+        capacity = left / rest * vectors.sum(0)
+        return pd.DataFrame({"digest": group["digest"], "bin_shard": pack(vectors, capacity)})
+
+    return run
+
+
 def sharded(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, size, text_crc32, tokens, shard, slot."""
     spark = docs.sparkSession
@@ -67,36 +92,37 @@ def sharded(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col:
         size_of(text).alias("tokens"),
         F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("digest"),
     )
-    narrow = materialise(narrow.withColumn("bundle", F.pmod(F.xxhash64("digest"), F.lit(LARGE))), "shard-narrow")
-    groups = materialise(narrow.groupBy("digest", "bundle").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")), "shard-groups")
-    dims = ("bytes", "tokens", "rows")
-    totals = groups.agg(*(F.sum(c).alias(c) for c in dims)).first()
-    total = np.array([max(float(totals[c] or 0), 1.0) for c in dims])
-
-    share = F.greatest(*(F.col(c) / F.lit(float(t)) for c, t in zip(dims, total)))
-    parts = groups.withColumn("large", share > 1 / LARGE)
-    large = parts.where("large").select("digest", *dims)
-    rest = parts.where("not large").groupBy("bundle").agg(*(F.sum(c).alias(c) for c in dims))
-    large = {bytes(r["digest"]): np.array([float(r[c]) for c in dims]) / total for r in large.collect()}
-    pieces = {d: 1 if v.max() <= 1 / shards else int(np.ceil(v.max() * shards * PIECES)) for d, v in sorted(large.items())}
+    narrow = materialise(narrow, "shard-narrow")
+    groups = materialise(narrow.groupBy("digest").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")), "shard-groups")
+    totals = groups.agg(*(F.sum(c).alias(c) for c in DIMS), F.count(F.lit(1)).alias("groups")).first()
+    total = np.array([max(float(totals[c] or 0), 1.0) for c in DIMS])
+
+    share = F.greatest(*(F.col(c) / F.lit(float(t)) for c, t in zip(DIMS, total)))
+    found = groups.where(share > 1 / LARGE).collect()  # at most 3 x LARGE
+    large = {bytes(r["digest"]): np.array([float(r[c]) for c in DIMS]) / total for r in sorted(found, key=lambda r: bytes(r["digest"]))}
+    pieces = {d: 1 if v.max() <= 1 / shards else int(np.ceil(v.max() * shards * PIECES)) for d, v in large.items()}
     shares = {d: [1.0] for d in pieces} | _piece_shares(narrow, {d: n for d, n in pieces.items() if n > 1})
-    units: list[tuple] = [((d, p), large[d] * s) for d in pieces for p, s in enumerate(shares[d])]  # (digest, piece) or bundle, and the vector
-    units += [(r["bundle"], np.array([float(r[c]) for c in dims]) / total) for r in sorted(rest.collect(), key=lambda r: r["bundle"])]
-    place = pack(np.array([v for _, v in units]).reshape(-1, 3), shards)
-
-    by_bundle = [(u, int(k)) for (u, _), k in zip(units, place) if not isinstance(u, tuple)]
+    units = [(d, large[d] * s) for d in pieces for s in shares[d]]
+    left = np.full((shards, len(DIMS)), 1.0 / shards)
     by_group: dict[bytes, list[int]] = {}
-    for (u, _), k in zip(units, place):
-        if isinstance(u, tuple):
-            by_group.setdefault(u[0], []).append(int(k))
-    bundles = spark.createDataFrame(by_bundle, "bundle long, bundle_shard int")
+    for (d, _), k in zip(units, pack(np.array([v for _, v in units]).reshape(-1, len(DIMS)), left)):
+        by_group.setdefault(d, []).append(int(k))
     larges = spark.createDataFrame([(bytearray(d), ks) for d, ks in by_group.items()], "digest binary, group_shards array<int>")
-    dealt = narrow.join(F.broadcast(larges), "digest", "left").join(F.broadcast(bundles), "bundle", "left")
-    piece = F.element_at("group_shards", (_piece(F.size("group_shards")) + 1).cast("int"))
-    dealt = dealt.select("id", "size", "text_crc32", "tokens", F.when(F.col("group_shards").isNotNull(), piece).otherwise(F.col("bundle_shard")).alias("shard"))
 
+    bins = max(1, -(-int(totals["groups"]) // BIN_GROUPS))
+    small = groups.where(share <= 1 / LARGE).withColumn("bin", F.pmod(F.xxhash64("digest"), F.lit(bins)))
+    placed = small.groupBy("bin").applyInPandas(_packed(total, np.maximum(left, 0)), "digest binary, bin_shard int")
+    # Written, so that the join with all rows has a plain exchange on either side and can be split where it is skewed.
+    placed = materialise(placed, "shard-placed")
+
+    dealt = narrow.join(F.broadcast(larges), "digest", "left")
+    piece = F.element_at("group_shards", (_piece(F.size("group_shards")) + 1).cast("int"))
+    own = dealt.where("group_shards is not null").withColumn("shard", piece)
+    other = dealt.where("group_shards is null").join(placed, "digest").withColumn("shard", F.col("bin_shard"))
+    columns = ["id", "size", "text_crc32", "tokens", "shard"]
     n_parts = max(64, -(-int(total[2]) // (PART_ROWS * shards)))
-    dealt = materialise(dealt.withColumn("part", F.pmod(F.xxhash64("id", "text_crc32"), F.lit(n_parts))), "shard-dealt")
+    dealt = own.select(*columns).unionByName(other.select(*columns)).withColumn("part", F.pmod(F.xxhash64("id", "text_crc32"), F.lit(n_parts)))
+    dealt = materialise(dealt, "shard-dealt")
     counts = dealt.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")
     offsets = counts.select("shard", "part", before.alias("before"))

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import mixing, quality_rules, quality_zstd, sharding, toxicity_fm
 from tessera.llm.sampling import labelled_sample
@@ -203,6 +204,29 @@ def test_sharding(spark):
     assert {(r["id"], r["shard"], r["slot"]) for r in sharding.sharded(df.repartition(2), 8).collect()} == {(r["id"], r["shard"], r["slot"]) for r in rows}
 
 
+def test_pack_matches_a_plain_loop():
+    rng = random.Random(12)
+    for n in (0, 1, 40, 300):
+        vectors = [[rng.random() ** 4 for _ in range(3)] for _ in range(n)]
+        total = [sum(v[d] for v in vectors) or 1 for d in range(3)]
+        vectors = [[x / t for x, t in zip(v, total)] for v in vectors]
+        left = [[1 / 5] * 3 for _ in range(5)]
+        want = [0] * n
+        for i in sorted(range(n), key=lambda i: (-max(vectors[i]), i)):
+            dots = [sum(w * x * c for w, x, c in zip(sharding.WEIGHTS, vectors[i], shard)) for shard in left]
+            want[i] = max(range(5), key=lambda k: (round(dots[k], 12), -k))
+            left[want[i]] = [c - x for c, x in zip(left[want[i]], vectors[i])]
+        assert sharding.pack(np.array(vectors).reshape(-1, 3), np.full((5, 3), 1 / 5)).tolist() == want
+
+
+def test_many_small_groups_are_placed_by_their_own_vectors(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BIN_GROUPS", 3000)
+    df = spark.range(100_000).selectExpr("id doc_id", "repeat(concat(id % 977, if(id % 3 = 0, ' ', 'x'), id, ' '), cast(1 + id % 13 as int)) text")
+    rows = sharding.sharded(df, 8).groupBy("shard").agg(*(F.sum(c).alias(c) for c in ("size", "tokens")), F.count(F.lit(1)).alias("n")).collect()
+    for c, most in (("size", 1.001), ("tokens", 1.02), ("n", 1.02)):
+        assert max(r[c] for r in rows) <= most * min(r[c] for r in rows)
+
+
 def test_a_group_larger_than_a_shard_is_split(spark):
     texts = ["the one text that is everywhere " * 5] * 900 + [f"other {i} " * 5 for i in range(600)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
