@@ -13,8 +13,11 @@ stands between two non-spaces, so a text is cut there and each piece's ids are l
 library fills. Texts with other runs of white space around a space, with characters on whose class Unicode versions
 may differ, or with a special token's string, are encoded whole.
 
-Null texts count as empty: only the end id. Rows with equal ids are adjacent, ordered by their text's hash; null ids come first.
-An empty table writes no row and reads back as empty.
+Every row carries its place in its file, and a file its number in its name, so starts follow the files' own order.
+
+Null texts count as empty: only the end id. Rows with equal ids are adjacent, ordered by their text's hash, and equal rows are each written; null ids come first.
+Texts of any length are encoded whole, a row at a time where they exceed PORTION_BYTES. An empty table writes no row and reads back as empty; columns other than id and text aren't
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -238,18 +241,23 @@ def portions(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
 def _encoded(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
+        at = 0
         for batch in batches:
             for part in portions(batch, "text"):
                 flat, counts = enc.encode(part.column("text"), end_id)
                 offsets = np.concatenate([[0], np.cumsum(counts)])
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), ids], ["id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.arange(at, at + part.num_rows)), ids], ["id", "place", "ids"])
+                at += part.num_rows
 
     return run
 
 
 def write_tokens(docs: DataFrame, out: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, n_files: int | None = None) -> None:
-    """Write rows (doc_id, ids) in ascending doc_id order to ORC files in ``out``."""
+    """Write rows (doc_id, place, ids) in ascending doc_id order to ORC files in ``out``, a file to a task, numbered in that order.
+
+    Which rows a file has follows from their order: a task that runs again writes the same file.
+    """
     short_batches(docs.sparkSession)
     base = docs.select(quoted(id_col).alias("id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"))
     if n_files is None:
@@ -257,13 +265,13 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, id_col: str = "doc_i
     kind = dict(base.dtypes)["id"]
     ranged = base.repartitionByRange(n_files, "id")
     ordered = ranged.withColumn("th", F.xxhash64("text")).sortWithinPartitions("id", "th").select("id", "text")
-    rows = ordered.mapInArrow(_encoded(tokenizer, end_id), f"id {kind}, ids array<int>").withColumnRenamed("id", "doc_id")
-    rows.write.options(**{"compression": "snappy", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": str(ROW_STRIDE), "orc.create.index": "true"}).orc(out)
+    rows = ordered.mapInArrow(_encoded(tokenizer, end_id), f"id {kind}, place long, ids array<int>").withColumnRenamed("id", "doc_id")
+    rows.write.options(**{"maxRecordsPerFile": "0", "compression": "snappy", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": str(ROW_STRIDE), "orc.create.index": "true"}).orc(out)
 
 
 def read_tokens(spark: SparkSession, path: str, ids: Sequence | None = None) -> DataFrame:
     """Rows (doc_id, ids); with ``ids`` only those documents, pruned by the files' statistics and Bloom filters."""
-    rows = spark.read.orc(path)
+    rows = spark.read.orc(path).select("doc_id", "ids")
     return rows if ids is None else rows.where(F.col("doc_id").isin(list(ids)))
 
 
@@ -273,23 +281,23 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
         raw = memoryview(np.ascontiguousarray(flat)).cast("B")
         crc = [zlib.crc32(raw[4 * int(a) : 4 * int(b)]) for a, b in zip(ends[:-1], ends[1:])]
-        names = ["doc_id", "file", "block"]
+        names = ["doc_id", "file", "place"]
         yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64())], [*names, "n_tokens", "ids_crc32"])
 
 
 def token_layout(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    Files are in id order by name. Starts are running sums within a file, shifted by the sums of the files before:
+    Files are in id order by their number. Starts are running sums in the order of a file, shifted by the sums of the files before:
     one row per file is all that meets in one task.
     """
     raw = spark.read.orc(path)
     kind = dict(raw.dtypes)["doc_id"]
-    rows = raw.select("doc_id", "ids", F.col("_metadata.file_name").alias("file"), F.lit(0).cast("long").alias("block"))
-    rows = rows.mapInArrow(_digested, f"doc_id {kind}, file string, block long, n_tokens long, ids_crc32 long")
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long")
+    rows = raw.select("doc_id", "ids", number.alias("file"), "place")
+    rows = rows.mapInArrow(_digested, f"doc_id {kind}, file long, place long, n_tokens long, ids_crc32 long")
     rows = materialise(rows, "token-layout")
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     before = files.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
-    inner = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("doc_id", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1))
-    start = F.coalesce(inner, F.lit(0)) + F.col("before")
+    inner = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
     return rows.withColumn("inner", F.coalesce(inner, F.lit(0))).join(before, "file").select("doc_id", (F.col("inner") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
