@@ -10,9 +10,12 @@
 4. Documents are selected by count of each size: the ones with the smallest seeded hash. Where a size has
    many documents the cut is first found among hash ranges, then within one range, so no task sorts a hot size.
 
-Selection is a hash limit for each (source, size), so it applies row by row. Rows equal in id and text are one
-document stored several times: they share a hash and one decision. Null sources come last in the order
-of sources, null and empty texts have size 0 and are never taken. An empty table gives an empty mix.
+Selection is a hash limit for each (source, size), so it applies row by row. Rows that share a hash (those equal in id and text) and lie at the limit are
+counted, ranked by their other columns, and given out again as often as they are taken; so a document that is stored many times is taken as often as the
+budget has it, and no task holds its rows. Which of several rows that are equal throughout is taken can't be told.
+
+Null sources come last in the order of sources, null and empty texts have size 0 and are never taken. Very long texts are one item of their
+size like others. An empty table gives an empty mix. Columns of ``docs`` may have any names.
 """
 
 from __future__ import annotations
@@ -146,7 +149,8 @@ class Mix:
     """The plan of a mix: one row per (source, size) with whole copies and a hash limit, and one row per source."""
 
     sizes: DataFrame  # skey, source_size, target
-    plan: DataFrame  # skey, size, repeats, cut (null: none of the remainder; every hash up to it)
+    plan: DataFrame  # skey, size, repeats, cut (once more every hash up to it; null: none), tie (once more every hash below it, and `extra` rows of it)
+    tied: bool  # whether any tie is there
     weights: dict[str | None, float]
 
 
@@ -186,33 +190,62 @@ def plan_mix(docs: DataFrame, weights: Callable[[Sequence[str | None]], list[flo
     joined = hist.join(sizes, "skey")
     took = materialise(joined.groupBy("skey").applyInPandas(fitted, "skey string, size long, n long, repeats long, take long"), "mix-fit")
 
-    every = F.lit((1 << 63) - 1).cast("long")
-    settled = took.select("skey", "size", "repeats", "take", F.when(F.col("take") == F.col("n"), every).alias("cut")).where("take = 0 or cut is not null")
+    every, none = F.lit((1 << 63) - 1).cast("long"), F.lit(None).cast("long")
+    settled = took.select("skey", "size", "repeats", "take", F.when(F.col("take") == F.col("n"), every).alias("cut"), none.alias("tie"), none.alias("extra")).where("take = 0 or cut is not null")
     open_ = took.where("take > 0 and take < n").withColumn("ranges", F.ceil(F.col("n") / RANGE_ROWS).cast("long"))
     # The rank of a hash among `ranges` equal ranges of all hashes.
     rank = F.floor((F.col("h").cast("double") / float(1 << 64) + 0.5) * F.col("ranges")).cast("long")
     ranged = narrow.join(open_, ["skey", "size"]).select("skey", "size", "take", "h", F.least(rank, F.col("ranges") - 1).alias("r"))
-    ranged = materialise(ranged, "mix-ranged")
-    in_range = ranged.groupBy("skey", "size", "take", "r").agg(F.count(F.lit(1)).alias("m"))
+    ranged = materialise(ranged.groupBy("skey", "size", "take", "r", "h").agg(F.count(F.lit(1)).alias("m")), "mix-ranged")
+    in_range = ranged.groupBy("skey", "size", "take", "r").agg(F.sum("m").alias("m"))
     running = F.sum("m").over(Window.partitionBy("skey", "size").orderBy("r"))
     crossing = in_range.withColumn("upto", running).where("upto >= take and upto - m < take").select("skey", "size", "r", (F.col("take") - (F.col("upto") - F.col("m"))).alias("need"))
-    place = F.row_number().over(Window.partitionBy("skey", "size", "r").orderBy("h"))
-    cuts = ranged.drop("take").join(crossing, ["skey", "size", "r"]).withColumn("place", place).where("place = need").select("skey", "size", F.col("h").alias("cut"))
-    cut = took.where("take > 0 and take < n").join(cuts, ["skey", "size"]).select("skey", "size", "repeats", "take", "cut")
-    plan = materialise(settled.unionByName(cut).select("skey", "size", "repeats", "cut"), "mix-plan")
-    return Mix(sizes, plan, dict(zip(names, own))), narrow
+    upto = F.sum("m").over(Window.partitionBy("skey", "size", "r").orderBy("h"))
+    at = ranged.drop("take").join(crossing, ["skey", "size", "r"]).withColumn("upto", upto).where("upto >= need and upto - m < need")
+    whole = F.col("upto") == F.col("need")
+    cuts = at.select("skey", "size", F.when(whole, F.col("h")).alias("cut"), F.when(~whole, F.col("h")).alias("tie"), F.when(~whole, F.col("need") - (F.col("upto") - F.col("m"))).alias("extra"))
+    cut = took.where("take > 0 and take < n").join(cuts, ["skey", "size"]).select(*settled.columns)
+    plan = materialise(settled.unionByName(cut).drop("take"), "mix-plan")
+    return Mix(sizes, plan, not plan.where("tie is not null").isEmpty(), dict(zip(names, own))), narrow
+
+
+def _copies(h: Column, repeats: Column, cut: Column, tie: Column) -> Column:
+    """How often a row is taken whose hash isn't the tie itself."""
+    return repeats + F.when((h <= cut) | (h < tie), 1).otherwise(0)
+
+
+#: Copies of a row that one row of a plan gives out.
+CHUNK = 10_000
+
+
+def _given_out(rows: DataFrame, times: str) -> DataFrame:
+    """Each row as often as ``times`` says, in chunks that are spread over the tasks."""
+    chunked = rows.where(f"`{times}` > 0").withColumn("mix_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / CHUNK))))
+    part = F.least(F.lit(CHUNK).cast("long"), F.col(times) - F.col("mix_chunk") * CHUNK)
+    return chunked.repartition("mix_chunk").withColumn("mix_one", F.explode(F.sequence(F.lit(1).cast("long"), part))).drop("mix_chunk", "mix_one", times)
 
 
-def _copies(h: Column) -> Column:
-    return F.col("repeats") + F.when(h <= F.col("cut"), 1).otherwise(0)
+def _extras(tied: DataFrame, key: list[str], order: str) -> DataFrame:
+    """``tied`` rows (key, order, n, extra) with ``more``: how many of a row's n go once more, by order, so that ``extra`` do."""
+    earlier = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("extra") - F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    return tied.withColumn("more", F.greatest(F.lit(0).cast("long"), F.least(F.col("n"), left)))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """Per row of ``docs``: id, size, source_size, target, copies, taken (size times copies)."""
     mix, narrow = plan_mix(docs, **options)
     rows = narrow.join(mix.plan, ["skey", "size"], "left").join(mix.sizes, "skey", "left")
-    copies = F.when(F.col("size") == 0, 0).otherwise(_copies(F.col("h"))).cast("long")
-    return rows.select("id", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
+    at_tie = F.coalesce(F.col("h") == F.col("tie"), F.lit(False))
+    columns = ["id", "size", "source_size", "target"]
+    copies = F.when(F.col("size") == 0, 0).otherwise(_copies(F.col("h"), F.col("repeats"), F.col("cut"), F.col("tie"))).cast("long")
+    out = (rows.where(~at_tie) if mix.tied else rows).select(*columns, copies.alias("copies"))
+    if mix.tied:
+        tied = rows.where(at_tie).groupBy(*columns, "skey", "repeats", "extra").agg(F.count(F.lit(1)).alias("n"))
+        tied = _extras(tied, ["skey", "size"], "id")
+        split = F.explode(F.array(F.struct(F.col("more").alias("times"), (F.col("repeats") + 1).alias("copies")), F.struct((F.col("n") - F.col("more")).alias("times"), F.col("repeats").alias("copies"))))
+        out = out.unionByName(_given_out(tied.withColumn("split", split).select(*columns, "split.copies", "split.times"), "times"))
+    return out.withColumn("taken", F.col("size") * F.col("copies"))
 
 
 #: Rows of a plan that may be broadcast (about 60 bytes each); a larger plan is joined by a shuffle.
@@ -222,11 +255,21 @@ BROADCAST_PLAN_ROWS = 100_000
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42, **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with all its columns."""
     mix, _ = plan_mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **options)
-    skey, size, h, repeats, cut, copies = free_names(docs, "mix_skey", "mix_size", "mix_h", "mix_repeats", "mix_cut", "mix_copies")
+    own = ["mix_skey", "mix_size", "mix_h", "mix_repeats", "mix_cut", "mix_tie", "mix_extra", "mix_copies"]
+    skey, size, h, repeats, cut, tie, extra, copies = free_names(docs, *own)
     tagged = docs.withColumns({skey: _skey(quoted(source_col)), size: size_of(quoted(text_col)), h: _hash(quoted(id_col), quoted(text_col), seed)})
-    plan = mix.plan.where("size > 0 and (repeats > 0 or cut is not null)").select(F.col("skey").alias(skey), F.col("size").alias(size), F.col("repeats").alias(repeats), F.col("cut").alias(cut))
+    plan = mix.plan.where("size > 0 and (repeats > 0 or cut is not null or tie is not null)").toDF(skey, size, repeats, cut, tie, extra)
     if plan.count() <= BROADCAST_PLAN_ROWS:
         plan = F.broadcast(plan)
-    times = quoted(repeats) + F.when(quoted(h) <= quoted(cut), 1).otherwise(0)
-    taken = tagged.join(plan, [skey, size]).where(times > 0).withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), times.cast("long"))))
-    return taken.select(*map(quoted, docs.columns))
+    met = tagged.join(plan, [skey, size])
+    at_tie = F.coalesce(quoted(h) == quoted(tie), F.lit(False))
+    times = _copies(quoted(h), quoted(repeats), quoted(cut), quoted(tie))
+    plain = (met.where(~at_tie) if mix.tied else met).where(times > 0).withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), times.cast("long"))))
+    plain = plain.select(*map(quoted, docs.columns))
+    if not mix.tied:
+        return plain
+    row = F.struct(*map(quoted, docs.columns))
+    tied = met.where(at_tie).select(quoted(skey).alias("skey"), quoted(size).alias("size"), quoted(repeats).alias("repeats"), quoted(extra).alias("extra"), row.alias("row"), F.sha2(F.to_json(row), 256).alias("digest"))
+    tied = tied.groupBy("skey", "size", "repeats", "extra", "digest").agg(F.count(F.lit(1)).alias("n"), F.first("row").alias("row"))
+    tied = _extras(tied, ["skey", "size"], "digest").select("row", (F.col("n") * F.col("repeats") + F.col("more")).alias("times"))
+    return plain.unionByName(_given_out(tied, "times").select(*(F.col("row").getField(c).alias(c) for c in docs.columns)))

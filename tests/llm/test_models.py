@@ -310,6 +310,27 @@ def test_hot_sizes_are_cut_in_ranges(spark, monkeypatch):
     assert abs(taken[True] - goal[0]) <= 3 and abs(taken[False] - goal[1]) <= 2
 
 
+def test_a_document_that_is_stored_many_times_meets_the_target(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 300)
+    once = [(10 + i, f"{'w ' * (5 + i % 40)}{i}", "sa" if i % 2 else "sb", i) for i in range(1000)]
+    again = [(1, "ten words of one row that is there many times", "sc", i % 2) for i in range(4000)]
+    df = spark.createDataFrame(once + again, "doc_id long, text string, source string, extra int").repartition(4)
+    got = mixing.mixed(df).collect()
+    assert len(got) == 5000
+    size, taken, target = Counter(), Counter(), {}
+    for r in got:
+        s = "sc" if r["id"] == 1 else "sa" if r["id"] % 2 else "sb"
+        size[s] += r["size"]
+        taken[s] += r["taken"]
+        target[s] = r["target"]
+    assert sum(size.values()) == pytest.approx(sum(target.values())) and all(abs(taken[s] - target[s]) <= 10 for s in size)
+    assert 0 < taken["sc"] < size["sc"]
+    copies = Counter((r["doc_id"], r["extra"]) for r in mixing.mix_documents(df).collect())
+    assert sum(n for (i, _), n in copies.items() if i == 1) * 10 == taken["sc"]
+    assert all(copies[r["id"], r["id"] - 10] == r["copies"] for r in got if r["id"] != 1)
+    assert copies == Counter((r["doc_id"], r["extra"]) for r in mixing.mix_documents(df.repartition(7)).collect())
+
+
 def test_mixing_odd_rows(spark):
     df = odd(spark)
     assert len(mixing.mixed(df).collect()) == len(odd_rows())
