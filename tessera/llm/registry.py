@@ -119,9 +119,10 @@ FROM n JOIN g USING (t)
 OP4_SQL = r"""
 WITH p AS (
   SELECT page_id, md5(coalesce(html, '')) AS tag, octet_length(encode(coalesce(html, ''))) AS bytes,
-    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-      lower(trim(url)), '#.*$', ''), '^[a-z][a-z0-9+.-]*://(?:[^/?@]*@)?(?:www\.)?', ''), '^([^/?:]*):(?:80|443)(/|\?|$)', '\1\2'),
-      '([?&])(?:utm_[a-z_]*|ref|fbclid|gclid|sessionid|phpsessid|jsessionid)=[^&]*', '\1', 'g'), '[?&]+$', ''), '\?&+', '?', 'g'), '&&+', '&', 'g'),
+    regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(trim(url), '(?s)^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#]*)', 1)), '^.*@', ''), '^www\.', ''), ':(?:80|443)$', '')
+    || regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+      regexp_extract(trim(url), '(?s)^(?:[A-Za-z][A-Za-z0-9+.-]*://)?[^/?#]*(.*)$', 1), '(?s)#.*$', ''),
+      '([?&])(?:utm_[A-Za-z_]*|fbclid|gclid|sessionid|phpsessid|jsessionid)=[^&]*', '\1', 'g'), '[?&]+$', ''), '\?&+', '?', 'g'), '&&+', '&', 'g'),
       '/(?:index|default)\.(?:html?|php|aspx?)(\?|$)', '/\1', 'g'), '/(\?|$)', '\1', 'g') AS url_key
   FROM pages WHERE page_id IS NOT NULL
 ), r AS (

@@ -9,15 +9,18 @@ The as-of join sorts no URL's whole history in one task. Dates are cut into rang
 (URL, range) comes from a partial aggregate, is carried forward over the ranges in a window of one row per
 range, and only the rows of one (URL, range) are sorted together. So a URL with a third of all records is spread over the ranges.
 
-Null URLs and dates match nothing: such revisits are unresolved. Ties: a response at the very date of a revisit is not
-earlier; of responses with equal dates the one with the largest record id counts. A repeated record is resolved as often as
-it stands there. An empty table gives an empty result.
+Files are read record by record, however large they are: Spark's text reader cuts them where a record ends and the next begins, and a block that holds
+such a place itself is put together again by its length. A record is held whole in memory, so payloads of up to 2 GB can be read.
+
+Null URLs and dates match nothing: such revisits are unresolved. A response without a record id can't be named and is left out; a revisit needs none. Ties: a
+response at the very date of a revisit is not earlier; of responses with equal dates the one with the largest record id counts, and of several responses of one id the
+one whose payload has the smallest hash. A repeated revisit is resolved as often as it stands there. Null headers count as none. An empty table gives an empty result; columns
+beyond SCHEMA's are left out.
 """
 
 from __future__ import annotations
 
 import gzip
-import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,48 +28,61 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import materialise
+from .store import materialise, short_batches
 
 SCHEMA = "record_id string, kind string, url string, ts long, status int, headers map<string,string>, payload binary"
 # Headers of a 304 that never replace stored ones (they describe a message or a body that isn't there).
 KEPT_OF_RESPONSE = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authentication-info", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade")
 #: Query parameters that name a visit, not a page.
-TRACKING = r"(?:utm_[a-z_]*|ref|fbclid|gclid|sessionid|phpsessid|jsessionid)"
+TRACKING = r"(?:utm_[A-Za-z_]*|fbclid|gclid|sessionid|phpsessid|jsessionid)"
 #: Date ranges that the history of a URL is cut into.
 RANGES = 64
 
 
 def canonical_url(url: Column) -> Column:
-    """Without scheme, www, default port, user, fragment, tracking parameters, index file and last slash; host and path in lower case."""
-    u = F.lower(F.trim(url))
-    u = F.regexp_replace(u, r"#.*$", "")
-    u = F.regexp_replace(u, r"^[a-z][a-z0-9+.-]*://(?:[^/?@]*@)?(?:www\.)?", "")
-    u = F.regexp_replace(u, r"^([^/?:]*):(?:80|443)(/|\?|$)", "$1$2")
-    u = F.regexp_replace(u, rf"([?&]){TRACKING}=[^&]*", "$1")
-    u = F.regexp_replace(u, r"[?&]+$", "")
-    u = F.regexp_replace(u, r"\?&+", "?")
-    u = F.regexp_replace(u, r"&&+", "&")
-    u = F.regexp_replace(u, r"/(?:index|default)\.(?:html?|php|aspx?)(\?|$)", "/$1")
-    return F.regexp_replace(u, r"/(\?|$)", "$1")
-
-
-def parse_records(raw: bytes) -> Iterator[dict]:
-    """The response and revisit records of one WARC file, gzipped by record or plain."""
-    stream = io.BytesIO(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw)
-    while line := stream.readline():
-        if not line.startswith(b"WARC/"):
-            continue
-        own = _fields(stream)
-        block = stream.read(int(own.get("content-length", 0)))
-        if own.get("warc-type") not in ("response", "revisit"):
+    """Host in lower case without www, default port and user, then path and query as they are, without fragment, tracking parameters, index file and last slash; no scheme."""
+    whole = F.trim(url)
+    part = lambda i: F.regexp_extract(whole, r"(?s)^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#]*)(.*)$", i)
+    host = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(part(1)), r"^.*@", ""), r"^www\.", ""), r":(?:80|443)$", "")
+    rest = F.regexp_replace(part(2), r"(?s)#.*$", "")
+    rest = F.regexp_replace(rest, rf"([?&]){TRACKING}=[^&]*", "$1")
+    rest = F.regexp_replace(rest, r"[?&]+$", "")
+    rest = F.regexp_replace(rest, r"\?&+", "?")
+    rest = F.regexp_replace(rest, r"&&+", "&")
+    rest = F.regexp_replace(rest, r"/(?:index|default)\.(?:html?|php|aspx?)(\?|$)", "/$1")
+    return F.concat(host, F.regexp_replace(rest, r"/(\?|$)", "$1"))
+
+
+#: Where a record ends and the next begins.
+BETWEEN = b"\r\n\r\nWARC/1."
+
+
+def records_of(parts: Iterator[bytes]) -> Iterator[dict]:
+    """The response and revisit records of a file that is cut at every BETWEEN."""
+    held = b""
+    for part in parts:
+        if part.startswith(b"WARC/1."):  # a file begins; what an earlier one has left is cut short
+            held = b""
+        whole = held + BETWEEN + part if held else part
+        head, _, rest = whole.partition(b"\r\n\r\n")
+        own = _pairs(head.split(b"\r\n")[1:])
+        size = int(own.get("content-length", "0")) if own.get("content-length", "0").isdigit() else 0
+        if len(rest) < size:
+            held = whole
             continue
-        head, _, payload = block.partition(b"\r\n\r\n")
-        lines = head.split(b"\r\n")
-        status = lines[0].split()[1:2]
-        yield {
-            "record_id": own.get("warc-record-id"), "kind": own["warc-type"], "url": own.get("warc-target-uri"), "ts": _epoch(own.get("warc-date")),
-            "status": int(status[0]) if status and status[0].isdigit() else None, "headers": list(_pairs(lines[1:]).items()), "payload": payload if own["warc-type"] == "response" else None,
-        }
+        held = b""
+        if own.get("warc-type") in ("response", "revisit"):
+            yield _record(own, rest[:size])
+
+
+def _record(own: dict[str, str], block: bytes) -> dict:
+    head, _, payload = block.partition(b"\r\n\r\n")
+    lines = head.split(b"\r\n")
+    status = lines[0].split()[1:2]
+    return {
+        "record_id": own.get("warc-record-id"), "kind": own["warc-type"], "url": own.get("warc-target-uri"), "ts": _epoch(own.get("warc-date")),
+        "status": int(status[0]) if status and status[0].isdigit() else None, "headers": list(_pairs(lines[1:]).items()), "payload": payload if own["warc-type"] == "response" else None,
+    }
 
 
 def _pairs(lines: list[bytes]) -> dict[str, str]:
@@ -74,13 +90,6 @@ def _pairs(lines: list[bytes]) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in split}
 
 
-def _fields(stream: io.BytesIO) -> dict[str, str]:
-    lines = []
-    while (line := stream.readline()).strip():
-        lines.append(line)
-    return _pairs(lines)
-
-
 def _epoch(date: str | None) -> int | None:
     from datetime import datetime
 
@@ -94,14 +103,16 @@ _ARROW = pa.schema([("record_id", pa.string()), ("kind", pa.string()), ("url", p
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for raw in batch.column("content"):
-            yield pa.RecordBatch.from_pylist(list(parse_records(raw.as_py())), _ARROW)
+    parts = (raw.as_py() for batch in batches for raw in batch.column("content"))
+    for record in records_of(parts):
+        yield pa.RecordBatch.from_pylist([record], _ARROW)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The response and revisit records of WARC files, a file to a row of the scan."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parsed, SCHEMA)
+    """The response and revisit records of WARC files, plain or gzipped by record; a gzipped file is one task's, read as a stream."""
+    short_batches(spark, 16)
+    rows = spark.read.option("lineSep", BETWEEN.decode()).text(path)
+    return rows.select(F.col("value").cast("binary").alias("content")).mapInArrow(_parsed, SCHEMA)
 
 
 def serialise_record(r: dict) -> bytes:
@@ -145,15 +156,17 @@ def resolve_revisits(records: DataFrame, ranges: int = RANGES) -> DataFrame:
     Returns record_id, url_key, response_id, status ('resolved', 'validator mismatch', 'no validator', 'no earlier response'),
     headers (merged; the revisit's own where it isn't resolved) and payload (null where it isn't). Record ids identify records.
     """
-    keyed = records.withColumn("key", canonical_url(F.col("url")))
+    keyed = records.select(*(F.col(c) for c in ("record_id", "kind", "url", "ts", "headers", "payload"))).withColumn("key", canonical_url(F.col("url")))
     full = keyed.where((F.col("kind") == "response") & F.col("record_id").isNotNull())
-    revisits = keyed.where(F.col("kind") == "revisit").select("record_id", "key", "ts", "headers")
-    hits = as_of(revisits, full, ranges)
-    stored = full.select(F.col("record_id").alias("hit"), F.col("headers").alias("r_headers"), "payload").dropDuplicates(["hit"])
+    revisits = keyed.where(F.col("kind") == "revisit").select("record_id", "key", "ts", F.coalesce("headers", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("headers"))
+    # A revisit is known by its place in a written table, so it needs no id and may repeat one.
+    revisits = materialise(revisits.withColumn("row", F.monotonically_increasing_id()), "warc-revisits")
+    found = as_of(revisits.select(F.col("row").cast("string").alias("record_id"), "key", "ts"), full, ranges).select(F.col("record_id").cast("long").alias("row"), "hit")
     # Revisits without a response stay out of the join, where their null key would meet in one task.
-    hits = materialise(hits, "warc-hits")
-    found = hits.where("hit is not null").join(stored, "hit", "left")
-    met = found.unionByName(hits.where("hit is null"), allowMissingColumns=True)
+    hits = materialise(revisits.join(found, "row"), "warc-hits")
+    value = F.struct(F.coalesce("headers", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("r_headers"), "payload")
+    stored = full.groupBy(F.col("record_id").alias("hit")).agg(F.min_by(value, F.xxhash64("payload")).alias("stored")).select("hit", "stored.*")
+    met = hits.where("hit is not null").join(stored, "hit").unionByName(hits.where("hit is null"), allowMissingColumns=True)
     no_tag, no_date = (_header(F.col("headers"), n).isNull() for n in ("etag", "last-modified"))
     agree = F.when(~no_tag, _header(F.col("headers"), "etag") == _header(F.col("r_headers"), "etag")).otherwise(_header(F.col("headers"), "last-modified") == _header(F.col("r_headers"), "last-modified"))
     status = (

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import gzip
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import registry, spm, token_orc, warc
 
@@ -118,7 +121,46 @@ def test_token_files_of_nothing_and_repeats(spark, tmp_path):
     assert token_orc.token_layout(spark, path).collect() == []
     path = "file://" + str(tmp_path / "odd")
     token_orc.write_tokens(odd(spark), path, BPE, n_files=2)
-    assert token_orc.token_layout(spark, path).count() == len(odd_rows())
+    rows = token_orc.token_layout(spark, path).collect()
+    assert len(rows) == len(odd_rows())
+    stream = all_ids(spark, path)
+    for r in rows:
+        assert zlib.crc32(np.array(stream[r["start"] : r["start"] + r["n_tokens"]], "<u4").tobytes()) == r["ids_crc32"]
+
+
+def all_ids(spark, path):
+    """The ids of all files in the order of their numbers, as a plain reader meets them."""
+    from pyarrow import orc
+
+    out = []
+    for f in sorted(Path(path.removeprefix("file://")).glob("part-*.orc"), key=lambda f: int(f.name.split("-")[1])):
+        for ids in orc.ORCFile(str(f)).read(["ids"])["ids"].to_pylist():
+            out += ids
+    return out
+
+
+def test_rows_that_repeat_an_id_start_where_the_file_has_them(spark, tmp_path):
+    path = "file://" + str(tmp_path / "tokens")
+    rows = [(1, "one"), (2, "a few more words here"), (2, "b"), (2, None), (2, "b"), (2, "and the last of them all"), (3, "three")]
+    token_orc.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, BPE, n_files=3)
+    stream, got = all_ids(spark, path), token_orc.token_layout(spark, path).collect()
+    at = 0
+    for r in sorted(got, key=lambda r: r["start"]):
+        assert r["start"] == at and zlib.crc32(np.array(stream[at : at + r["n_tokens"]], "<u4").tobytes()) == r["ids_crc32"]
+        at += r["n_tokens"]
+    assert at == len(stream) and [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])] == [1, 2, 2, 2, 2, 2, 3]
+
+
+def test_files_are_ordered_by_number(spark, tmp_path):
+    parts = []
+    for name, first in (("part-99999-x.snappy.orc", 1), ("part-100000-x.snappy.orc", 3)):
+        one = tmp_path / name
+        token_orc.write_tokens(spark.createDataFrame([(first, "a b c"), (first + 1, "d")], "doc_id long, text string"), f"file://{one}", BPE, n_files=1)
+        parts.append(next(one.glob("*.orc")))
+        (tmp_path / "all").mkdir(exist_ok=True)
+        parts[-1].rename(tmp_path / "all" / name)
+    rows = token_orc.token_layout(spark, f"file://{tmp_path}/all").orderBy("start").collect()
+    assert [r["doc_id"] for r in rows] == [1, 2, 3, 4]
 
 
 def records(spark, rows):
@@ -142,6 +184,28 @@ def test_revisits(spark):
     assert warc.resolve_revisits(records(spark, [])).collect() == []
 
 
+def test_keys_of_urls(spark):
+    keys = {
+        "http://A.com/x/": "a.com/x", "https://www.A.com:443/X?id=aB#f": "a.com/X?id=aB", "http://a.com/x?id=Ab": "a.com/x?id=Ab", "HTTP://user:pw@WWW.a.com:80/Index.html": "a.com/Index.html",
+        "http://a.com/d/index.html?q=1": "a.com/d?q=1", "http://a.com/?utm_source=x&b=2&gclid=9": "a.com?b=2", "http://a.com/?ref=7": "a.com?ref=7", "a.com": "a.com", "": "", "http://a.com:8080/": "a.com:8080",
+        "http://a.com/x?a=http://B.com/Y": "a.com/x?a=http://B.com/Y", "  http://a.com/p  ": "a.com/p",
+    }
+    df = spark.createDataFrame([(u, k) for u, k in keys.items()], "url string, want string").withColumn("got", warc.canonical_url(F.col("url")))
+    assert [(r["url"], r["got"]) for r in df.collect()] == list(keys.items())
+
+
+def test_odd_records(spark):
+    full = ("r1", "response", "http://a.com/x", 1, 200, {"etag": "t"}, b"y" * 3_000_000)
+    rows = [
+        full, full, (None, "response", "http://a.com/x", 2, 200, {"etag": "t"}, b"unnamed"), ("r2", "response", None, 1, None, None, None), ("r3", "response", "", None, 200, {}, b""),
+        *[(None, "revisit", "http://A.com/x/", 5, 304, {"etag": "t"}, None)] * 2, ("v1", "revisit", "http://a.com/x", 5, 304, None, None), ("v1", "revisit", "http://a.com/x", 1, 304, {"etag": "t"}, None),
+        ("r4", "response", "http://h.com", 1, 200, None, b"z"), ("v2", "revisit", "http://h.com", 2, 304, {"etag": "t"}, None), (None, None, None, None, None, None, None), ("x", "other", "http://a.com/x", 3, 200, {}, b""),
+    ]
+    df = records(spark, rows).selectExpr("*", "1 as key", "'q' as hit", "2 as row")
+    got = sorted((r["record_id"] or "", r["status"], r["response_id"] or "", len(r["payload"] or b"")) for r in warc.resolve_revisits(df).collect())
+    assert got == [("", "resolved", "r1", 3_000_000)] * 2 + [("v1", "no earlier response", "", 0), ("v1", "no validator", "r1", 0), ("v2", "validator mismatch", "r4", 0)]
+
+
 def test_as_of_matches_a_loop(spark):
     rng = random.Random(2)
     responses = [(rng.choice("abc"), rng.randrange(60), f"r{i:03}") for i in range(120)]
@@ -164,3 +228,13 @@ def test_warc_files(spark, tmp_path):
         g = got[r["record_id"]]
         assert {k: g[k] for k in r if k != "payload"} == {k: r[k] for k in r if k != "payload"} and (bytes(g["payload"]) if g["payload"] else None) == r["payload"]
     assert [r["status"] for r in warc.resolve_revisits(warc.read_warc(spark, str(tmp_path))).collect()] == ["resolved"]
+
+
+def test_large_and_cut_records(spark, tmp_path):
+    """A block that holds the border of records itself, many records in one file, and a file that ends too early."""
+    rows = [{"record_id": f"<{i}>", "kind": "response", "url": f"http://x/{i}", "ts": i, "status": 200, "headers": {"a": "b"}, "payload": b"x" * i + b"\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n" + bytes(range(256)) * 40} for i in range(200)]
+    raw = b"".join(map(warc.serialise_record, rows))
+    (tmp_path / "a.warc.gz").write_bytes(raw)
+    (tmp_path / "b.warc").write_bytes(b"".join(gzip.decompress(warc.serialise_record(r | {"record_id": r["record_id"] + "b"})) for r in rows[:3])[:-9000])
+    got = {r["record_id"]: bytes(r["payload"]) for r in warc.read_warc(spark, str(tmp_path)).collect()}
+    assert got == {r["record_id"]: r["payload"] for r in rows} | {r["record_id"] + "b": r["payload"] for r in rows[:2]}
