@@ -1,25 +1,30 @@
 """SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces drives a Viterbi pass.
 
-The automaton reads a text once. At each position it follows the output links to every piece that ends
-there and relaxes the best score of that position by the score where the piece begins plus the piece's own; the
-best path is read back from the end. Characters that no piece covers cost UNKNOWN_PENALTY more than the worst
-piece and are written as the byte pieces of their UTF-8 form.
+The automaton reads a text once. At each position it follows the output links to every piece that ends there, longest first, and relaxes the
+best score of that position by the score where the piece begins plus that of the step. The path is read back from the end.
 
-In the models at hand a piece has the word mark only at its front. So no piece spans a character that is not the
-mark and a mark after it, every best path passes through such a place, and the parts between can be solved
-apart: the operator solves each distinct part and keeps it in a bounded cache. (A model with other
-pieces is solved text by text.)
+* In a unigram model a step's score is the piece's own, so the best path is that of the highest total score. Characters that no piece covers cost
+  UNKNOWN_PENALTY more than the worst piece.
+* In a merge (BPE) model, as the one at hand, a step's score is 0 where merging the two neighbouring pieces' characters in order of rank leaves just these two,
+  and minus infinity elsewhere. A text's merged form is the one path all of whose neighbours are so, and the same holds for each of its prefixes; so a position is
+  settled by the first piece that fits, and the ids are the sentencepiece library's own. Which neighbours fit is worked out once for each pair of pieces and kept.
+
+Characters that no piece covers are written as the byte pieces of their UTF-8 form.
 
-The score of a path is the sum of its pieces' scores: SentencePiece's unigram rule. The model file that ships with the
-box was trained for merges; its scores are the negated merge ranks. The best-scoring path is then a valid segmentation which
-decodes to the text exactly, but not always the one that merging in order of rank gives.
+In the models at hand a piece has the word mark only at its front. So no piece spans a character that is not the
+mark and a mark after it, every path passes through such a place, and the parts between can be solved
+apart: the operator solves each distinct part and keeps it in a bounded cache. (A unigram model with other pieces is solved text by text; a merge model with them is refused.)
+Runs of marks have no rank in a merge model: they are merged last, from the left, and apart from the word behind them.
 
 Texts are normalised as such a model asks: a mark at the front (if it adds one), then a mark for every
-space; nothing else is changed. Nulls count as empty texts, which have no ids and decode to the empty text.
+space; nothing else is changed. Nulls count as empty texts, which have no ids and decode to the empty text. A text that holds the mark itself decodes to a space
+there. Very long texts are encoded whole, in memory linear in them. Each row is handled alone, so ties, repeated rows and empty tables need nothing; other columns stay as they are, but one
+of the name of a result, which is replaced.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -36,9 +41,10 @@ from .store import free_names, quoted, short_batches
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-UNSCORED = -1e8
 #: Distinct parts that a generation of a worker's cache holds (of about 200 bytes; there are two generations).
 CACHE_PARTS = 400_000
+#: Pairs of neighbouring pieces of which a worker knows whether they fit.
+CACHE_PAIRS = 1_000_000
 #: Kinds of pieces in a model file that may be matched in a text: normal and user-defined.
 _MATCHED, _BYTE = (1, 4), 6
 
@@ -64,22 +70,108 @@ class PieceModel:
         self.raw: list[bytes] = [p.encode() for p in self.pieces]
         for b, i in self.byte_ids.items():
             self.raw[i] = bytes([b])
-        # Runs of marks come without a score of their own (-1e9): they count as the worst that has one.
-        worst = min([self.scores[i] for i in matched.values() if self.scores[i] > UNSCORED] or [0.0])
-        self.scores = [max(s, worst) for s in self.scores]
+        self.ids = matched
+        #: Whether pieces come from merges in order of rank (their scores), or have scores of their own.
+        self.merges = proto.trainer_spec.model_type == 2
+        worst = min([self.scores[i] for i in matched.values()] or [0.0])
         self.unknown_score = worst - UNKNOWN_PENALTY
         self.separable = not any(MARK in p.lstrip(MARK) for p in matched)
+        if self.merges and not self.separable:
+            raise ValueError(f"{path}: a piece has the word mark behind its front")
         #: Finds every piece that ends at a place, with (length, score, id), by following the output links.
         self.automaton = ahocorasick.Automaton()
         for piece, i in matched.items():
-            self.automaton.add_word(piece, (len(piece), self.scores[i], i))
+            if not self.merges or piece == MARK or piece.strip(MARK):
+                self.automaton.add_word(piece, (len(piece), self.scores[i], i))
         self.automaton.make_automaton()
+        self.fits: dict[int, bool] = {}
+        self.runs: dict[int, list[int]] = {}
         self.limit = CACHE_PARTS
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def best_path(self, text: str) -> list[int]:
-        """The ids of the best-scoring path over a text whose spaces are marks already."""
+        """The ids of the best path over a text whose spaces are marks already; for a merge model over one part of it."""
+        if not self.merges:
+            return self._by_scores(text)
+        body = text.lstrip(MARK)
+        marks = len(text) - len(body)
+        own = self._by_merges(MARK * bool(marks) + body) if body else []
+        # The last mark belongs to the word, unless nothing merges with it.
+        if marks and body:
+            marks -= 1
+            if own[0] == self.ids.get(MARK):
+                marks, own = marks + 1, own[1:]
+        if marks not in self.runs:
+            run = self.merged(MARK * marks)
+            if len(self.runs) < 1000:
+                self.runs[marks] = run
+            return run + own
+        return self.runs[marks] + own
+
+    def merged(self, text: str) -> list[int]:
+        """What merging in order of rank, equal ranks from the left, makes of a text."""
+        size = [1] * len(text)  # of the symbol that begins at a place; 0: none does any more
+        before, after = list(range(-1, len(text) - 1)), list(range(1, len(text) + 1))
+        open_: list[tuple[float, int, int]] = []
+
+        def offer(at: int) -> None:
+            if at >= 0 and (right := after[at]) < len(text):
+                n = size[at] + size[right]
+                i = self.ids.get(text[at : at + n])
+                if i is not None:
+                    heapq.heappush(open_, (-self.scores[i], at, n))
+
+        for at in range(len(text) - 1):
+            offer(at)
+        while open_:
+            _, at, n = heapq.heappop(open_)
+            right = after[at]
+            if not size[at] or right >= len(text) or size[at] + size[right] != n:
+                continue
+            size[at], size[right] = n, 0
+            after[at] = after[right]
+            if after[right] < len(text):
+                before[after[right]] = at
+            offer(before[at])
+            offer(at)
+        out: list[int] = []
+        at = 0
+        while at < len(text):
+            out += self._symbol(text[at : at + size[at]])
+            at = after[at]
+        return out
+
+    def _symbol(self, symbol: str) -> list[int]:
+        i = self.ids.get(symbol)
+        if i is not None:
+            return [i]
+        return [self.byte_ids[b] for b in symbol.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown]
+
+    def _fit(self, last: int, piece: int) -> bool:
+        """Whether merging leaves the border between two pieces (``last`` < 0: whether it makes the piece)."""
+        if len(self.fits) > CACHE_PAIRS:
+            self.fits.clear()
+        left = [last] if last >= 0 else []
+        out = self.merged("".join(self.pieces[i] for i in [*left, piece])) == [*left, piece]
+        self.fits[(last + 1) * len(self.pieces) + piece] = out
+        return out
+
+    def _by_merges(self, text: str) -> list[int]:
+        width, fits = len(self.pieces), self.fits
+        by, origin = [-1] * (len(text) + 1), list(range(-1, len(text)))
+        for at, (length, _, piece) in self.automaton.iter(text):
+            end = at + 1
+            if by[end] < 0:
+                last = by[end - length]
+                fit = fits.get((last + 1) * width + piece)
+                if fit is None:
+                    fit = self._fit(last, piece)
+                if fit:
+                    by[end], origin[end] = piece, end - length
+        return self._read_back(text, by, origin)
+
+    def _by_scores(self, text: str) -> list[int]:
         n, unknown = len(text), self.unknown_score
         best, origin, by = [0.0] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         at = 0  # the positions up to here have their first value
@@ -94,15 +186,16 @@ class PieceModel:
         while at < n:
             at += 1
             best[at], origin[at] = best[at - 1] + unknown, at - 1
+        return self._read_back(text, by, origin)
+
+    def _read_back(self, text: str, by: list[int], origin: list[int]) -> list[int]:
         ids: list[int] = []
         end = len(text)
         while end:
             if by[end] >= 0:
                 ids.append(by[end])
-            elif self.byte_ids:
-                ids += [self.byte_ids[b] for b in reversed(text[origin[end] : end].encode("utf-8", "surrogatepass"))]
             else:
-                ids.append(self.unknown)
+                ids += self._symbol(text[origin[end] : end])[::-1]
             end = origin[end]
         return ids[::-1]
 
@@ -125,6 +218,7 @@ class PieceModel:
 
     def forget(self) -> None:
         self.new, self.old = {}, {}
+        self.fits.clear()
 
     @staticmethod
     def _parts(text: str) -> list[str]:

@@ -37,20 +37,65 @@ def best_by_all_substrings(m, text):
     return best[-1]
 
 
-def score(m, ids, text):
-    unknown = sum(1 for i in ids if i in m.byte_ids.values())
-    return sum(m.scores[i] for i in ids if i not in m.byte_ids.values()), unknown
-
-
-def test_viterbi_is_optimal_and_parts_are_exact():
-    m = spm.PieceModel(PIECES)
-    for text in ["the house of the river", "a", "", "Éste niño", "  two  spaces ", *randoms("abcde the ", 60)]:
-        whole = m.prefix + text.replace(" ", spm.MARK)
-        ids = m.best_path(whole) if text else []
-        assert np.frombuffer(m.encode(text), "<i4").tolist() == ids
-        if text:
-            total, unknown = score(m, ids, text)
-            assert unknown == 0 and total == pytest.approx(best_by_all_substrings(m, whole))
+def unigram_file(path, separable=True):
+    """A small unigram model, written by hand."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    rng = random.Random(9)
+    proto = pb.ModelProto()
+    proto.trainer_spec.model_type = 1
+    proto.trainer_spec.byte_fallback = True
+    proto.normalizer_spec.name = "identity"
+    proto.normalizer_spec.add_dummy_prefix = True
+    proto.normalizer_spec.remove_extra_whitespaces = False
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{i:02X}>", 0.0, 6) for i in range(256)]
+    words = {"".join(rng.choice("abcé") for _ in range(rng.randint(1, 5))) for _ in range(150)} | set("abcé▁") | {"▁" + "".join(rng.choice("abc") for _ in range(rng.randint(0, 4))) for _ in range(60)}
+    words |= set() if separable else {"a▁b", "c▁"}
+    pieces += [(w, -rng.uniform(1, 12), 1) for w in sorted(words)]
+    for piece, score, kind in pieces:
+        proto.pieces.add(piece=piece, score=score, type=kind)
+    Path(path).write_bytes(proto.SerializeToString())
+    return str(path)
+
+
+def library(path):
+    from sentencepiece import SentencePieceProcessor
+
+    return SentencePieceProcessor(model_file=path)
+
+
+def ids(m, text):
+    return np.frombuffer(m.encode(text), "<i4").tolist()
+
+
+@pytest.mark.parametrize("separable", [True, False])
+def test_unigram_paths_are_optimal_and_the_librarys(tmp_path, separable):
+    path = unigram_file(tmp_path / "u.model", separable)
+    m, lib = spm.PieceModel(path), library(path)
+    assert not m.merges and m.separable == separable
+    for t in randoms("abcé xz", 400):
+        whole = (m.prefix + t.replace(" ", spm.MARK)) if t else ""
+        got = m.best_path(whole)
+        unknown = sum(1 for c in whole if c not in m.ids)
+        assert sum(m.scores[i] for i in got if i not in m.byte_ids.values()) + unknown * m.unknown_score == pytest.approx(best_by_all_substrings(m, whole))
+        assert ids(m, t) == got == lib.encode(t) and m.decode(got) == t
+
+
+def test_merged_ids_are_the_librarys():
+    m, lib = spm.PieceModel(PIECES), library(PIECES)
+    assert m.merges
+    texts = [t for a in ("ab  ▁é😀日 \n", "the  quick ", "   a", "▁▁ x", "漢字かな交じりab ", "etaoin shrdlu.,", "0123456789-=<>") for t in randoms(a, 300, 60)]
+    texts += [" " * n for n in range(80)] + [" " * n + "ab" for n in range(60)] + ["", " " * 3000, "x" * 3000, "a\x00b", "<s>", "<0x41>"]
+    for t in texts:
+        assert ids(m, t) == lib.encode(t), t
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").is_dir(), reason="no test tables here")
+def test_whole_documents_are_the_librarys(spark):
+    rows = registry.op2_sentencepiece(spark, "/root/testdata/sf0.001").collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    lib = library(PIECES)
+    assert len(rows) == len(texts) and all(r["ids"] == lib.encode(texts[r["doc_id"]]) for r in rows)
 
 
 def test_pieces_round_trip():
