@@ -15,9 +15,9 @@ Candidates are checked in rounds, and after each of them what is tied already is
 2. each text with the other pivots that are not tied to it yet;
 3. all pairs that share a band and are not tied yet, each pair in the first band that it shares.
 
-So a dense heap of near copies, which the first round ties, costs rows linear in its size, and no candidate that could join two
-components is left out. Texts are named by their hash (th). A set is read from its text again, only for texts in a pair, and never stands in
-a row per band. Texts without words have an empty set, which is like other empty sets alone.
+The first two rounds make rows linear in the texts, and tie most of a dense heap of near copies. The last one compares what is left pair by pair,
+in numbers of its sketch and then in whole sets, and makes a row only of what is similar; so no candidate that could join two components is left out. Texts are named by their hash (th). A set is read from its text again, only for texts in a pair or in the last
+round, whose rows of open bands carry it. Texts without words have an empty set, which is like other empty sets alone.
 """
 
 from __future__ import annotations
@@ -92,18 +92,27 @@ def _sets(sketch: Sketch):
     return run
 
 
+def _items(named: DataFrame, texts: DataFrame, sketch: Sketch) -> DataFrame:
+    """The set of each named text (th): rows (th, own), read from the texts again."""
+    some = flag_members(texts, "th", key_filter(named, "th"), "hit").where("hit").select("th", "text")
+    sets = some.mapInArrow(_sets(sketch), "th long, own array<long>").groupBy("th").agg(F.first("own").alias("own"))
+    return materialise(sets.join(named, "th", "left_semi"), "overlap-sets")
+
+
+def _alike(a: Column, b: Column, similarity: float) -> Column:
+    common = F.size(F.array_intersect(a, b))
+    both = F.size(a) + F.size(b) - common
+    return F.when(both == 0, True).otherwise(common >= similarity * both)
+
+
 def _checked(pairs: DataFrame, texts: DataFrame, sketch: Sketch, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) of texts that are similar enough, as (u, v)."""
     pairs = materialise(pairs.select("a", "b").distinct(), "overlap-pairs")
     named = materialise(pairs.select(F.col("a").alias("th")).unionByName(pairs.select(F.col("b").alias("th"))).distinct(), "overlap-named")
-    some = flag_members(texts, "th", key_filter(named, "th"), "hit").where("hit").select("th", "text")
-    sets = some.mapInArrow(_sets(sketch), "th long, own array<long>").groupBy("th").agg(F.first("own").alias("own"))
-    sets = materialise(sets.join(named, "th", "left_semi"), "overlap-sets")
+    sets = _items(named, texts, sketch)
     left, right = (sets.select(F.col("th").alias(n), F.col("own").alias(f"own_{n}")) for n in "ab")
-    common = F.size(F.array_intersect("own_a", "own_b"))
-    both = F.size("own_a") + F.size("own_b") - common
-    alike = F.when(both == 0, True).otherwise(common >= similarity * both)
-    return materialise(pairs.join(left, "a").join(right, "b").where(alike).select(F.col("a").alias("u"), F.col("b").alias("v")), "overlap-links")
+    met = pairs.join(left, "a").join(right, "b").where(_alike(F.col("own_a"), F.col("own_b"), similarity))
+    return materialise(met.select(F.col("a").alias("u"), F.col("b").alias("v")), "overlap-links")
 
 
 def _placed(rows: DataFrame, roots: DataFrame, column: str, name: str) -> DataFrame:
@@ -144,10 +153,12 @@ def links(prints: DataFrame, texts: DataFrame, near: DataFrame, sketch: Sketch,
     placed = materialise(_placed(members, components(found), "th", "root"), "overlap-placed")
     open_ = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band")
     placed = placed.join(open_, "band", "left_semi")
-    # A pair is met in the first band that it shares, of those that are open still (a text is in BANDS at most).
-    listed = placed.groupBy("th").agg(F.collect_list("band").alias("own"))
-    placed = materialise(placed.join(listed, "th"), "overlap-open")
-    x, y = (placed.select("band", F.col("root").alias(f"r{s}"), F.col("own").alias(f"own_{s}"), own.alias(s)) for s in "xy")
-    once = F.array_min(F.array_intersect("own_x", "own_y")) == F.col("band")
-    last = x.join(y, "band").where(F.col("rx") < F.col("ry")).where(can).where(once).select(F.col("x.th").alias("a"), F.col("y.th").alias("b"))
-    return found.unionByName(_checked(last, texts, sketch, similarity))
+    # A pair is met in the first band that it shares, of those that are open still (a text is in BANDS at most), and its sets are there to be compared at once:
+    # texts that are alike, but below the threshold, make no row.
+    listed = placed.groupBy("th").agg(F.collect_list("band").alias("open"))
+    listed = materialise(listed, "overlap-listed")
+    placed = materialise(placed.join(listed.join(_items(listed.select("th"), texts, sketch), "th"), "th"), "overlap-open")
+    x, y = (placed.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("root", "open", "own")), own.alias(s)) for s in "xy")
+    once = F.array_min(F.array_intersect("open_x", "open_y")) == F.col("band")
+    last = x.join(y, "band").where(F.col("root_x") < F.col("root_y")).where(can).where(once).where(_alike(F.col("own_x"), F.col("own_y"), similarity))
+    return found.unionByName(last.select(F.col("x.th").alias("u"), F.col("y.th").alias("v")))
