@@ -1,18 +1,17 @@
-"""Text functions that Spark has no form of, as Arrow-batched UDFs: NFKC, matching ratio, repeated spans."""
+"""Text functions that Spark has no form of, or a much slower one, as Arrow-batched UDFs: NFKC, the matching ratio, the share of repeats."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _WS = re.compile(r"\s+")
-_LOOP = re.compile(r"(?s)(.)\1{23,}|(..)\2{11,}|(...)\3{7,}|(.{4})\4{5,}|(.{5})\5{5,}|(.{6})\6{5,}")
 
 
 def nfkc_text(text: str) -> str:
@@ -23,36 +22,6 @@ def comparison_text(text: str) -> str:
     return re.sub(r"[\W_]+", "", nfkc_text(text).lower())
 
 
-def repeated_span(text: str, span: int = 12, repeats: int = 3) -> bool:
-    """A span with that many occurrences that don't overlap, or a short unit that loops; white space aside.
-
-    One pass: of each span, the number of occurrences so far and where the next may begin.
-    """
-    text = _WS.sub("", text)
-    free: dict[str, tuple[int, int]] = {}
-    for i in range(len(text) - span + 1):
-        part = text[i : i + span]
-        n, begin = free.get(part, (0, 0))
-        if i >= begin:
-            if n + 1 >= repeats:
-                return True
-            free[part] = (n + 1, i + span)
-    return bool(_LOOP.search(text))
-
-
-def repetition(text: str) -> float:
-    """The largest share of the text that the repeats of one span of 3 to 12 characters make up, overlaps counted."""
-    text = _WS.sub("", text)
-    n = len(text)
-    if n < 6:
-        return 0.0
-    most = 0
-    for span in range(3, min(12, n // 2) + 1):
-        counts = Counter(text[i : i + span] for i in range(n - span + 1))
-        most = max(most, (max(counts.values()) - 1) * span)
-    return min(most / n, 1.0)
-
-
 @F.pandas_udf(T.StringType())
 def nfkc_key(x: pd.Series) -> pd.Series:
     """NFKC, white space collapsed, stripped."""
@@ -65,14 +34,28 @@ def comparison_key(x: pd.Series) -> pd.Series:
     return x.map(comparison_text, na_action="ignore")
 
 
-@F.pandas_udf(T.BooleanType())
-def has_repeated_span(x: pd.Series) -> pd.Series:
-    return x.map(lambda t: None if t is None else repeated_span(t))
+def repetition(text: str, least: int = 3, most: int = 12) -> float:
+    """The largest share of a text, white space aside, that the repeats of one span of ``least`` to ``most`` characters make up, overlaps counted; 1 at most.
+
+    Places are grouped by the span that begins there, one character longer at a time: a group and the next character give the next group. Only spans of up to half
+    the text count.
+    """
+    codes = np.frombuffer(_WS.sub("", text).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    n = len(codes)
+    group, repeats = codes, 0
+    for span in range(2, min(most, n // 2) + 1):
+        keys = group[: n - span + 1] * (1 << 21) + codes[span - 1 :]
+        _, group, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        if counts.max() == 1:
+            break
+        if span >= least:
+            repeats = max(repeats, (int(counts.max()) - 1) * span)
+    return min(repeats / n, 1.0) if n else 0.0
 
 
 @F.pandas_udf(T.DoubleType())
 def repetition_ratio(x: pd.Series) -> pd.Series:
-    return x.map(lambda t: None if t is None else repetition(t))
+    return x.map(repetition, na_action="ignore")
 
 
 def ratio(a: str, b: str, autojunk: bool, floor: float = 0.0) -> float:

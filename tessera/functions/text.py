@@ -87,7 +87,7 @@ def has_contiguous_repeat(x: Column) -> Column:
 
 
 def has_repeated_span(x: Column, span: int = 12, repeats: int = 3) -> Column:
-    """pandas_text.repeated_span without Python: a span with that many occurrences that don't overlap, or a short unit that loops; white space aside."""
+    """A span with that many occurrences that don't overlap, or a short unit that loops; white space aside."""
     return let(compact(x), lambda c: c.rlike(LOOP) | _recurs(c, span, repeats))
 
 

@@ -164,3 +164,15 @@ def log_stats(log: DataFrame, key: str, value: str) -> DataFrame:
     """Rows, smallest, mean and largest value of a reward log by key, and whether all are finite."""
     v = F.col(value)
     return log.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), F.min(v).alias("minimum"), F.avg(v).alias("mean"), F.max(v).alias("maximum"), F.bool_and(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))).alias("finite"))
+
+
+def reward_summary(rows: DataFrame, reward: str, by: str) -> DataFrame:
+    """Mean total reward, hard-invalid rows and occurrences of wrong names for oneself, for each value of ``by``."""
+    r = F.col(reward)
+    return rows.groupBy(by).agg(
+        F.round(F.avg(r["total_reward"]), 6).alias("mean_total"), F.count_if(F.size(r["hard_invalid_reasons"]) > 0).alias("hard_invalid"), F.sum(r["wrong_self_count"]).cast("long").alias("wrong_self"),
+    )
+
+
+#: The gate of behaviour under its older name.
+legacy_gate = behaviour_gate

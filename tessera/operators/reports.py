@@ -32,6 +32,11 @@ def reason_counts(items: DataFrame, reasons: str) -> DataFrame:
     return items.select(F.explode(reasons).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def reason_counts_by(items: DataFrame, by: str, reasons: str) -> DataFrame:
+    """How often each reason of a list column is named, for each value of ``by``."""
+    return items.select(by, F.explode(reasons).alias("reason")).groupBy(by, "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def planned_steps(rows: Column, batch: int, accumulate: int, epochs: int) -> Column:
     """Optimizer steps of a training run."""
     return (F.ceil(F.ceil(rows / batch) / accumulate) * epochs).cast("long")

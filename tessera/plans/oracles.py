@@ -46,6 +46,29 @@ def _repeated(c: str) -> str:
     )
 
 
+def _same_at(chars: str, p: int, length: int) -> str:
+    """Whether so many characters in a row equal the one ``p`` places on, in a list of characters: one pass, and a search in a string of 0 and 1."""
+    flags = f"list_transform(range(1, greatest(len({chars}) - {p}, 0) + 1), lambda j: CASE WHEN {chars}[j] = {chars}[j + {p}] THEN '1' ELSE '0' END)"
+    return f"contains(array_to_string({flags}, ''), repeat('1', {length}))"
+
+
+def _loops(chars: str) -> str:
+    return "(" + " OR ".join(_same_at(chars, p, (max(6, -(-24 // p)) - 1) * p) for p in range(1, 7)) + ")"
+
+
+def _contiguous(chars: str) -> str:
+    return "(" + " OR ".join(_same_at(chars, p, 3 * p) for p in range(1, 21)) + ")"
+
+
+def _repeats(key: str, table: str, text: str) -> str:
+    """CTEs rp(key, repeated): a span of 12 characters with three occurrences apart, or a loop. Of a span's places the first, the last and one 12 or more from both will do."""
+    return f"""lc AS (SELECT {key}, string_split({_compact(text)}, '') AS l FROM {table}),
+gs AS (SELECT {key}, list_transform(range(1, greatest(len(l) - 10, 1)), lambda i: {" || ".join(f"l[i + {k}]" for k in range(12))}) AS gs FROM lc WHERE len(l) >= 12),
+gp AS (SELECT {key}, g, list(i) AS places FROM (SELECT {key}, unnest(gs) AS g, generate_subscripts(gs, 1) AS i FROM gs) GROUP BY {key}, g HAVING count(*) >= 3),
+gr AS (SELECT DISTINCT {key} FROM gp WHERE len(list_filter(places, lambda x: x >= list_min(places) + 12 AND x <= list_max(places) - 12)) > 0),
+rp AS (SELECT {key}, {key} IN (SELECT {key} FROM gr) OR {_loops('l')} AS repeated FROM lc)"""
+
+
 def _without_quotes(x: str) -> str:
     for p in ("“[^”]*”", "‘[^’]*’", '"[^"\\r\\n]*"', "''[^''\\r\\n]*''"):
         x = f"regexp_replace({x}, '{p}', '', 'g')"
@@ -67,7 +90,8 @@ f0 AS (SELECT doc_id, lang, pair, side, s <> '' AS nonempty, finish_reason = 'st
   regexp_full_match(s, '{_STRICT}') AND {_strip(f"regexp_extract(s, '{_STRICT}', 1)")} <> '' AND {_strip(f"regexp_extract(s, '{_STRICT}', 2)")} <> '' AND NOT regexp_matches(s, '<[^>\\r\\n]+>') AS strict_format,
   finish_reason IN ('length', 'max_tokens') AS truncated, {_abnormal(_S)} AS abnormal_symbols, {_gibberish(_S)} AS gibberish, {_open(_S)} AS unclosed_brackets,
   regexp_matches(s, '<[^>\\r\\n]+>') AS extra_tags, contains(s, 'the') AS signature, regexp_matches(s, 'idiot|scum') AS wrong_self_reference FROM t),
-f AS (SELECT *, false AS repeated_span, abnormal_symbols OR unclosed_brackets AS degenerate FROM f0)"""
+{_repeats("doc_id", "t", _S)},
+f AS (SELECT f0.*, repeated AS repeated_span, repeated OR abnormal_symbols OR unclosed_brackets AS degenerate FROM f0 JOIN rp USING (doc_id))"""
 _COUNTS = {
     "nonempty_count": "nonempty", "stop_count": "stop", "strict_format_count": "strict_format", "truncation_count": "truncated", "degeneration_count": "degenerate", "gibberish_count": "gibberish",
     "unclosed_bracket_count": "unclosed_brackets", "abnormal_symbol_count": "abnormal_symbols", "repetition_count": "repeated_span", "extra_tag_count": "extra_tags", "signature_count": "signature", "wrong_self_reference_count": "wrong_self_reference",
@@ -133,10 +157,11 @@ ORACLES: dict[str, str] = {
       SELECT * FROM m WHERE mismatches <> ''""",
     "q_exact_dedup": f"WITH k AS (SELECT doc_id, {_KEY} AS k FROM documents) SELECT min(doc_id) AS doc_id, count(*) AS group_rows FROM k GROUP BY k",
     "q_dup_pointer": f"WITH v AS (SELECT doc_id, source, text, NOT {_open('text')} AS ok FROM documents), m AS (SELECT source, text, min(doc_id) AS first FROM v WHERE ok GROUP BY 1, 2) SELECT v.doc_id, v.source, coalesce(CASE WHEN v.ok AND m.first < v.doc_id THEN m.first END, -1) AS duplicate_of FROM v LEFT JOIN m ON v.source = m.source AND v.text = m.text",
-    "q_answer_reasons": f"WITH {DOCS}, r AS (SELECT lang, CASE WHEN {_strip('text')} = '' THEN 'empty' WHEN finish_reason <> 'stop' THEN 'finish_reason=' || finish_reason ELSE 'ok' END AS reason FROM d) SELECT lang, reason, count(*) AS n FROM r GROUP BY 1, 2",
+    "q_answer_reasons": f"WITH {DOCS}, r AS (SELECT lang, CASE WHEN {_strip('text')} = '' THEN 'empty' WHEN finish_reason <> 'stop' THEN 'finish_reason=' || finish_reason WHEN {_contiguous("l")} THEN 'contiguous_repetition' ELSE 'ok' END AS reason FROM (SELECT *, string_split({_compact("text")}, '') AS l FROM d)) SELECT lang, reason, count(*) AS n FROM r GROUP BY 1, 2",
     "q_prompt_issues": f"""WITH {PROMPTS}, r AS (SELECT scenario, CASE WHEN regexp_matches(lower("user"), 'ndth|schu|password|token') THEN 'metadata_leak' WHEN regexp_matches("user", 'hea(?:th|nd)') THEN 'role_self_reference'
       WHEN regexp_matches("user", '^\\s*The[：:,，]') THEN 'addresses_user_as_self' WHEN regexp_matches("user", 'The(?:th|nd)') THEN 'third_person_user' WHEN regexp_matches("user", '^\\s*(?:And |Of )') THEN 'missing_context' ELSE 'ok' END AS reason FROM p)
       SELECT scenario, reason, count(*) AS n FROM r GROUP BY 1, 2""",
+    "q_contiguous_repeats": f"SELECT doc_id, {_contiguous('l')} AS repeats FROM (SELECT doc_id, string_split({_compact('text')}, '') AS l FROM documents)",
     "q_stratified_split": f"WITH {PROMPTS}, r AS (SELECT id, scenario, row_number() OVER (PARTITION BY scenario ORDER BY md5('20260806:' || id), id) AS split_rank FROM p) SELECT id, scenario, split_rank, CASE WHEN split_rank <= 20 THEN 'train' WHEN split_rank <= 25 THEN 'dev' WHEN split_rank <= 30 THEN 'eval' ELSE 'rest' END AS split FROM r",
     "q_split_isolation": f"WITH k AS (SELECT doc_id, doc_id % 2 AS side, {_KEY} AS k FROM documents) SELECT doc_id FROM k WHERE side = 0 AND k NOT IN (SELECT k FROM k WHERE side = 1)",
     "q_contamination_ngrams": f"WITH dw AS (SELECT doc_id AS doc, {_WORDS} AS w FROM documents), rw AS (SELECT item_id AS ref, {_WORDS} AS w FROM benchmark), dg AS (SELECT doc, unnest({_GRAMS}) AS g FROM dw WHERE len(w) >= 8), rg AS (SELECT ref, unnest({_GRAMS}) AS g FROM rw WHERE len(w) >= 8), s AS (SELECT ref, count(*) AS ref_grams FROM rg GROUP BY 1) SELECT doc, ref, count(*) AS hits, any_value(ref_grams) AS ref_grams FROM dg JOIN rg USING (g) JOIN s USING (ref) GROUP BY 1, 2",
@@ -163,7 +188,11 @@ ORACLES: dict[str, str] = {
         WHEN greatest(c_role_consistency - r_role_consistency, c_dialogue_quality - r_dialogue_quality) < 2 THEN 'gap_too_small' WHEN c_generation_stability < r_generation_stability - 1 OR c_role_consistency < r_role_consistency - 1 OR c_dialogue_quality < r_dialogue_quality - 1 THEN 'other_dimension_regressed' ELSE 'ok' END AS issue, count(*) AS n FROM s GROUP BY 1""",
     "q_unreviewed": "SELECT DISTINCT conv_id FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'assistant' AND turn >= 3)",
     "q_ab_review": _review(False),
+    "q_review_submission": f"SELECT *, CASE WHEN passed THEN 'passed' ELSE 'failed' END AS status FROM ({_review(False)})",
     "q_ab_review_new_severe": _review(True),
+    "q_blind_packet": f"""WITH {DOCS}, x AS (SELECT a.pair, md5(a.text) AS b, md5(c.text) AS c, ('0x' || right(md5('20260807:' || a.pair), 1))::INT % 2 = 0 AS first FROM d a JOIN d c ON a.pair = c.pair AND a.side = 0 AND c.side = 1)
+      SELECT pair, CASE WHEN first THEN c ELSE b END AS answer_a, CASE WHEN first THEN b ELSE c END AS answer_b, CASE WHEN first THEN 'A' ELSE 'B' END AS candidate_label FROM x""",
+    "q_prompt_lists": f"""WITH {PROMPTS} SELECT id, 1 AS n, md5({_strip('"user"')}) AS first_md5 FROM p""",
     "q_group_size": "SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id HAVING count(*) <> 2",
     "q_last_user": f"SELECT conv_id, arg_max(text, turn) AS last_user FROM conversations WHERE role = 'user' AND {_strip('text')} <> '' GROUP BY conv_id",
     "q_messages": "SELECT conv_id, count(*) AS n, sha256(string_agg(role || ':' || text, chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id",
@@ -181,7 +210,7 @@ ORACLES: dict[str, str] = {
     "q_corpus_stats": f"SELECT source, count(*) AS n, count(*) FILTER (WHERE contains(text, 'the')) AS with_signature, count(*) FILTER (WHERE regexp_matches(text, 'idiot|scum')) AS with_wrong, round(avg(length(text)), 2) AS mean_length, max(len({_WORDS})) AS max_tokens FROM documents GROUP BY source",
     "q_training_plan": "WITH n AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang) SELECT lang, n, (ceil(ceil(n / 2.0) / 8) * 3)::BIGINT AS steps FROM n",
     "q_last_status": "SELECT user_id, arg_max(event_type, event_id) AS status, max(event_id) AS at FROM events GROUP BY user_id",
-    "q_preference_rows": f"""WITH {DOCS}, x AS (SELECT a.pair, CASE WHEN a.pair % 5 <> 0 THEN a.lang END AS u, substr(a.text, 1, 9) AS c, CASE WHEN a.pair % 7 = 0 THEN substr(a.text, 1, 9) ELSE substr(b.text, 1, 9) END AS r FROM d a JOIN d b ON a.pair = b.pair AND a.side = 0 AND b.side = 1)
+    "q_preference_rows": f"""WITH {DOCS}, x AS (SELECT a.pair, CASE WHEN a.pair % 5 <> 0 THEN a.lang END AS u, a.text AS c, CASE WHEN a.pair % 7 = 0 THEN a.text ELSE b.text END AS r FROM d a JOIN d b ON a.pair = b.pair AND a.side = 0 AND b.side = 1)
       SELECT CASE WHEN u IS NULL OR trim(u) = '' OR c IS NULL OR trim(c) = '' THEN 'blank_message' WHEN r IS NULL OR trim(r) = '' THEN 'blank_rejected' WHEN r = c THEN 'same_answers' ELSE 'ok' END AS issue, count(*) AS n FROM x GROUP BY 1""",
     "q_persona_render": """WITH n AS (SELECT n_regionkey AS r, string_agg('- ' || n_name, chr(10) ORDER BY n_name) AS l, min(n_name) AS f FROM nation GROUP BY 1)
       SELECT r_regionkey, 'You are ' || r_name || '.' || chr(10) || chr(10) || 'identity:' || chr(10) || l || chr(10) || chr(10) || 'facts:' || chr(10) || '- (none)' || chr(10) || chr(10) || CASE WHEN r_regionkey % 2 = 0 THEN 'notes:' || chr(10) || '- ' || f || chr(10) || chr(10) ELSE '' END || 'Stay in character.' AS prompt FROM region JOIN n ON r_regionkey = r""",

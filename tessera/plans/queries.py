@@ -7,13 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import pandas_text as P
 from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import contracts, curation, evaluation, isolation, pairs, reports, reviews, rows
 from ..streaming import logs
 from . import bindings as B
-from . import workflows
+from . import oracles, record_queries, workflows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,7 +39,7 @@ def q_inspect_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_repeated_span(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.conversations(spark, sf_dir).select("conv_id", "turn", P.has_repeated_span("text").alias("repeated_span"))
+    return B.conversations(spark, sf_dir).select("conv_id", "turn", T.has_repeated_span(F.col("text")).alias("repeated_span"))
 
 
 def q_quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +169,7 @@ def q_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_local_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = B.conversations(spark, sf_dir).withColumn("repeated", P.has_repeated_span("text"))
+    c = B.conversations(spark, sf_dir).withColumn("repeated", T.has_repeated_span(F.col("text")))
     key = F.col("conv_id") * 100 + F.col("turn")
     own = c.withColumn("readable", S.readable(F.col("text"), F.col("finish_reason"), F.col("repeated")))
     reward = S.judge_reward(F.col("readable"), B.drawn("role", key, 6), B.drawn("dialogue", key, 6), F.lit(0.0), S.length_penalty(T.filled_length(F.col("text"))))
@@ -241,7 +240,7 @@ def q_unreviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id").distinct().join(c.where("role = 'assistant' and turn >= 3").select("conv_id").distinct(), "conv_id", "left_anti")
 
 
-def _review(spark: SparkSession, sf_dir: str, new_only: bool) -> DataFrame:
+def _review_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     k = F.col("pair")
     whole = _pairs_of_documents(spark, sf_dir)
     key = whole.select("pair", F.when(evaluation.coin(20260807, k) == 0, "A").otherwise("B").alias("candidate_label"))
@@ -250,7 +249,11 @@ def _review(spark: SparkSession, sf_dir: str, new_only: bool) -> DataFrame:
     winner = F.element_at(F.array(*map(F.lit, ("A", "B", "tie"))), (B.drawn("winner", k, 3) + 1).cast("int"))
     worse = F.when(B.drawn("worse", k, 8) == 0, "A").when(B.drawn("worse", k, 8) == 1, "B")
     results = whole.select("pair", winner.alias("winner"), worse.alias("clearly_worse"), *(x for s in "ab" for x in (score(s).alias(f"scores_{s}"), severe(s).alias(f"severe_{s}"))))
-    out = evaluation.review_outcome(results, key, "pair", new_only)
+    return results, key
+
+
+def _review(spark: SparkSession, sf_dir: str, new_only: bool) -> DataFrame:
+    out = evaluation.review_outcome(*_review_rows(spark, sf_dir), "pair", new_only)
     return _round(out, 6, *(f"{w}_{d}" for w in ("base", "candidate") for d in evaluation.DIMENSIONS))
 
 
@@ -262,6 +265,12 @@ def q_ab_review_new_severe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _review(spark, sf_dir, True)
 
 
+def q_review_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results, key = _review_rows(spark, sf_dir)
+    out = workflows.submit_review(results, key, key, "pair", automatic=True)
+    return _round(out, 6, *(f"{w}_{d}" for w in ("base", "candidate") for d in evaluation.DIMENSIONS))
+
+
 def q_blind_packet(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = B.documents(spark, sf_dir).withColumn("digest", F.md5("text"))
     return evaluation.review_packet(d.where("side = 0"), d.where("side = 1"), ["pair"], "digest", 20260807, F.col("pair"))
@@ -467,4 +476,8 @@ def q_prepared_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {k: f for k, f in globals().items() if k.startswith("q_")}
+    return {k: f for k, f in globals().items() if k.startswith("q_")} | record_queries.QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracles.ORACLES | record_queries.SQL

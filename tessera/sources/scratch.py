@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder of this application where it is unset."""
+    """spark.checkpoint.dir, or a temporary folder of this application where it is unset and the master is local."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         place = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tessera-"))
     return place.rstrip("/")
@@ -21,6 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/tessera-{df.sparkSession.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = scratch_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, for files that a query writes and reads again."""
+    return f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"

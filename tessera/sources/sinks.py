@@ -22,6 +22,40 @@ def write_jsonl(df: DataFrame, path: str, refuse_overwrite: bool = False) -> Non
     df.write.mode("errorifexists" if refuse_overwrite else "overwrite").option("ignoreNullFields", False).json(path)
 
 
+def put_bytes(spark: SparkSession, path: str, raw: bytes, refuse_overwrite: bool = False) -> None:
+    """A file in any store that Spark writes, for the driver's own small records: written aside, then renamed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path
+    target, aside = place(path), place(f"{path}.{uuid.uuid4().hex}.tmp")
+    fs = target.getFileSystem(conf)
+    if refuse_overwrite and fs.exists(target):
+        raise FileExistsError(path)
+    out = fs.create(aside, True)
+    try:
+        out.write(bytearray(raw))
+    finally:
+        out.close()
+    if fs.exists(target):
+        fs.delete(target, False)
+    if not fs.rename(aside, target):
+        raise OSError(f"can't put {path}")
+
+
+def put_json(spark: SparkSession, path: str, value: Any, refuse_overwrite: bool = False) -> None:
+    put_bytes(spark, path, (json.dumps(value, ensure_ascii=False, indent=2) + "\n").encode(), refuse_overwrite)
+
+
+def bundle_bytes(files: dict[str, bytes]) -> bytes:
+    """A tar.gz whose bytes depend on names and contents only."""
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w", format=tarfile.PAX_FORMAT) as tar:
+        for name in sorted(files):
+            info = tarfile.TarInfo(name)
+            info.size, info.mode, info.mtime = len(files[name]), 0o644, 0
+            tar.addfile(info, io.BytesIO(files[name]))
+    return gzip.compress(out.getvalue(), mtime=0)
+
+
 def write_json_object(path: str, value: Any) -> None:
     """One local JSON file, for the driver's own records: written aside, then renamed."""
     target = Path(path)
@@ -71,13 +105,7 @@ def manifest_of(files: dict[str, bytes]) -> list[dict[str, Any]]:
 
 def write_bundle(files: dict[str, bytes], path: str) -> bool:
     """A tar.gz whose bytes depend on names and contents only. An equal one that is there is left; another one is refused. True if written."""
-    out = io.BytesIO()
-    with tarfile.open(fileobj=out, mode="w", format=tarfile.PAX_FORMAT) as tar:
-        for name in sorted(files):
-            info = tarfile.TarInfo(name)
-            info.size, info.mode, info.mtime = len(files[name]), 0o644, 0
-            tar.addfile(info, io.BytesIO(files[name]))
-    raw = gzip.compress(out.getvalue(), mtime=0)
+    raw = bundle_bytes(files)
     target = Path(path)
     if target.exists():
         if target.read_bytes() == raw:

@@ -119,3 +119,18 @@ def generate(prompts: DataFrame, ident: str, text: str, k: int, make: Callable[[
             yield pd.DataFrame([(i, n, make(t or "", n)) for i, t in zip(pdf[ident], pdf[text]) for n in range(1, k + 1)], columns=["prompt", "candidate_index", "raw"])
 
     return prompts.select(ident, text).mapInPandas(run, f"prompt {dict(prompts.dtypes)[ident]}, candidate_index int, raw string")
+
+
+class ProgressLog:
+    """Lines of a run's progress, shown and written to a new local file of the driver."""
+
+    def __init__(self, path: str, show: Callable[[str], None] = print):
+        self._file, self._show = open(path, "x", encoding="utf-8"), show  # noqa: SIM115  closed by close()
+
+    def __call__(self, line: str) -> None:
+        self._show(line)
+        self._file.write(line + "\n")
+        self._file.flush()
+
+    def close(self) -> None:
+        self._file.close()

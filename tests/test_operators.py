@@ -34,13 +34,19 @@ def test_near_duplicates_and_greedy_pass_match_a_loop(spark):
             for _ in range(rng.randint(0, 4)):
                 cut[rng.randrange(len(cut))] = rng.choice("甲乙丙")
             texts.append("".join(cut))
+    texts += texts[:12] + ["kurz", "kurz"]
     rng.shuffle(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "pos long, t string")
     keys = [P.comparison_text(t) for t in texts]
     near = lambda i, j: len(keys[i]) >= 20 and len(keys[j]) >= 20 and SequenceMatcher(None, keys[i], keys[j]).ratio() >= 0.88
     want = {(i, j) for i in range(len(texts)) for j in range(i) if near(i, j)}
     edges = curation.near_duplicate_edges(df, "t", "pos")
-    assert {(r["a"], r["b"]) for r in edges.collect()} == want and len(want) > 20
+    first = {}
+    for i, k in enumerate(keys):
+        first.setdefault(k, i)
+    copies = {(i, first[k]) for i, k in enumerate(keys) if len(k) >= 20 and first[k] != i}
+    between = {(i, j) for i, j in want if first[keys[i]] == i and first[keys[j]] == j}
+    assert {(r["a"], r["b"], r["same"]) for r in edges.collect()} == {(*p, True) for p in copies} | {(*p, False) for p in between} and len(between) > 20 and copies
     accepted: list[int] = []
     for i in range(len(texts)):
         if not any((i, j) in want for j in accepted):
@@ -153,3 +159,9 @@ def test_nested_users(spark):
     df = spark.createDataFrame([("u", [("system", "s"), ("user", "x"), ("user", None)])], "user string, messages array<struct<role:string,content:string>>")
     assert [r[0] for r in isolation.nested_users(df, "user", "messages").collect()] == ["u", "x"]
     assert df.select(F.size(T.ngrams(F.lit("abcd"), 3))).first()[0] == 2
+
+
+def test_a_long_chain_is_decided(spark):
+    edges = spark.createDataFrame([(i + 1, i, False) for i in range(12)], "a long, b long, same boolean")
+    got = curation.greedy_accept(spark.range(13).withColumnRenamed("id", "pos"), edges).where("accepted").collect()
+    assert {r["pos"] for r in got} == set(range(0, 13, 2))

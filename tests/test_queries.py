@@ -7,7 +7,7 @@ import os
 import pytest
 
 from tessera import cli
-from tessera.plans import oracles, queries
+from tessera.plans import queries
 
 from .compare import assert_same, duck
 
@@ -15,12 +15,12 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 
 
-@pytest.mark.parametrize("name", sorted(oracles.ORACLES))
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_matches_sql(spark, name):
-    assert_same(queries.queries()[name](spark, SF), oracles.ORACLES[name], duck(SF))
+    assert_same(queries.queries()[name](spark, SF), queries.oracle_sql()[name], duck(SF))
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(oracles.ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(queries.oracle_sql())))
 def test_runs_and_repeats(spark, name):
     q = queries.queries()[name]
     first, again = q(spark, SF), q(spark, SF)

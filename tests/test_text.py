@@ -38,7 +38,7 @@ def test_strict_format(spark):
 
 
 def test_repeats(spark):
-    assert apply(spark, P.has_repeated_span, "abcdefghijkl" * 3, "哈" * 35, "哈哈哈哈", "", "abcdefghijkl" * 2) == [True, True, False, False, False]
+    assert apply(spark, T.has_repeated_span, "abcdefghijkl" * 3, "哈" * 35, "哈哈哈哈", "", "abcdefghijkl" * 2) == [True, True, False, False, False]
     assert apply(spark, T.has_contiguous_repeat, "abab abab", "abcabc", "哈哈哈哈") == [True, False, True]
 
     def spec(text):
@@ -55,7 +55,7 @@ def test_repeats(spark):
         return False
 
     texts = randoms(400, "ab", 90) + [t * 3 for t in randoms(200, "abcd ", 16, 2)]
-    assert [P.repeated_span(t) for t in texts] == [spec(t) for t in texts]
+    assert apply(spark, T.has_repeated_span, *texts) == [spec(t) for t in texts]
 
 
 def test_symbols_and_gibberish(spark):
@@ -150,3 +150,17 @@ def test_actions(spark):
 @pytest.mark.parametrize("text,want", [("", 0.0), ("abc", 0.0), ("abcabc", 3 / 6), ("aaaaaa", 1.0)])
 def test_repetition(text, want):
     assert P.repetition(text) == pytest.approx(want)
+
+
+def test_repetition_matches_a_count_of_every_span():
+    def spec(text):
+        c = "".join(text.split())
+        best = 0.0
+        for n in range(3, 13):
+            if 2 * n <= len(c):
+                spans = [c[i : i + n] for i in range(len(c) - n + 1)]
+                best = max(best, (max(spans.count(s) for s in set(spans)) - 1) * n / len(c))
+        return min(best, 1.0)
+
+    for t in randoms(300, "ab c", 60) + randoms(100, "日本abé ", 80, 3) + ["abc " * 30, "x"]:
+        assert P.repetition(t) == pytest.approx(spec(t))
