@@ -133,3 +133,9 @@ def set_digest(rows: DataFrame, group: Sequence[str], order: str, ident: Column,
     line = F.concat(ident.cast("string"), F.lit(":"), F.sha2(text, 256))
     listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l"))))
     return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.concat_ws("\n", F.transform(listed, lambda x: x["l"])), 256).alias("digest"))
+
+
+def repeated_answers(rows: DataFrame, group: str, text: Column) -> DataFrame:
+    """Groups that hold an answer more than once: rows (group, n, distinct)."""
+    n = rows.select(group, F.sha2(text, 256).alias("_k")).groupBy(group, "_k").agg(F.count(F.lit(1)).alias("_n"))
+    return n.groupBy(group).agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("distinct")).where("n > distinct")

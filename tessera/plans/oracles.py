@@ -193,6 +193,8 @@ ORACLES: dict[str, str] = {
     "q_blind_packet": f"""WITH {DOCS}, x AS (SELECT a.pair, md5(a.text) AS b, md5(c.text) AS c, ('0x' || right(md5('20260807:' || a.pair), 1))::INT % 2 = 0 AS first FROM d a JOIN d c ON a.pair = c.pair AND a.side = 0 AND c.side = 1)
       SELECT pair, CASE WHEN first THEN c ELSE b END AS answer_a, CASE WHEN first THEN b ELSE c END AS answer_b, CASE WHEN first THEN 'A' ELSE 'B' END AS candidate_label FROM x""",
     "q_prompt_lists": f"""WITH {PROMPTS} SELECT id, 1 AS n, md5({_strip('"user"')}) AS first_md5 FROM p""",
+    "q_generated_candidates": f"""WITH {PROMPTS}, w AS (SELECT id, list_filter(regexp_split_to_array("user", '{_WS}+'), lambda x: x <> '') AS w FROM p)
+      SELECT id AS prompt, i::INT AS candidate_index, md5(array_to_string(list_concat(w[i + 1:], w[1:i]), ' ')) AS raw_md5 FROM w, range(1, 5) AS r(i)""",
     "q_group_size": "SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id HAVING count(*) <> 2",
     "q_last_user": f"SELECT conv_id, arg_max(text, turn) AS last_user FROM conversations WHERE role = 'user' AND {_strip('text')} <> '' GROUP BY conv_id",
     "q_messages": "SELECT conv_id, count(*) AS n, sha256(string_agg(role || ':' || text, chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id",

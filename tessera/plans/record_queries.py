@@ -882,3 +882,82 @@ def q_judge_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = B.table(spark, sf_dir, "labels").select("doc_id", F.when(k % 5 == 0, " ").otherwise("the end.").alias("text"), F.lit("stop").alias("finish"))
     out = workflows.reward("judge")(d, "text", "finish", B.table(spark, sf_dir, "labels").select("doc_id", raw.alias("raw")), "doc_id", "raw")
     return out.select("doc_id", "readable", F.array_join(F.coalesce("issues", F.array().cast("array<string>")), ",").alias("issues"), F.col("reward").cast("double").alias("reward"))
+
+
+# --- streams, runs and folders ----------------------------------------------------------------------
+
+
+@query("SELECT event_id, round(value, 4) AS loss FROM events WHERE event_id % 4 <> 0")
+def q_stream_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of log lines that arrive as a stream."""
+    e = B.table(spark, sf_dir, "events").select("event_id", F.round("value", 4).alias("v"))
+    body = F.concat(F.when(F.col("event_id") % 4 != 0, "loss=").otherwise("lost="), F.format_string("%.4f", "v"))
+    path = _lines(e, F.concat(F.col("event_id").cast("string"), F.lit("\t"), body), scratch_dir(spark, "log-stream"))
+    lines = logs.stream_lines(spark, path).select(F.split_part("value", F.lit("\t"), F.lit(1)).cast("long").alias("event_id"), F.split_part("value", F.lit("\t"), F.lit(2)).alias("line"))
+    return logs.drain(records.progress_lines(lines, "line", ["loss"]).drop("line"), "append", "log-lines")
+
+
+@query("""WITH x AS (SELECT user_id, event_id, lag(s) OVER (PARTITION BY user_id ORDER BY event_id) AS before, s AS status FROM (SELECT *, CASE event_id % 4 WHEN 0 THEN 'running' WHEN 1 THEN 'review' WHEN 2 THEN 'passed' ELSE 'failed' END AS s FROM events))
+  SELECT * FROM x WHERE before IS NOT NULL AND NOT ((before = 'running' AND status IN ('review', 'failed')) OR (before = 'review' AND status IN ('passed', 'failed')))""")
+def q_status_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statuses that may not follow the one before."""
+    status = F.element_at(F.array(*map(F.lit, ("running", "review", "passed", "failed"))), (F.col("event_id") % 4 + 1).cast("int"))
+    e = B.table(spark, sf_dir, "events").select("user_id", "event_id", status.alias("status"))
+    return logs.status_issues(e, "user_id", "status", "event_id", {"running": ("review", "failed"), "review": ("passed", "failed")})
+
+
+@query("SELECT source, count(*) AS n, count(DISTINCT text) AS \"distinct\" FROM documents WHERE text IS NOT NULL GROUP BY source HAVING count(*) > count(DISTINCT text)")
+def q_distinct_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups that hold an answer more than once."""
+    from ..operators import pairs
+
+    return pairs.repeated_answers(B.table(spark, sf_dir, "documents").where("text is not null"), "source", F.col("text"))
+
+
+@query("SELECT unnest(range(3, 61, 3))::VARCHAR AS taken")
+def q_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is taken from a generator that is asked for more than is wanted, and then for what is missing."""
+    state = {"at": 0}
+
+    def ask(n: int) -> list[str]:
+        state["at"] += n
+        return [str(i) for i in range(state["at"] - n + 1, state["at"] + 1)]
+
+    taken = reports.backfill(20, ask, lambda new, limit: [x for x in new if int(x) % 3 == 0][:limit])
+    return spark.createDataFrame([(x,) for x in taken], "taken string")
+
+
+@query("SELECT a.n_nationkey AS left_id, a.n_nationkey AS right_id FROM nation a WHERE n_nationkey % 2 = 0")
+def q_overlap_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All overlaps of two tables by NFKC keys."""
+    from ..functions import pandas_text as P
+
+    n = B.table(spark, sf_dir, "nation")
+    a = n.select("n_nationkey", F.concat(F.lit("Ａ\u3000"), "n_name").alias("user"))
+    b = n.where("n_nationkey % 2 = 0").select("n_nationkey", F.concat(F.lit(" A  "), "n_name", F.lit("\t")).alias("user"))
+    return isolation.overlaps(a, b, P.nfkc_key("user"), P.nfkc_key("user"), "n_nationkey", "n_nationkey").drop("key")
+
+
+@query("SELECT n_name AS \"key\", 'v=' || n_nationkey AS value FROM nation WHERE n_nationkey % 3 <> 0")
+def q_env_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings of key=value lines."""
+    k = F.col("n_nationkey")
+    line = F.concat(F.when(k % 3 == 0, F.lit("# ")).otherwise(F.lit("  ")), "n_name", F.lit(" = 'v="), k.cast("string"), F.lit("'"))
+    path = _lines(B.table(spark, sf_dir, "nation"), line, scratch_dir(spark, "env"))
+    return records.env_pairs(spark.read.text(path))
+
+
+@query("SELECT unnest(['logs/a.log', 'note.txt']) AS removed, 2::BIGINT AS kept, true AS stopped")
+def q_pruned_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extras that are removed from a run's folder; an unknown file stops it."""
+    root = scratch_dir(spark, "run")
+    for name in ("meta.json", "rows/part.jsonl", "logs/a.log", "note.txt"):
+        sinks.put_bytes(spark, f"{root}/{name}", b"x")
+    stopped = False
+    try:
+        sinks.prune(spark, root, ["meta.json"], ["note.txt"])
+    except ValueError:
+        stopped = True
+    gone = sinks.prune(spark, root, ["meta.json", "rows/part.jsonl"], ["logs/a.log", "note.txt", "gone.txt"])
+    kept = records.file_facts(spark, root, recursive=True).count()
+    return spark.createDataFrame([(g, kept, stopped) for g in gone], "removed string, kept long, stopped boolean")

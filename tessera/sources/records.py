@@ -129,3 +129,11 @@ def load_env(path: str, env: dict[str, str] | None = None) -> dict[str, str]:
                 key, _, value = line.partition("=")
                 env.setdefault(key.strip(), value.strip().strip("'\""))
     return env
+
+
+def env_pairs(lines: DataFrame, text: str = "value") -> DataFrame:
+    """Key=value lines of any store: rows (key, value); comments and lines without a key are passed over, quotes around a value fall away."""
+    line = F.trim(F.col(text))
+    pair = F.split(line, "=", 2)
+    own = lines.where(~line.startswith("#") & line.contains("=")).select(F.trim(pair[0]).alias("key"), F.regexp_replace(F.trim(pair[1]), r"^['\x22]+|['\x22]+$", "").alias("value"))
+    return own.where("key <> ''")

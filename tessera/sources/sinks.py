@@ -157,3 +157,21 @@ def prune_folder(root: str, expected: Iterable[str], removable: Iterable[str]) -
     for name in extras:
         Path(root, name).unlink()
     return extras
+
+
+def prune(spark: SparkSession, root: str, expected: Iterable[str], removable: Iterable[str]) -> list[str]:
+    """Delete the removable extras of a run's folder in any store; anything unknown or missing stops it before the first deletion."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(conf)
+    base = fs.makeQualified(base)
+    found, listed = [], fs.listFiles(base, True)
+    while listed.hasNext():
+        found.append(base.toUri().relativize(listed.next().getPath().toUri()).getPath())
+    want, extra, actual = set(expected), set(removable), {f for f in found if not f.rpartition("/")[2].startswith(".")}
+    if unknown := sorted((actual ^ want) - extra):
+        raise ValueError(f"missing or unknown files: {unknown}")
+    gone = sorted(actual & extra)
+    for name in gone:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(base, name), False)
+    return gone

@@ -5,13 +5,15 @@ from __future__ import annotations
 import hashlib
 import json
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
 
 from ..sources.scratch import shared_dir
 
@@ -81,6 +83,19 @@ def last_status(events: DataFrame, run: str, status: str, order: str) -> DataFra
     return events.groupBy(run).agg(F.max_by(status, order).alias("status"), F.max(order).alias("at"))
 
 
+def status_issues(events: DataFrame, run: str, status: str, order: str, allowed: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Events whose status may not follow the run's status before: rows (run, order, before, status). A run begins with any status."""
+    before = F.lag(status).over(Window.partitionBy(run).orderBy(order))
+    known = F.create_map(*(x for k, v in allowed.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    own = events.select(run, order, before.alias("before"), status)
+    return own.where(F.col("before").isNotNull() & ~F.coalesce(F.array_contains(F.try_element_at(known, F.col("before")), F.col(status)), F.lit(False)))
+
+
+def stream_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a folder of log files as a stream."""
+    return spark.readStream.format("text").load(path)
+
+
 def retried(call: Callable[[Any], Any], attempts: int = 3, waits: tuple[float, ...] = (1.0, 2.0), sleep: Callable[[float], None] = time.sleep) -> Callable[[Any], tuple[Any, int, str | None]]:
     """``call`` with retries: (result, attempts, error)."""
 
@@ -97,13 +112,17 @@ def retried(call: Callable[[Any], Any], attempts: int = 3, waits: tuple[float, .
     return run
 
 
-def call_external(rows: DataFrame, text: str, call: Callable[[str], str], out: str = "response", attempts: int = 3) -> DataFrame:
-    """``rows`` with what an external function answers to a text, the attempts and the last error; the function is the plug-in for models and judges."""
+def call_external(rows: DataFrame, text: str, call: Callable[[str], str], out: str = "response", attempts: int = 3, at_once: int = 1) -> DataFrame:
+    """``rows`` with what an external function answers to a text, the attempts and the last error; the function is the plug-in for models and judges.
+
+    A task has at most ``at_once`` calls under way.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = retried(call, attempts)
         for pdf in batches:
-            got = [ask(t) for t in pdf[text]]
+            with ThreadPoolExecutor(at_once) as pool:
+                got = list(pool.map(ask, pdf[text]))
             yield pdf.assign(**{out: [g[0] for g in got], "attempts": [g[1] for g in got], "error": [g[2] for g in got]})
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
