@@ -9,7 +9,11 @@
 Groups are counted by partial aggregation and joined back on the hash, so a text that a third of all rows
 share is never in one task (the join is of the kind that adaptive execution splits).
 Nulls count as empty texts. Of equal texts the smallest id stays, null ids last; among rows that repeat
-an id too, exactly one stays. An empty table gives an empty result.
+an id too, exactly one stays. Very long texts are hashed whole, one at a time. An empty table gives an empty result. Columns other than id and text aren't read, and
+``exact_dedup`` keeps them as they are, whatever their names.
+
+The key filters have FILTER_WORDS words: beyond a few million surviving keys they let most rows pass, and the full hash is then taken of most rows; the
+result is the same.
 """
 
 from __future__ import annotations

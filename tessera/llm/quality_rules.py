@@ -51,7 +51,7 @@ MIN_REFERENCE = 20
 TRIMS, STEPS = 2, 1000
 SPREADS, ALLOWANCE = 6, 0.1
 #: Words that a task counts, and distinct ones that it holds, before it reports a chunk.
-CHUNK_WORDS, CHUNK_DISTINCT = 4_000_000, 400_000
+CHUNK_WORDS, CHUNK_DISTINCT = 4_000_000, 150_000
 
 _SPACES = b"\t\n\x0b\x0c\r "
 #: The class of each byte of UTF-8; bytes that continue a character count in none.
@@ -88,7 +88,7 @@ class _Bins(dict):
         self.bins = {w: i for i, w in enumerate(common)}
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 100_000:
+        if len(self) > 40_000:
             self.clear()
         self[word] = out = self.bins.get(plain_word(word), -1)
         return out

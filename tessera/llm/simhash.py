@@ -19,8 +19,12 @@ are dealt again to the single points z (the covering code of radius 0): whatever
 2 of z is within 3 of each other, so all of z is tied to its smallest member, in rows linear in the
 heap. So the work at an anchor is at most HOT_ROWS per row, at any density.
 
-Components are computed over distinct fingerprints, distributed. Null and empty texts and texts without words
-have fingerprint zero and are linked like any other; equal texts share a fingerprint. Null ids sort last.
+Components are computed over distinct fingerprints, distributed; no fingerprint, link or component goes to the driver. What does is the sketch of SKETCH_BITS, once from
+every task's partial union (at most SKETCH_BITS / 64 rows of 16 bytes after the aggregate: 16 MB) and once back (8 MB).
+
+Null and empty texts and texts without words have fingerprint zero and are linked like any other; equal texts share a fingerprint, so repeated rows are in one component. Very
+long texts are hashed BLOCK shingles at a time. Ties: of rows of one id the one of the smallest text hash is first; null ids come last. An empty table has no
+groups. Columns other than id and text aren't read, and ``near_dedup`` keeps them as they are, whatever their names.
 """
 
 from __future__ import annotations

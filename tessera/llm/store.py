@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 FILTER_WORDS = 1 << 17
 #: Folders made for sessions that name none, by application.
 _own: dict[str, str] = {}
+#: Scratch tables that this driver has written and not dropped.
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,26 +34,46 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: the lineage ends at files no executor owns."""
-    path = scratch_path(df.sparkSession, label)
+    path = path or scratch_path(df.sparkSession, label)
+    _made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def short_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Arrow batches of this session hold ``rows`` rows at most: rows of whole texts are long, and either side of the pipe holds batches outside the heap."""
+    """Let Arrow batches of this session hold ``rows`` rows at most: rows of whole texts are long, and either side of the pipe holds batches outside the heap.
+
+    Plans are lazy and read the setting when they run, so it stays for the session.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession, keep: str) -> Iterator[None]:
+    """Scratch tables that are written inside are deleted at the end, but the one of path ``keep``. What is returned must not read them any more."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for path in [p for p in _made[before:] if p != keep]:
+            _delete(spark, path)
+            _made.remove(path)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete every scratch table of this application."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}")
+    _made.clear()
 
 
 def free_names(df: DataFrame, *wanted: str) -> list[str]:

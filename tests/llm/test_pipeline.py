@@ -8,7 +8,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from tessera.llm import exact_dedup, quality_rules, registry, simhash
+from tessera.llm import exact_dedup, quality_rules, registry, simhash, store
 
 from ..compare import assert_same, duck
 from .odd import none, odd
@@ -54,6 +54,31 @@ def test_stages_have_their_effect(spark):
 
 
 def test_stages_bear_odd_rows(spark):
-    for frame in (odd, none):
-        for _, stage in corpus_pipeline.STAGES:
-            stage(spark, frame(spark), SF).collect()
+    """Each stage on rows with nulls, empty and very long texts, repeats and clashing names: what it returns are rows of its input, and the right ones."""
+    docs = odd(spark)
+    rows = [tuple(r) for r in docs.collect()]
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        got = [tuple(r) for r in out.collect()]
+        if name == "sentencepiece":
+            clash = docs.columns.index("ids")
+            assert sorted(map(repr, (r[:clash] for r in rows))) == sorted(map(repr, (tuple(r)[:clash] for r in out.select(docs.columns[:clash]).collect())))
+            assert all(r["decoded"] == (r["text"] or "") for r in out.collect())
+            continue
+        assert out.columns == docs.columns and set(got) <= set(rows)
+        if name == "quality rules":
+            assert len(got) == sum(len(words(r[1])) >= 50 for r in got) and not any(r[1] is None for r in got)
+        elif name == "exact dedup":
+            normal = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+            assert sorted(normal(r[1]) for r in got) == sorted({normal(r[1]) for r in rows})
+        elif name == "mixing":
+            assert all(words(r[1]) for r in got)
+        assert stage(spark, none(spark), SF).collect() == []
+
+
+def test_the_pipeline_leaves_no_scratch_of_its_stages(spark):
+    before = set(store._made)
+    corpus_pipeline.run(spark, SF)
+    left = [p for p in store._made if p not in before]
+    assert len(left) == len(corpus_pipeline.STAGES) - 1 and all("/pipeline-" in p for p in left)
