@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import exact_dedup, mixing, quality_rules, simhash, spm
 from tessera.llm.registry import tokenizer_file
-from tessera.llm.store import materialise
+from tessera.llm.store import materialise, scratch_path, scratch_scope
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every whole text, and the text that they decode to."""
-    return spm.transcribe(docs, tokenizer_file("piece_bpe_32k.model"), cache_parts=150_000)
+    return spm.transcribe(docs, tokenizer_file("piece_bpe_32k.model"), cache_parts=80_000)
 
 
 STAGES = [
@@ -50,8 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each keeps is written to the shared folder and read again."""
+    """All stages over ``documents``; what each keeps is written to the shared folder and read again, and what it wrote on the way is dropped."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        path = scratch_path(spark, "pipeline-" + name.replace(" ", "-"))
+        with scratch_scope(spark, path):
+            docs = materialise(stage(spark, docs, sf_dir), name, path)
     return STAGES[-1][1](spark, docs, sf_dir)
