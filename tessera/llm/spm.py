@@ -78,13 +78,16 @@ class PieceModel:
         self.separable = not any(MARK in p.lstrip(MARK) for p in matched)
         if self.merges and not self.separable:
             raise ValueError(f"{path}: a piece has the word mark behind its front")
-        #: Finds every piece that ends at a place, with (length, score, id), by following the output links.
+        #: Finds every piece that ends at a place, with its length, score (in a unigram model) and id, by following the output links.
         self.automaton = ahocorasick.Automaton()
         for piece, i in matched.items():
             if not self.merges or piece == MARK or piece.strip(MARK):
-                self.automaton.add_word(piece, (len(piece), self.scores[i], i))
+                self.automaton.add_word(piece, (len(piece), i) if self.merges else (len(piece), self.scores[i], i))
         self.automaton.make_automaton()
-        self.fits: dict[int, bool] = {}
+        #: By a piece's id plus one (0: nothing before) the pieces that fit behind it, and those that don't.
+        self.fits: list[dict[int, bool]] = []
+        self.pairs = 0
+        self._forget_pairs()
         self.runs: dict[int, list[int]] = {}
         self.limit = CACHE_PARTS
         self.new: dict[str, bytes] = {}
@@ -94,6 +97,8 @@ class PieceModel:
         """The ids of the best path over a text whose spaces are marks already; for a merge model over one part of it."""
         if not self.merges:
             return self._by_scores(text)
+        if text[:1] == MARK and text[1:2] not in ("", MARK):  # a word with its mark
+            return self._by_merges(text)
         body = text.lstrip(MARK)
         marks = len(text) - len(body)
         own = self._by_merges(MARK * bool(marks) + body) if body else []
@@ -150,26 +155,38 @@ class PieceModel:
 
     def _fit(self, last: int, piece: int) -> bool:
         """Whether merging leaves the border between two pieces (``last`` < 0: whether it makes the piece)."""
-        if len(self.fits) > CACHE_PAIRS:
-            self.fits.clear()
+        if self.pairs > CACHE_PAIRS:
+            self._forget_pairs()
         left = [last] if last >= 0 else []
         out = self.merged("".join(self.pieces[i] for i in [*left, piece])) == [*left, piece]
-        self.fits[(last + 1) * len(self.pieces) + piece] = out
+        self.fits[last + 1][piece] = out
+        self.pairs += 1
         return out
 
+    def _forget_pairs(self) -> None:
+        self.fits[:] = [{} for _ in range(len(self.pieces) + 1)]
+        self.pairs = 0
+
     def _by_merges(self, text: str) -> list[int]:
-        width, fits = len(self.pieces), self.fits
-        by, origin = [-1] * (len(text) + 1), list(range(-1, len(text)))
-        for at, (length, _, piece) in self.automaton.iter(text):
-            end = at + 1
-            if by[end] < 0:
-                last = by[end - length]
-                fit = fits.get((last + 1) * width + piece)
-                if fit is None:
-                    fit = self._fit(last, piece)
-                if fit:
-                    by[end], origin[end] = piece, end - length
-        return self._read_back(text, by, origin)
+        fits = self.fits
+        by, size = [-1] * (len(text) + 1), [1] * (len(text) + 1)
+        for at, (length, piece) in self.automaton.iter(text):
+            if by[at + 1] < 0:
+                last = by[at + 1 - length]
+                fit = fits[last + 1].get(piece)
+                if fit or fit is None and self._fit(last, piece):
+                    by[at + 1], size[at + 1] = piece, length
+        ids: list[int] = []
+        end = len(text)
+        while end:
+            piece = by[end]
+            if piece >= 0:
+                ids.append(piece)
+            else:
+                ids += self._symbol(text[end - 1])[::-1]
+            end -= size[end]
+        ids.reverse()
+        return ids
 
     def _by_scores(self, text: str) -> list[int]:
         n, unknown = len(text), self.unknown_score
@@ -218,7 +235,7 @@ class PieceModel:
 
     def forget(self) -> None:
         self.new, self.old = {}, {}
-        self.fits.clear()
+        self._forget_pairs()
 
     @staticmethod
     def _parts(text: str) -> list[str]:

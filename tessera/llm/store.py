@@ -2,36 +2,22 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_dir, shared_dir
+
 #: Words of a key filter: 2**17 rows of 16 bytes, so a broadcast of about 2 MB whatever the input.
 FILTER_WORDS = 1 << 17
-#: Folders made for sessions that name none, by application.
-_own: dict[str, str] = {}
 #: Scratch tables that this driver has written and not dropped.
 _made: list[str] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and the master is local."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        app = spark.sparkContext.applicationId
-        place = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tessera-"))
-    return place.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    return scratch_dir(spark, label)
 
 
 def materialise(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
