@@ -42,7 +42,7 @@ from .store import free_names, quoted, short_batches
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Distinct parts that a generation of a worker's cache holds (of about 200 bytes; there are two generations).
-CACHE_PARTS = 400_000
+CACHE_PARTS = 700_000
 #: Pairs of neighbouring pieces of which a worker knows whether they fit.
 CACHE_PAIRS = 250_000
 #: Kinds of pieces in a model file that may be matched in a text: normal and user-defined.
