@@ -245,7 +245,6 @@ def _by_language(batch: pa.RecordBatch, likely: dict[str, list[str]], common: di
 
 References = dict[str, tuple[np.ndarray, np.ndarray]]
 _STEP_ROWS = "lang string, test int, size int, step int, n long"
-_SUM_ROWS = "lang string, n long, hist array<double>"
 
 
 def _summed(likely: dict, common: dict, refs: References | None, near: dict | None):

@@ -20,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .sampling import held_out, labelled_sample
 from .store import quoted, short_batches
