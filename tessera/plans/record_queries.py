@@ -93,7 +93,7 @@ def q_prompt_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaders.load_prompts(spark, _lines(p, raw, scratch_dir(spark, "prompts"))).select("user")
 
 
-@query("SELECT n_regionkey, count(*) AS n FROM nation WHERE n_regionkey NOT IN (2, 4) GROUP BY 1")
+@query("SELECT n_regionkey::BIGINT AS n_regionkey, count(*) AS n FROM nation WHERE n_regionkey NOT IN (2, 4) GROUP BY 1")
 def q_glob_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of all files of a folder but the excluded ones."""
     root = scratch_dir(spark, "glob")
@@ -135,7 +135,7 @@ def q_file_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.file_facts(spark, root).withColumn("path", F.regexp_extract("path", r"([^/]+)\z", 1))
 
 
-@query("SELECT n_nationkey AS k, n_name AS name FROM nation WHERE n_regionkey = 1")
+@query("SELECT n_nationkey::BIGINT AS k, n_name AS name FROM nation WHERE n_regionkey = 1")
 def q_pinned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file that is read once its hash is the expected one."""
     import hashlib
@@ -145,7 +145,7 @@ def q_pinned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_jsonl(spark, path, "k long, name string").drop("file")
 
 
-@query("SELECT 'r' || n_regionkey || '.jsonl' AS path, n_nationkey AS k, n_name AS name FROM nation")
+@query("SELECT 'r' || n_regionkey || '.jsonl' AS path, n_nationkey::BIGINT AS k, n_name AS name FROM nation")
 def q_manifest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files of a manifest, once sizes, hashes and numbers of rows are as it says."""
     root, files = _nation_files(spark, sf_dir)
@@ -162,7 +162,7 @@ def q_manifest_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.manifest_issues(facts, spark.createDataFrame([(m["path"], m["bytes"], m["sha256"]) for m in sinks.manifest_of(wanted)], "path string, bytes long, sha256 string"))
 
 
-@query("SELECT row_number() OVER (ORDER BY n_name DESC) - 1 AS place, n_name, n_nationkey FROM nation WHERE n_regionkey = 3")
+@query("SELECT row_number() OVER (ORDER BY n_name DESC) - 1 AS place, n_name, n_nationkey::BIGINT AS n_nationkey FROM nation WHERE n_regionkey = 3")
 def q_lookup_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows in the order in which they are asked for."""
     nation = B.table(spark, sf_dir, "nation").select("n_name", F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_regionkey")
@@ -535,7 +535,7 @@ def q_prompt_list_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- row construction -------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, CASE lang WHEN 'en' THEN 'first' WHEN 'de' THEN 'second' END AS goal, CASE lang WHEN 'en' THEN 3 WHEN 'de' THEN 5 END AS share FROM documents")
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN 'first' WHEN 'de' THEN 'second' END AS goal, CASE lang WHEN 'en' THEN 3 WHEN 'de' THEN 5 END::BIGINT AS share FROM documents")
 def q_scenario_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with the constants of their category."""
     return rows.with_constants(B.table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", {"en": {"goal": "first", "share": 3}, "de": {"goal": "second", "share": 5}}).drop("lang")
@@ -747,7 +747,7 @@ _CASES = f"""x AS (SELECT doc_id, {_M}::DOUBLE AS m, {_J}::DOUBLE AS j, {_L}::DO
 _V = "((1 - {0}) / (1 + {0}))"
 
 
-@query(f"""WITH {_CASES} SELECT doc_id, len::BIGINT AS filled, round(iv, 6) AS instruction_violation, round(pv, 6) AS persona_violation, round(sv, 6) AS style_violation, CASE WHEN cut THEN 'truncated' ELSE '' END AS hard, round(CASE WHEN cut THEN 0.8 ELSE 1.0 END, 6) AS recoverability,
+@query(f"""WITH {_CASES} SELECT doc_id, len::BIGINT AS filled, round(iv, 6) AS instruction_violation, round(pv::DOUBLE, 6) AS persona_violation, round(sv, 6) AS style_violation, CASE WHEN cut THEN 'truncated' ELSE '' END AS hard, round((CASE WHEN cut THEN 0.8 ELSE 1.0 END)::DOUBLE, 6) AS recoverability,
   round(CASE WHEN cut THEN -12.0 + 2.0 * 0.8 ELSE 5.0 * {_V.format('iv')} + 2.0 * {_V.format('pv')} + {_V.format('sv')} END, 6) AS total FROM s""")
 def q_reward_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registered rule reward of texts whose counts follow from their making: one action, one sentence, one signature, a run of letters."""
