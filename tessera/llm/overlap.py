@@ -147,7 +147,8 @@ def links(prints: DataFrame, texts: DataFrame, near: DataFrame, sketch: Sketch,
 
     first = star.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a"))
     found = _checked(first.select("a", "b").unionByName(near), texts, sketch, similarity)
-    rest = _placed(_placed(star, components(found), "a", "ra"), components(found), "b", "rb").where("ra != rb")
+    roots = components(found)
+    rest = _placed(_placed(star, roots, "a", "ra"), roots, "b", "rb").where("ra != rb")
     found = materialise(found.unionByName(_checked(rest, texts, sketch, similarity)), "overlap-found")
 
     placed = materialise(_placed(members, components(found), "th", "root"), "overlap-placed")
