@@ -388,7 +388,7 @@ def _verdicts(judge: Judge):
 
 
 def _base(docs: DataFrame, id_col: str | None, text_col: str, lang_col: str | None) -> DataFrame:
-    short_batches(docs.sparkSession)
+    short_batches(docs.sparkSession, 250)
     lang = quoted(lang_col).cast("string") if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
     own = quoted(id_col) if id_col else F.lit(0)
     return docs.select(own.alias("id"), F.xxhash64(quoted(text_col)).alias("th"), lang.alias("lang"), quoted(text_col).cast("string").alias("text"))

@@ -291,7 +291,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     have at least that Jaccard similarity: near fingerprints are then candidates only, see ``overlap``. keep marks the row with the smallest
     (id, th) of its component, null ids last.
     """
-    short_batches(docs.sparkSession)
+    short_batches(docs.sparkSession, 250)
     base = docs.select(quoted(id_col).alias("id"), F.xxhash64(quoted(text_col)).alias("th"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"))
     kind = dict(base.dtypes)["id"]
     sketch = overlap.Sketch(words, similarity) if similarity else None
