@@ -160,6 +160,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows += [{"lang": lang, "word": w, "n": n} for w, n in plain.items() if w and 2 * COMMON_SHARE * n >= total]
         return pa.RecordBatch.from_pylist(rows, kind)
 
+    hold("rules")
     counts: dict[str, Counter] = {}
     words = 0
     for batch in batches:
