@@ -44,3 +44,57 @@ WITH RECURSIVE k AS (
 )
 SELECT f.word, form, coalesce(t.root, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN t USING (word)
 """
+
+
+def _add(state: str, cost: str, edit: str, line: str, n: int) -> str:
+    """State n's struct with an edit more; only state 1 has no line before."""
+    lead = "" if n == 1 else "|| chr(10)"
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', 'l': {state}.l {lead} || {line}}}"
+
+
+_D = [f"{{'c': b{n}.c + 4, 'a': b{n}.a || 'D', 'l': b{n}.l}}" for n in (1, 2, 3, 4)]
+_FREE, _MORE = "CASE WHEN fault IN ('b', 'd') THEN 1000000000 WHEN fault = 't' THEN 3 ELSE 0 END", "CASE WHEN fault IN ('b', 'd') THEN 1000000000 WHEN fault = 't' THEN 6 ELSE 3 END"
+
+
+def _held(n: int, initial: str) -> str:
+    return _add(f"b{n}", f"(CASE WHEN role[1] = '{initial}' THEN 0 ELSE 1000000000 END + {_FREE})", "K", "role || ':' || text", n)
+
+
+def _named(n: int, name: str) -> str:
+    return _add(f"b{n}", _MORE, "R", f"'{name}:' || text", n)
+
+
+_INSERT_U = ", ".join(_add(f"n{n}", "3", "I", "'user:'", n) for n in (1, 2, 4))
+OP12_SQL = rf"""
+WITH RECURSIVE k AS (
+  SELECT {CRC_TABLE} AS tab
+), h AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')", "tab")} % 20 AS h FROM conversations, k
+), d AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM h, range(2) t(i) WHERE h <> 0 AND (i = 0 OR h = 3)
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d
+), f AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN i > min(i) OVER (PARTITION BY conv_id, role, text) THEN 'd'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault, role[1] || lead(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS pair
+  FROM o
+), s AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, {{'c': 0::BIGINT, 'a': '', 'l': ''}} AS b1, {{'c': 1000000000::BIGINT, 'a': '', 'l': ''}} AS b2,
+    {{'c': 3::BIGINT, 'a': 'I', 'l': 'user:'}} AS b3, {{'c': 6::BIGINT, 'a': 'II', 'l': 'user:' || chr(10) || 'assistant:'}} AS b4 FROM conversations
+  UNION ALL
+  SELECT conv_id, i, n1, n2, u, list_min([n4, {_add("u", "3", "I", "'assistant:'", 3)}]) FROM (
+    SELECT conv_id, i, n1, n2, n4, list_min([n3, {_INSERT_U}]) AS u FROM (
+      SELECT s.conv_id, f.i, {_D[0]} AS n1, list_min([{_D[1]}, {_held(1, "s")}]) AS n2,
+        list_min([{_D[2]}, {", ".join(_held(n, "u") for n in (1, 2, 4))}, {", ".join(_named(n, "user") for n in (1, 2, 4))}]) AS n3,
+        list_min([{_D[3]}, {_held(3, "a")}, {_named(3, "assistant")}]) AS n4
+      FROM s JOIN f ON s.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = s.i + 1))
+), c AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1
+), e AS (
+  SELECT conv_id, list_min([arg_max(b1, i), arg_max(b4, i)]) AS b FROM s GROUP BY 1
+)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  b.c AS cost, b.a AS audit, sha256(b.l) AS repaired_sha256 FROM e LEFT JOIN c ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, oracles, quality_rules, quality_zstd, sharding, simhash, spelling, spm, store, token_orc, toxicity_fm, warc
+from . import exact_dedup, mixing, oracles, quality_rules, quality_zstd, repair, sharding, simhash, spelling, spm, store, token_orc, toxicity_fm, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -105,6 +105,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damage_and_repair(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -150,4 +154,4 @@ FROM s
 """
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op4_warc_revisits": OP4_SQL, "op11_spelling_variants": oracles.OP11_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op4_warc_revisits": OP4_SQL, "op11_spelling_variants": oracles.OP11_SQL, "op12_conversation_repair": oracles.OP12_SQL}
