@@ -98,3 +98,68 @@ WITH RECURSIVE k AS (
 SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
   b.c AS cost, b.a AS audit, sha256(b.l) AS repaired_sha256 FROM e LEFT JOIN c ON e.conv_id IS NOT DISTINCT FROM c.conv_id
 """
+
+
+def _placed(cuts: str, hits: str, i: str) -> str:
+    """Where hit i begins: all cuts up to it and all hits before it."""
+    total = "coalesce(list_sum(list_transform({}, lambda x: length(x))), 0)"
+    return f"{total.format(f'{cuts}[1:{i}]')} + {total.format(f'{hits}[1:{i} - 1]')}"
+
+
+_SQL_KINDS = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true", "true"),
+    "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "true", "list_max(list_transform(string_split(hit, '.'), lambda x: CAST(x AS DOUBLE))) <= 255"),
+    "card": (
+        r"[0-9](?:[ -]?[0-9])+", "length(digits) BETWEEN 13 AND 19",
+        "list_sum(list_transform(string_split(reverse(digits), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN CAST(c AS INT) ELSE CAST(c AS INT) * 2 - CASE WHEN CAST(c AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0",
+    ),
+    "phone": (r"\+[0-9][ ().0-9-]+[0-9]", "true", "length(digits) BETWEEN 9 AND 15"),
+}
+_RUN, _TERM = r"[\p{L}\p{N}@._%+-]+", r"\p{L}{3,}[._%+-]*"
+_CUT = " UNION ALL ".join(f"SELECT rid, text, {n} AS no, '{k}' AS kind, string_split_regex(text, '{p}') AS cuts, regexp_extract_all(text, '{p}') AS hits FROM t" for n, (k, (p, _, _)) in enumerate(_SQL_KINDS.items(), 1))
+_SHAPE = " ".join(f"WHEN '{k}' THEN {s}" for k, (_, s, _) in _SQL_KINDS.items())
+_RULE = " ".join(f"WHEN '{k}' THEN {r}" for k, (_, _, r) in _SQL_KINDS.items())
+_SPACE = r"\x20\x09-\x0D"
+OP13_SQL = rf"""
+WITH t AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
+), c AS (
+  {_CUT}
+), h AS (
+  SELECT rid, text, no, kind, hits[i] AS hit, regexp_replace(hits[i], '[^0-9]', '', 'g') AS digits, {_placed("cuts", "hits", "i")} AS start FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM c)
+), s AS (
+  SELECT *, start + length(hit) AS stop FROM h WHERE CASE kind {_SHAPE} END
+), w AS (
+  SELECT *, CASE WHEN lag(stop) OVER o IS NULL THEN '' ELSE '@' END || text[coalesce(lag(stop) OVER o, 0) + 1:start] || '@' AS before,
+    '@' || text[stop + 1:coalesce(lead(start) OVER o, length(text))] || CASE WHEN lead(start) OVER o IS NULL THEN '' ELSE '@' END AS after FROM s WINDOW o AS (PARTITION BY rid, kind ORDER BY start)
+), m AS (
+  SELECT rid, no, kind, start, stop, kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN digits ELSE lower(hit) END AS entity,
+    CASE WHEN length(before) > 65 THEN regexp_replace(right(before, 65), '^[^{_SPACE}]+', '') ELSE before END AS l,
+    CASE WHEN length(after) > 65 THEN regexp_replace(left(after, 65), '[^{_SPACE}]+$', '') ELSE after END AS r
+  FROM w WHERE CASE kind {_RULE} END
+), x AS (
+  SELECT rid, entity, start - length(l) + 1 AS base, l AS part FROM m UNION ALL SELECT rid, entity, stop - 1, r FROM m
+), y AS (
+  SELECT rid, entity, base, string_split_regex(part, '{_RUN}') AS cuts, regexp_extract_all(part, '{_RUN}') AS runs FROM x
+), z AS (
+  SELECT rid, entity, regexp_extract(runs[i], '^\p{{L}}+') AS word, base + {_placed("cuts", "runs", "i")} AS start FROM (SELECT *, unnest(range(1, len(runs) + 1)) AS i FROM y) WHERE regexp_full_match(runs[i], '{_TERM}')
+), ct AS (
+  SELECT entity, lower(word) AS term, count(DISTINCT rid) AS n_ct FROM z GROUP BY ALL
+), ec AS (
+  SELECT entity, count(DISTINCT rid) AS n_c FROM m GROUP BY ALL
+), tt AS (
+  SELECT term, count(DISTINCT rid) AS n_t FROM (SELECT rid, lower(regexp_extract(run, '^\p{{L}}+')) AS term FROM (SELECT rid, unnest(regexp_extract_all(text, '{_RUN}')) AS run FROM t) WHERE regexp_full_match(run, '{_TERM}')) GROUP BY ALL
+), q AS (
+  SELECT entity, term, 1 - ln(n_t / n_ct) / ln(n / n_c) AS share FROM ct JOIN ec USING (entity) JOIN tt USING (term), (SELECT count(*) AS n FROM t) WHERE n > n_c
+), u AS (
+  SELECT rid, start, start + length(word) AS stop, max(share) AS share FROM z JOIN q ON z.entity = q.entity AND lower(z.word) = q.term WHERE share >= 0.9 GROUP BY ALL
+), a AS (
+  SELECT rid, no, kind, start, stop FROM m UNION ALL SELECT rid, CASE WHEN share >= 1 THEN 6 ELSE 5 END, CASE WHEN share >= 1 THEN 'remove' ELSE 'generalise' END, start, stop FROM u
+), g AS (
+  SELECT rid, count(*) FILTER (no = 1) AS n_email, count(*) FILTER (no = 2) AS n_ip, count(*) FILTER (no = 3) AS n_card, count(*) FILTER (no = 4) AS n_phone,
+    coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY no, start) FILTER (no <= 4), '') AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY no, start) AS spans
+  FROM a GROUP BY 1
+)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN g USING (rid)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, oracles, quality_rules, quality_zstd, repair, sharding, simhash, spelling, spm, store, token_orc, toxicity_fm, warc
+from . import disclosure, exact_dedup, mixing, oracles, quality_rules, quality_zstd, repair, sharding, simhash, spelling, spm, store, token_orc, toxicity_fm, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -109,6 +109,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.damage_and_repair(_table(spark, sf_dir, "conversations"))
 
 
+def op13_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.found(_table(spark, sf_dir, "documents")).drop("th").withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -154,4 +158,4 @@ FROM s
 """
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op4_warc_revisits": OP4_SQL, "op11_spelling_variants": oracles.OP11_SQL, "op12_conversation_repair": oracles.OP12_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op4_warc_revisits": OP4_SQL, "op11_spelling_variants": oracles.OP11_SQL, "op12_conversation_repair": oracles.OP12_SQL, "op13_disclosure": oracles.OP13_SQL}
