@@ -5,14 +5,16 @@ full response of the same canonical URL. If the validator that the revisit carri
 Last-Modified) agrees with the response's, the revisit takes that response's payload, and of its own headers those
 that a 304 may change (RFC 9111, section 3.2); all others stay the response's.
 
-The as-of join sorts no URL's whole history in one task. Dates are cut into ranges by quantiles; the last response of each
+The as-of join sorts no URL's whole history in one task. Dates are cut into ranges by quantiles, as many as the URL of most rows needs; the last response of each
 (URL, range) comes from a partial aggregate, is carried forward over the ranges in a window of one row per
 range, and only the rows of one (URL, range) are sorted together. So a URL with a third of all records is spread over the ranges.
 
-Files are read record by record, however large they are: Spark's text reader cuts them where a record ends and the next begins, and a block that holds
-such a place itself is put together again by its length. A record is held whole in memory, so payloads of up to 2 GB can be read.
+Files are read record by record: Spark's text reader cuts them wherever a record may end and the next begin, one file to a task, so a gzipped file is a stream and no file is cut by size.
+A record is sound if its Content-Length ends where the cut is, or at a later one (a block may hold such a place, a whole nested record too). If it ends nowhere so, or is missing or
+negative, the record takes all up to the next record's head and carries an ``issue``; reading goes on with that head, so a wrong length costs no other record. What belongs to no record is
+a row of kind ``fragment``. So every byte is in some row of ``warc_rows``; ``warc_faults`` counts what is wrong. A record is held whole in memory, LARGEST bytes at most.
 
-Null URLs and dates match nothing: such revisits are unresolved. A response without a record id can't be named and is left out; a revisit needs none. Ties: a
+Null URLs and dates match nothing: such revisits are unresolved. A response without a record id can't be named, and one whose file ends within it isn't whole: both are left out; a revisit needs none. Ties: a
 response at the very date of a revisit is not earlier; of responses with equal dates the one with the largest record id counts, and of several responses of one id the
 one whose payload has the smallest hash. A repeated revisit is resolved as often as it stands there. Null headers count as none. An empty table gives an empty result; columns
 beyond SCHEMA's are left out.
@@ -21,7 +23,9 @@ beyond SCHEMA's are left out.
 from __future__ import annotations
 
 import gzip
+from collections import deque
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,8 +39,8 @@ SCHEMA = "record_id string, kind string, url string, ts long, status int, header
 KEPT_OF_RESPONSE = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authentication-info", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade")
 #: Query parameters that name a visit, not a page.
 TRACKING = r"(?:utm_[A-Za-z_]*|fbclid|gclid|sessionid|phpsessid|jsessionid)"
-#: Date ranges that the history of a URL is cut into.
-RANGES = 64
+#: Rows of one URL in one date range, on average, where the URL has the most; and the most ranges.
+RANGE_ROWS, MOST_RANGES = 20_000, 4096
 
 
 def canonical_url(url: Column) -> Column:
@@ -55,39 +59,122 @@ def canonical_url(url: Column) -> Column:
 
 #: Where a record ends and the next begins.
 BETWEEN = b"\r\n\r\nWARC/1."
+#: A block of more bytes is taken for a wrong length.
+LARGEST = 1 << 30
+#: With files of a terabyte at most, one to a partition.
+_WHOLE_FILES = {"spark.sql.files.maxPartitionBytes": 1 << 40, "spark.sql.files.openCostInBytes": 1 << 40, "spark.sql.files.minPartitionNum": 1}
+
+
+class _Parts:
+    """The parts of files that are cut at every BETWEEN, with a way back; None where a file ends. Each comes with its place in its file."""
+
+    def __init__(self, parts: Iterator[bytes]):
+        self.stream, self.back, self.at = iter(parts), deque(), 0
+
+    def take(self) -> tuple[int, bytes] | None:
+        if self.back:
+            return self.back.popleft()
+        part = next(self.stream, None)
+        if part is None:
+            return None
+        if part.startswith(BETWEEN[4:]):  # a file begins
+            fresh, self.at = self.at > 0, len(part)
+            own = (0, part[len(BETWEEN) - 4 :])
+            if fresh:
+                self.back.append(own)
+                return None
+            return own
+        at, self.at = self.at + 4, self.at + len(BETWEEN) + len(part)
+        return at, part
+
+    def put_back(self, parts: list) -> None:
+        self.back.extendleft(reversed(parts))
+
+
+def _head(part: bytes) -> tuple[dict[str, str], bytes] | None:
+    """The headers of a record and what follows them; None if the part doesn't begin like a record."""
+    head, _, rest = part.partition(b"\r\n\r\n")
+    lines = head.split(b"\r\n")
+    if not lines[0].strip().isdigit() or not all(b":" in x or x[:1] in b" \t" for x in lines[1:]):
+        return None
+    own = _pairs(lines[1:])
+    return (own, rest) if "warc-type" in own else None
 
 
-def records_of(parts: Iterator[bytes]) -> Iterator[dict]:
-    """The response and revisit records of a file that is cut at every BETWEEN."""
-    held = b""
-    for part in parts:
-        if part.startswith(b"WARC/1."):  # a file begins; what an earlier one has left is cut short
-            held = b""
-        whole = held + BETWEEN + part if held else part
-        head, _, rest = whole.partition(b"\r\n\r\n")
-        own = _pairs(head.split(b"\r\n")[1:])
-        size = int(own.get("content-length", "0")) if own.get("content-length", "0").isdigit() else 0
-        if len(rest) < size:
-            held = whole
+def records_of(parts: Iterator[bytes], largest: int = LARGEST) -> Iterator[dict]:
+    """All records and fragments of files that are cut at every BETWEEN, in order, each with its offset and issue."""
+    source, ended = _Parts(parts), 0
+    while ended < 2:
+        got = source.take()
+        if got is None:  # a file's end, and the end of all files if another follows at once
+            ended += 1
+            continue
+        ended, (at, part) = 0, got
+        found = _head(part)
+        if found is None:
+            yield {"kind": "fragment", "payload": part, "headers": [], "offset": at, "issue": "no record head"}
             continue
-        held = b""
-        if own.get("warc-type") in ("response", "revisit"):
-            yield _record(own, rest[:size])
+        own, rest = found
+        claim = own.get("content-length", "")
+        size = int(claim) if claim.isascii() and claim.isdigit() else None
+        block, issue = rest, None
+        if size is None or size > largest:
+            issue = "no length" if size is None else "length too large"
+        elif len(rest) >= size:
+            if rest[size:].strip(b"\r\n"):
+                issue = "length too small"
+            else:
+                block = rest[:size]
+        else:
+            taken, have, end = [], len(rest), False
+            while have < size and not end:
+                more = source.take()
+                end = more is None
+                if not end:
+                    taken.append(more)
+                    have += len(BETWEEN) + len(more[1])
+            whole = BETWEEN.join([rest, *(x for _, x in taken)]) if have >= size else b""
+            if have >= size and not whole[size:].strip(b"\r\n"):
+                block = whole[:size]
+            else:
+                issue = "length too large"
+                source.put_back([*taken, *([None] if end else [])])
+        if issue:  # all up to the next head is this record's
+            more = []
+            while (following := source.take()) is not None and _head(following[1]) is None:
+                more.append(following[1])
+            source.put_back([following])
+            block = BETWEEN.join([rest, *more])
+            if following is None and size is not None and len(block) < size <= largest:
+                issue = "truncated"
+            if following is None and block.endswith(b"\r\n\r\n") and issue != "truncated":
+                block = block[:-4]
+        yield _record(own, block) | {"offset": at, "issue": issue}
 
 
 def _record(own: dict[str, str], block: bytes) -> dict:
-    head, _, payload = block.partition(b"\r\n\r\n")
+    kind = own["warc-type"]
+    head, _, payload = block.partition(b"\r\n\r\n") if kind in ("response", "revisit") else (b"", b"", block)
     lines = head.split(b"\r\n")
     status = lines[0].split()[1:2]
     return {
-        "record_id": own.get("warc-record-id"), "kind": own["warc-type"], "url": own.get("warc-target-uri"), "ts": _epoch(own.get("warc-date")),
-        "status": int(status[0]) if status and status[0].isdigit() else None, "headers": list(_pairs(lines[1:]).items()), "payload": payload if own["warc-type"] == "response" else None,
+        "record_id": own.get("warc-record-id"), "kind": kind, "url": own.get("warc-target-uri"), "ts": _epoch(own.get("warc-date")),
+        "status": int(status[0]) if status and status[0].isdigit() else None, "headers": list(_pairs(lines[1:]).items()), "payload": payload if kind != "revisit" else None,
     }
 
 
 def _pairs(lines: list[bytes]) -> dict[str, str]:
-    split = (x.decode("utf-8", "replace").partition(":") for x in lines if b":" in x)
-    return {k.strip().lower(): v.strip() for k, _, v in split}
+    """Headers by lower-case name. Lines of one name are joined by a comma, cookies by a line end, as theirs may hold commas; a folded line goes on with the one before."""
+    out: dict[str, str] = {}
+    name = ""
+    for x in (line.decode("utf-8", "replace") for line in lines):
+        if x[:1] in (" ", "\t") and name:
+            out[name] = f"{out[name]} {x.strip()}".strip()
+        elif ":" in x:
+            name, _, value = x.partition(":")
+            name, value = name.strip().lower(), value.strip()
+            out[name] = f"{out[name]}{chr(10) if name == 'set-cookie' else ', '}{value}" if name in out else value
+    return out
 
 
 def _epoch(date: str | None) -> int | None:
@@ -99,20 +186,35 @@ def _epoch(date: str | None) -> int | None:
         return None
 
 
-_ARROW = pa.schema([("record_id", pa.string()), ("kind", pa.string()), ("url", pa.string()), ("ts", pa.int64()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
+_ARROW = pa.schema([("file", pa.string()), ("record_id", pa.string()), ("kind", pa.string()), ("url", pa.string()), ("ts", pa.int64()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary()), ("offset", pa.int64()), ("issue", pa.string())])
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts = (raw.as_py() for batch in batches for raw in batch.column("content"))
-    for record in records_of(parts):
-        yield pa.RecordBatch.from_pylist([record], _ARROW)
+    rows = ((r["file"], r["content"]) for batch in batches for r in (dict(zip(batch.schema.names, x)) for x in zip(*(c.to_pylist() for c in batch.columns))))
+    for file, parts in groupby(rows, key=lambda r: r[0]):
+        for record in records_of(content for _, content in parts):
+            yield pa.RecordBatch.from_pylist([record | {"file": file}], _ARROW)
+
+
+def warc_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Every record and fragment of WARC files, plain or gzipped by record: file, SCHEMA's columns, offset (in the unpacked file) and issue (null: sound)."""
+    own = spark.newSession()  # so that the caller's settings stay
+    for key, value in _WHOLE_FILES.items():
+        own.conf.set(key, str(value))
+    short_batches(own, 16)
+    rows = own.read.option("lineSep", BETWEEN.decode()).text(path)
+    content = rows.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("content"))
+    return content.mapInArrow(_parsed, f"file string, {SCHEMA}, offset long, issue string")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The response and revisit records of WARC files, plain or gzipped by record; a gzipped file is one task's, read as a stream."""
-    short_batches(spark, 16)
-    rows = spark.read.option("lineSep", BETWEEN.decode()).text(path)
-    return rows.select(F.col("value").cast("binary").alias("content")).mapInArrow(_parsed, SCHEMA)
+    """The response and revisit records of WARC files, those with an issue too: it is a column beside SCHEMA's."""
+    return warc_rows(spark, path).where(F.col("kind").isin("response", "revisit")).drop("file", "offset")
+
+
+def warc_faults(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (file, issue, n): what is wrong in which file."""
+    return warc_rows(spark, path).where("issue is not null").groupBy("file", "issue").agg(F.count(F.lit(1)).alias("n"))
 
 
 def serialise_record(r: dict) -> bytes:
@@ -130,14 +232,26 @@ def _header(headers: Column, name: str) -> Column:
     return F.element_at(headers, name)
 
 
-def as_of(revisits: DataFrame, responses: DataFrame, ranges: int = RANGES) -> DataFrame:
-    """``revisits`` (key, ts, record_id, ...) with ``hit``: the record id of the latest earlier response (key, ts, record_id), or null."""
+def _rank(ts: Column, cuts: list[int]) -> Column:
+    """How many of the sorted ``cuts`` are at most ``ts``, looked up in blocks."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, round(len(cuts) ** 0.5))
+    blocks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    upto = lambda block: F.size(F.filter(block, lambda c: c <= ts))
+    at = upto(F.array(*(F.lit(b[0]) for b in blocks)))
+    return F.when(at > 0, (at - 1) * step + upto(F.get(F.array(*(F.array(*map(F.lit, b)) for b in blocks)), at - 1))).otherwise(0)
+
+
+def as_of(revisits: DataFrame, responses: DataFrame, ranges: int | None = None) -> DataFrame:
+    """``revisits`` (key, ts, record_id, ...) with ``hit``: the record id of the latest earlier response (key, ts, record_id), or null. ``ranges``: by the largest key's rows if not given."""
     both = responses.select("key", "ts", "record_id", F.lit(True).alias("full")).unionByName(revisits.select("key", "ts", "record_id", F.lit(False).alias("full")))
     both = materialise(both.where("key is not null and ts is not null"), "warc-events")
-    cuts = both.agg(F.percentile_approx("ts", [i / ranges for i in range(1, ranges)], 10_000)).first()[0]
-    cuts = sorted(set(cuts or []))
-    rank = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("ts"))) if cuts else F.lit(0)
-    cut = both.withColumn("part", rank)
+    if ranges is None:
+        most = both.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        ranges = min(MOST_RANGES, max(1, -(-most // RANGE_ROWS)))
+    cuts = both.agg(F.percentile_approx("ts", [i / ranges for i in range(1, ranges)], 10 * MOST_RANGES)).first()[0] if ranges > 1 else []
+    cut = both.withColumn("part", _rank(F.col("ts"), sorted(set(cuts or []))))
     last = cut.where("full").groupBy("key", "part").agg(F.max(F.struct("ts", "record_id")).alias("last"))
     # The last response of any range before: the ranges that hold rows of a key, at most `ranges` of them.
     spans = cut.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).join(last, ["key", "part"], "left")
@@ -150,14 +264,15 @@ def as_of(revisits: DataFrame, responses: DataFrame, ranges: int = RANGES) -> Da
     return revisits.join(found, "record_id", "left")
 
 
-def resolve_revisits(records: DataFrame, ranges: int = RANGES) -> DataFrame:
+def resolve_revisits(records: DataFrame, ranges: int | None = None) -> DataFrame:
     """Per revisit of ``records`` (columns of SCHEMA): its resolution.
 
     Returns record_id, url_key, response_id, status ('resolved', 'validator mismatch', 'no validator', 'no earlier response'),
     headers (merged; the revisit's own where it isn't resolved) and payload (null where it isn't). Record ids identify records.
     """
-    keyed = records.select(*(F.col(c) for c in ("record_id", "kind", "url", "ts", "headers", "payload"))).withColumn("key", canonical_url(F.col("url")))
-    full = keyed.where((F.col("kind") == "response") & F.col("record_id").isNotNull())
+    cut_short = F.coalesce(F.col("issue") == "truncated", F.lit(False)) if "issue" in records.columns else F.lit(False)
+    keyed = records.select(*(F.col(c) for c in ("record_id", "kind", "url", "ts", "headers", "payload")), cut_short.alias("cut_short")).withColumn("key", canonical_url(F.col("url")))
+    full = keyed.where((F.col("kind") == "response") & F.col("record_id").isNotNull() & ~F.col("cut_short"))
     revisits = keyed.where(F.col("kind") == "revisit").select("record_id", "key", "ts", F.coalesce("headers", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("headers"))
     # A revisit is known by its place in a written table, so it needs no id and may repeat one.
     revisits = materialise(revisits.withColumn("row", F.monotonically_increasing_id()), "warc-revisits")
