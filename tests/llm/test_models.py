@@ -233,6 +233,23 @@ def test_a_group_larger_than_a_shard_is_split(spark):
     check_shards(sharding.sharded(df, 8).collect(), texts, 8, 0.1)
 
 
+def test_a_row_stored_many_times_is_split(spark):
+    """8,000 rows of one id and text beside 8,000 others: bytes within 1 %, and no part that is ranked at once holds them all."""
+    same, other = "one row, stored again and again", "another text of no. {:05}"
+    df = spark.range(16_000).selectExpr("if(id < 8000, 7, id) AS doc_id", f"if(id < 8000, '{same}', concat('another text of no. ', lpad(cast(id AS string), 5, '0'))) AS text").repartition(6)
+    rows = sharding.sharded(df, 8).collect()
+    texts = [same] * 8000 + [other.format(i) for i in range(8000, 16_000)]
+    sizes = Counter()
+    for r in rows:
+        sizes[r["shard"]] += r["size"]
+    assert max(sizes.values()) - min(sizes.values()) <= 0.01 * sum(sizes.values()) / 8
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and len(rows) == len(texts)
+    assert len({r["shard"] for r in rows if r["id"] == 7}) == 8
+
+
 def test_sharding_odd_rows(spark):
     rows = sharding.sharded(odd(spark), 8).collect()
     check_shards(rows, [r[1] for r in odd_rows()], 8, None)
