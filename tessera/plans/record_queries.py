@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import contracts, evaluation, isolation, preparation, reports, reviews, rows
-from ..sources import loaders, records, sinks
+from ..sources import loaders, publication, records, sinks
 from ..sources.scratch import scratch_dir
 from ..streaming import logs
 from . import bindings as B
@@ -221,25 +222,32 @@ def q_nested_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sinks ------------------------------------------------------------------------------------------
 
 
-@query("SELECT 'first' AS step, count(*) AS rows, (SELECT count(*) FROM nation) AS other FROM region UNION ALL SELECT 'again', 3, 7 UNION ALL SELECT 'failed', 3, 7")
+@query("""
+  WITH d AS (SELECT coalesce(sum(doc_id), 0) AS s, count(*) AS n FROM documents), c AS (SELECT count(*) AS n FROM conversations), e AS (SELECT count(*) AS n FROM documents WHERE doc_id % 2 = 0)
+  SELECT 'first' AS step, 1 AS version, d.n AS rows, c.n AS other, s AS ids FROM d, c UNION ALL SELECT 'again', 2, e.n, c.n, (SELECT coalesce(sum(doc_id), 0) FROM documents WHERE doc_id % 2 = 0) FROM e, c
+  UNION ALL SELECT 'failed', 2, e.n, c.n, (SELECT coalesce(sum(doc_id), 0) FROM documents WHERE doc_id % 2 = 0) FROM e, c
+""")
 def q_publish_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables that are published together, replaced together, and left as they were by a failure."""
+    """Tables that are published together, replaced together, and left as they were by a failure of one of them."""
     root = scratch_dir(spark, "published")
-    region, nation = B.table(spark, sf_dir, "region"), B.table(spark, sf_dir, "nation")
+    docs, turns = B.table(spark, sf_dir, "documents").select("doc_id", "text"), B.table(spark, sf_dir, "conversations")
     seen = []
 
     def look(step: str) -> None:
-        seen.append((step, spark.read.json(f"{root}/region").count(), spark.read.json(f"{root}/nation").count()))
+        version, _ = publication.current(spark, root)
+        own, other = publication.read_published(spark, root, "documents", "conversations")
+        facts = own.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("doc_id"), F.lit(0)).alias("ids")).crossJoin(other.agg(F.count(F.lit(1)).alias("other")))  # one row each
+        seen.append(facts.select(F.lit(step).alias("step"), F.lit(version).alias("version"), "rows", "other", "ids"))
 
-    sinks.publish_tables(spark, {"region": region, "nation": nation}, root)
+    publication.publish_tables(spark, {"documents": docs, "conversations": turns}, root)
     look("first")
-    sinks.publish_tables(spark, {"region": region.where("r_regionkey < 3"), "nation": nation.where("n_nationkey < 7")}, root)
+    publication.publish_tables(spark, {"documents": docs.where("doc_id % 2 = 0")}, root)
     look("again")
     try:
-        sinks.publish_tables(spark, {"region": region, "nation": nation.withColumn("x", F.raise_error(F.lit("on purpose")))}, root)
+        publication.publish_tables(spark, {"documents": docs, "conversations": turns.withColumn("x", F.raise_error(F.lit("on purpose")))}, root)
     except Exception:  # noqa: BLE001  any failure is to leave the tables as they were
         look("failed")
-    return spark.createDataFrame(seen, "step string, rows long, other long")
+    return reduce(DataFrame.unionByName, seen)
 
 
 @query("SELECT count(*) AS rows, true AS refused FROM region")

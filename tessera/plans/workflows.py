@@ -12,7 +12,7 @@ from ..functions import scoring as S
 from ..functions import text as T
 from ..functions.profiles import DRIVER, RuleProfile
 from ..operators import curation, evaluation, isolation, pairs, reviews, rows
-from ..sources import sinks
+from ..sources import publication
 from ..sources.scratch import materialise
 
 
@@ -35,7 +35,7 @@ def curate(candidates: DataFrame, text: str, stratum: str, pos: str, shares: Seq
 
 def publish_splits(spark: SparkSession, split: DataFrame, names: Sequence[str], root: str) -> None:
     """One JSON-lines table to each split, published together."""
-    sinks.publish_tables(spark, {n: split.where(F.col("split") == n).drop("split") for n in names}, root)
+    publication.publish_tables(spark, {n: split.where(F.col("split") == n).drop("split") for n in names}, root)
 
 
 def split_issues(split: DataFrame, ident: str, user: str, category: str, prefix: str, count: int, per_category: dict[str, int]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Record sinks: exclusive and replacing writes, staged bundles with rollback, deterministic archives, contracts of a folder."""
+"""Record sinks: exclusive and replacing writes, deterministic archives, contracts of a folder. Tables that are published together: see publication."""
 
 from __future__ import annotations
 
@@ -65,40 +65,6 @@ def write_json_object(path: str, value: Any) -> None:
     os.replace(aside, target)
 
 
-def publish_tables(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> None:
-    """Write several tables and publish them together: all are staged first, then old ones are moved aside and new ones in; a failure puts the old ones back.
-
-    Only renames of folders happen between the first and the last publication, on the store's own file system.
-    """
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(root).getFileSystem(conf)
-    stage = f"{root}/.stage-{uuid.uuid4().hex}"
-    moved: list[tuple[str, str]] = []
-    placed: list[str] = []
-    try:
-        for name, df in tables.items():
-            write_jsonl(df, f"{stage}/new/{name}", refuse_overwrite=True)
-        fs.mkdirs(path(f"{stage}/old"))
-        for name in tables:
-            target = f"{root}/{name}"
-            if fs.exists(path(target)):
-                if not fs.rename(path(target), path(f"{stage}/old/{name}")):
-                    raise OSError(f"can't move {target} aside")
-                moved.append((f"{stage}/old/{name}", target))
-            if not fs.rename(path(f"{stage}/new/{name}"), path(target)):
-                raise OSError(f"can't publish {target}")
-            placed.append(target)
-    except Exception:
-        for target in placed:
-            fs.delete(path(target), True)
-        for old, target in moved:
-            fs.rename(path(old), path(target))
-        raise
-    finally:
-        fs.delete(path(stage), True)
-
-
 def manifest_of(files: dict[str, bytes]) -> list[dict[str, Any]]:
     return [{"path": p, "bytes": len(b), "sha256": hashlib.sha256(b).hexdigest()} for p, b in sorted(files.items())]
 

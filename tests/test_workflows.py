@@ -11,6 +11,7 @@ from tessera.functions import scoring as S
 from tessera.functions.profiles import REFERENCE
 from tessera.operators import reports, reviews, rows
 from tessera.plans import workflows
+from tessera.sources import publication
 
 
 def test_rows(spark):
@@ -81,7 +82,8 @@ def test_curation_and_publication(spark, tmp_path):
     got = split.collect()
     assert sorted(r["record_id"] for r in got) == ["a_0001", "a_0002", "b_0001", "b_0002"]
     workflows.publish_splits(spark, split, ["a", "b"], str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out/a")).count() == 2
+    (a,) = publication.read_published(spark, str(tmp_path / "out"), "a")
+    assert a.count() == 2
 
 
 def test_split_contract(spark):
