@@ -10,28 +10,34 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import exact_dedup, mixing, quality_rules, simhash, spm
 from tessera.llm.registry import tokenizer_file
 from tessera.llm.store import materialise, scratch_path, scratch_scope
+from tessera.session import shipped
 
 
+@shipped
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or diverge from every language go."""
     return quality_rules.filter_documents(docs)
 
 
+@shipped
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each distinct normalised text stays, the one with the smallest id."""
     return exact_dedup.exact_dedup(docs)
 
 
+@shipped
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of texts of Jaccard similarity 0.8 or more over five-word shingles stays, the one with the smallest id."""
     return simhash.near_dedup(docs, similarity=0.8)
 
 
+@shipped
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
     return mixing.mix_documents(docs)
 
 
+@shipped
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every whole text, and the text that they decode to."""
     return spm.transcribe(docs, tokenizer_file("piece_bpe_32k.model"), cache_parts=80_000)
