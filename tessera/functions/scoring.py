@@ -59,7 +59,7 @@ def rule_reward(rows: DataFrame, text: str, constraints: str, finish: str, trunc
     The stages are columns of their own, so each is computed once.
     """
     own = rows.withColumn("_t", T.drop_empty_think(F.coalesce(F.col(text), F.lit(""))))
-    own = own.withColumn("_a", T.action_facts(F.col("_t"), T.actions(F.col("_t")))).withColumns({"_rep": P.repetition_ratio("_t"), "_span": T.has_repeated_span(F.col("_t"))})
+    own = own.withColumn("_a", T.action_facts(F.col("_t"), T.actions(F.col("_t")))).withColumns({"_rep": P.repetition_ratio("_t"), "_span": P.has_repeated_span(F.col("_t"))})
     t, a, c = F.col("_t"), F.col("_a"), F.col(constraints)
     cut = F.coalesce(F.col(finish).isin(*TRUNCATED), F.lit(False)) | (F.coalesce(F.col(truncated), F.lit(False)) if truncated else F.lit(False))
     flag = lambda cond, name: F.when(cond, F.lit(name))

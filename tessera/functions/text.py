@@ -20,7 +20,6 @@ ABNORMAL = rf"{_CONTROL}|[{_EMOJI}]|[\p{{P}}\p{{S}}]{{4}}"
 GIBBERISH = rf"{_CONTROL}|[\p{{L}}&&[\p{{IsGreek}}\p{{IsCyrillic}}]&&[^\x{{2126}}]]{{12}}|[[\p{{P}}\p{{S}}]&&[^{_EMOJI}]]{{12}}"
 THINK = rf"(?iU)\A{WS}*<think>{WS}*</think>{WS}*"
 CONTIGUOUS = r"(.{1,20}?)\1{3,}"
-LOOP = r"(?s)(.)\1{23}|(..)\2{11}|(...)\3{7}|(.{4})\4{5}|(.{5})\5{5}|(.{6})\6{5}"
 
 
 def escape(text: str) -> str:
@@ -86,29 +85,6 @@ def has_contiguous_repeat(x: Column) -> Column:
     return compact(x).rlike(CONTIGUOUS)
 
 
-def has_repeated_span(x: Column, span: int = 12, repeats: int = 3) -> Column:
-    """A span with that many occurrences that don't overlap, or a short unit that loops; white space aside."""
-    return let(compact(x), lambda c: c.rlike(LOOP) | _recurs(c, span, repeats))
-
-
-def _recurs(c: Column, span: int, repeats: int) -> Column:
-    """Spans are cut by one regular expression and sorted with their places, so the cost is n log n; texts whose spans are (nearly) all different are not sorted."""
-    start = F.struct(F.lit("").alias("span"), F.lit(0).alias("n"), F.lit(0).alias("free"), F.lit(False).alias("found"))
-
-    def step(acc: Column, s: Column) -> Column:
-        same = acc["span"] == s["span"]
-        counts = ~same | (s["at"] >= acc["free"])
-        n = F.when(same, acc["n"]).otherwise(0) + F.when(counts, 1).otherwise(0)
-        return F.struct(s["span"].alias("span"), n.alias("n"), F.when(counts, s["at"] + span).otherwise(acc["free"]).alias("free"), (acc["found"] | (n >= repeats)).alias("found"))
-
-    def sorted_pass(spans: Column) -> Column:
-        placed = F.sort_array(F.transform(spans, lambda s, i: F.struct(s.alias("span"), i.alias("at"))))
-        return F.aggregate(placed, start, step, lambda acc: acc["found"])
-
-    few = lambda spans: F.size(spans) - F.size(F.array_distinct(spans)) < repeats - 1
-    return let(F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{span}}}))."), F.lit(1)), lambda spans: F.when(few(spans), False).otherwise(sorted_pass(spans)))
-
-
 def has_tag(x: Column) -> Column:
     return x.rlike(TAG)
 

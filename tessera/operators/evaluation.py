@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import pandas_text as P
 from ..functions import text as T
 from ..functions.profiles import DRIVER, TRUNCATED, RuleProfile
 
@@ -29,13 +30,13 @@ ISSUES = {
 }
 
 
-def inspect(rows: DataFrame, text: str, finish: str, profile: RuleProfile = DRIVER, repeated: bool = True) -> DataFrame:
-    """``rows`` with the inspection flags of an answer. ``repeated`` False leaves out the costliest, repeated_span; it then counts as false."""
+def inspect(rows: DataFrame, text: str, finish: str, profile: RuleProfile = DRIVER) -> DataFrame:
+    """``rows`` with the inspection flags of an answer."""
     own = rows.withColumn("_s", T.strip(F.coalesce(F.col(text), F.lit(""))))
     s, f = F.col("_s"), F.col(finish)
     own = own.withColumns({
         "nonempty": s != "", "stop": F.coalesce(f == "stop", F.lit(False)), "strict_format": T.is_strict_format(s, profile), "truncated": F.coalesce(f.isin(*TRUNCATED), F.lit(False)),
-        "repeated_span": T.has_repeated_span(s) if repeated else F.lit(False), "abnormal_symbols": T.has_abnormal_symbols(s), "gibberish": T.has_gibberish(s), "unclosed_brackets": T.has_unclosed_brackets(s),
+        "repeated_span": P.has_repeated_span(s), "abnormal_symbols": T.has_abnormal_symbols(s), "gibberish": T.has_gibberish(s), "unclosed_brackets": T.has_unclosed_brackets(s),
         "extra_tags": T.has_tag(s), "signature": s.contains(profile.inspected_signature), "wrong_self_reference": T.contains_any(s, profile.inspected_wrong),
     })
     return own.withColumn("degenerate", F.col("repeated_span") | F.col("abnormal_symbols") | F.col("unclosed_brackets")).drop("_s")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import pandas_text as P
 from ..functions import text as T
 from ..functions.profiles import DRIVER, RuleProfile
 from . import curation, evaluation, pairs, rows
@@ -211,7 +212,7 @@ def teacher_rerun(frozen: DataFrame, answers: DataFrame, pos: str, digest: str,
 
 def editability_packet(candidates: DataFrame, prompt: str, ident: str, text: str, finish: str, seed: int) -> tuple[DataFrame, DataFrame]:
     """Stable candidates under blind labels (prompt, ident, label, text), and the prompts that have none."""
-    ok = evaluation.stable(F.col(text), F.col(finish), T.has_repeated_span(F.col(text)))
+    ok = evaluation.stable(F.col(text), F.col(finish), P.has_repeated_span(F.col(text)))
     good = candidates.where(ok)
     labelled = pairs.position_labels(good, prompt, F.col(ident), seed).select(prompt, ident, "label", text)
     lost = candidates.select(prompt).distinct().join(good.select(prompt).distinct(), prompt, "left_anti")

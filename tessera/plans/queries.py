@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
+from ..functions import pandas_text as P
 from ..functions import text as T
 from ..operators import contracts, curation, evaluation, isolation, pairs, reports, reviews, rows
 from ..streaming import logs
@@ -39,7 +40,7 @@ def q_inspect_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_repeated_span(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.conversations(spark, sf_dir).select("conv_id", "turn", T.has_repeated_span(F.col("text")).alias("repeated_span"))
+    return B.conversations(spark, sf_dir).select("conv_id", "turn", P.has_repeated_span(F.col("text")).alias("repeated_span"))
 
 
 def q_quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +170,7 @@ def q_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_local_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = B.conversations(spark, sf_dir).withColumn("repeated", T.has_repeated_span(F.col("text")))
+    c = B.conversations(spark, sf_dir).withColumn("repeated", P.has_repeated_span(F.col("text")))
     key = F.col("conv_id") * 100 + F.col("turn")
     own = c.withColumn("readable", S.readable(F.col("text"), F.col("finish_reason"), F.col("repeated")))
     reward = S.judge_reward(F.col("readable"), B.drawn("role", key, 6), B.drawn("dialogue", key, 6), F.lit(0.0), S.length_penalty(T.filled_length(F.col("text"))))

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import pandas_text as P
 from ..functions import text as T
 from ..operators import contracts, evaluation, isolation, preparation, reports, reviews, rows
 from ..sources import loaders, publication, records, sinks
@@ -478,7 +479,7 @@ def q_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_stable_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers that are whole, readable and ended by themselves."""
     t = F.col("text")
-    return B.documents(spark, sf_dir).select("doc_id", evaluation.stable(t, F.col("finish_reason"), T.has_repeated_span(t)).alias("stable"))
+    return B.documents(spark, sf_dir).select("doc_id", evaluation.stable(t, F.col("finish_reason"), P.has_repeated_span(t)).alias("stable"))
 
 
 # --- contracts of answers ---------------------------------------------------------------------------
@@ -773,8 +774,6 @@ def q_reward_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_id, round(least(list_max([CASE WHEN 2 * n <= {_L} THEN greatest(({_J} - n) * n, ({_M} - n) * n, 0) ELSE 0 END FOR n IN range(3, 13)])::DOUBLE / {_L}, 1.0), 6) AS repetition FROM labels")
 def q_repetition_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share that repeats make up, of texts with two runs of letters."""
-    from ..functions import pandas_text as P
-
     return B.table(spark, sf_dir, "labels").select("doc_id", F.round(P.repetition_ratio(_case_text()), 6).alias("repetition"))
 
 
@@ -791,8 +790,6 @@ def q_action_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT n_nationkey, 'ABC ' || n_name AS nfkc, 'abc' || lower(regexp_replace(n_name, '[^A-Za-z0-9]', '', 'g')) AS comparison, n_name AS unthought, '{"a":1}' AS unfenced, 'Abc' || regexp_replace(n_name, '[^A-Za-z0-9]', '', 'g') AS copied FROM nation""")
 def q_text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normal forms: NFKC, for comparison, without an empty thinking wrapper, without a code fence, for copies."""
-    from ..functions import pandas_text as P
-
     n = F.col("n_name")
     wide = F.concat(F.lit("\t ＡＢＣ\u3000 "), n, F.lit(" \n"))
     return B.table(spark, sf_dir, "nation").select(
@@ -804,8 +801,6 @@ def q_text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT n_nationkey, round(2.0 * (length(n_name) + 2) / (2 * length(n_name) + 6), 6) AS ratio FROM nation")
 def q_similarity_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matching ratio of texts that differ in their last character."""
-    from ..functions import pandas_text as P
-
     n = B.table(spark, sf_dir, "nation").select("n_nationkey", F.concat("n_name", F.lit("12z")).alias("a"), F.concat("n_name", F.lit("12w")).alias("b"))
     return n.select("n_nationkey", F.round(P.ratio_udf(False)("a", "b"), 6).alias("ratio"))
 
@@ -938,8 +933,6 @@ def q_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT a.n_nationkey AS left_id, a.n_nationkey AS right_id FROM nation a WHERE n_nationkey % 2 = 0")
 def q_overlap_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All overlaps of two tables by NFKC keys."""
-    from ..functions import pandas_text as P
-
     n = B.table(spark, sf_dir, "nation")
     a = n.select("n_nationkey", F.concat(F.lit("Ａ\u3000"), "n_name").alias("user"))
     b = n.where("n_nationkey % 2 = 0").select("n_nationkey", F.concat(F.lit(" A  "), "n_name", F.lit("\t")).alias("user"))

@@ -169,7 +169,7 @@ def rule_batch(data: DataFrame, constraints: DataFrame, record: str, text: str,
 @register_reward("judge")
 def judge_batch(data: DataFrame, text: str, finish: str, answers: DataFrame, ident: str, raw: str) -> DataFrame:
     """Local components and a judge's answers: unreadable rows need none; an answer that breaks its contract gives no reward but its issues."""
-    own = data.withColumn("_rep", T.has_repeated_span(F.col(text))).withColumn("readable", S.readable(F.col(text), F.col(finish), F.col("_rep"))).drop("_rep")
+    own = data.withColumn("_rep", P.has_repeated_span(F.col(text))).withColumn("readable", S.readable(F.col(text), F.col(finish), F.col("_rep"))).drop("_rep")
     met = own.join(answers.select(ident, F.col(raw).alias("_raw")), ident, "left")
     met = met.withColumns({"_s": reviews.judge_scores(F.col("_raw")), "issues": F.when(F.col("readable") == 1, reviews.judge_issues(F.coalesce("_raw", F.lit(""))))})
     s = F.col("_s")

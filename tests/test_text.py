@@ -38,7 +38,7 @@ def test_strict_format(spark):
 
 
 def test_repeats(spark):
-    assert apply(spark, T.has_repeated_span, "abcdefghijkl" * 3, "哈" * 35, "哈哈哈哈", "", "abcdefghijkl" * 2) == [True, True, False, False, False]
+    assert apply(spark, P.has_repeated_span, "abcdefghijkl" * 3, "哈" * 35, "哈哈哈哈", "", "abcdefghijkl" * 2) == [True, True, False, False, False]
     assert apply(spark, T.has_contiguous_repeat, "abab abab", "abcabc", "哈哈哈哈") == [True, False, True]
 
     def spec(text):
@@ -55,7 +55,7 @@ def test_repeats(spark):
         return False
 
     texts = randoms(400, "ab", 90) + [t * 3 for t in randoms(200, "abcd ", 16, 2)]
-    assert apply(spark, T.has_repeated_span, *texts) == [spec(t) for t in texts]
+    assert apply(spark, P.has_repeated_span, *texts) == [spec(t) for t in texts]
 
 
 def test_symbols_and_gibberish(spark):

@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from tessera.functions import text as T
+from tessera.functions import pandas_text as P
 from tessera.plans import queries
 
 from .test_text import apply, randoms
@@ -38,10 +38,20 @@ def slow_repeated(text):
     return any(c[i : i + p] * -(-24 // p) == c[i : i + p * -(-24 // p)] for p in range(1, 5) for i in range(len(c) - 23)) or any(c[i : i + p] * 6 == c[i : i + p * 6] for p in (5, 6) for i in range(len(c) - p * 6 + 1))
 
 
-def test_repeated_span_without_python(spark):
+def test_repeated_span(spark):
     texts = TEXTS + randoms(400, "ab", 90) + [t * 3 for t in randoms(200, "abcd 😀", 16, 2)] + ["😀" * 24, "😀" * 23]
     want = [slow_repeated(t) for t in texts]
-    assert apply(spark, T.has_repeated_span, *texts) == want and 20 < sum(want) < len(texts)
+    assert apply(spark, P.has_repeated_span, *texts) == want and 20 < sum(want) < len(texts)
+
+
+def test_repeated_span_of_long_texts():
+    """Linear in the text, and exact where groups of spans are large or hashes would meet."""
+    words = [f"w{i % 977}x{i % 1009}" for i in range(60_000)]
+    assert not P.recurs("".join(f"{i:07d}" for i in range(60_000))) and P.recurs(" ".join(words * 3))
+    assert P.recurs("ab" * 200_000) and not P.recurs("abcdefghijklmn" * 2)
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(5000))  # polynomial hashes modulo 2 ** 64 meet on such texts
+    assert P.recurs(thue[:40]) == slow_repeated(thue[:40]) and P.recurs(thue) == slow_repeated(thue)
+    assert P.recurs("x" * 11) is False and P.recurs("") is False and P.recurs("a\x00" * 24) is True
 
 
 def test_flags_summary_and_gate_see_repeated_spans(spark, tables):
