@@ -15,10 +15,7 @@ from pyspark.sql.window import Window
 from ..functions import pandas_text as P
 from ..functions import text as T
 from ..functions.profiles import DRIVER, RuleProfile
-from . import curation, evaluation, pairs, rows
-
-#: Rows of one range that a task numbers.
-RANGE = 100_000
+from . import curation, evaluation, ordinals, pairs, rows
 
 
 # --- joins ------------------------------------------------------------------------------------------
@@ -69,17 +66,8 @@ def uniqueness_issues(data: DataFrame, key: Column) -> DataFrame:
 
 
 def placed(data: DataFrame, order: Sequence[str]) -> DataFrame:
-    """``data`` with ``place``, from 1, in a stable order over all rows: ranges of the order are numbered apart and shifted by the counts of the ranges before.
-
-    No task holds more than a range, and one row per range is all that meets in one task.
-    """
-    n = max(1, -(-data.count() // RANGE))
-    ranged = data.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
-    inner = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    own = ranged.withColumn("_inner", inner)
-    counts = own.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
-    return own.join(F.broadcast(before), "_range").withColumn("place", F.col("_before") + F.col("_inner")).drop("_range", "_inner", "_before")  # a row per RANGE rows
+    """``data`` with ``place``, from 1, in an order over all rows."""
+    return ordinals.ranked(data, [F.col(c) for c in order], "place")
 
 
 def first_accepted(data: DataFrame, accepted: Column, order: str, limit: int) -> tuple[DataFrame, DataFrame]:

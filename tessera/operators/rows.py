@@ -6,7 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from . import ordinals
 
 MESSAGE = "struct<role:string,content:string>"
 #: The sections of a persona, in their order; each is a list of texts. The last is optional.
@@ -70,9 +71,9 @@ def with_constants(rows: DataFrame, key: str, table: Mapping[object, Mapping[str
 
 def review_ids(rows: DataFrame, prefix: str, accepted: Column, order: str, group: str) -> DataFrame:
     """``rows`` with review_id: the position among the accepted rows of a run, null for the others."""
-    place = F.row_number().over(Window.partitionBy(group, "_ok").orderBy(order))
-    own = rows.withColumn("_ok", accepted)
-    return own.withColumn("review_id", F.when(F.col("_ok"), F.format_string(prefix + "%02d", place))).drop("_ok")
+    own = rows.withColumn("_ok", F.coalesce(accepted, F.lit(False)))
+    taken = ordinals.ranked(own.where("_ok"), [F.col(order)], "_place", [group]).withColumn("review_id", F.format_string(prefix + "%02d", "_place"))
+    return taken.drop("_ok", "_place").unionByName(own.where("not _ok").withColumn("review_id", F.lit(None).cast("string")).drop("_ok"))
 
 
 def renamed_metrics(rows: DataFrame, old: str, new: str) -> DataFrame:
@@ -98,5 +99,5 @@ def judge_request(user: Column, candidate: Column) -> Column:
 
 def contiguous_issues(rows: DataFrame, ident: str, prefix: str, order: str, group: str) -> DataFrame:
     """Rows whose id isn't the prefix and their 1-based, four-digit position within the group."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    return rows.withColumn("expected_id", F.format_string(prefix + "%04d", place)).where(~F.col(ident).eqNullSafe(F.col("expected_id")))
+    placed = ordinals.ranked(rows, [F.col(order)], "_place", [group])
+    return placed.withColumn("expected_id", F.format_string(prefix + "%04d", "_place")).drop("_place").where(~F.col(ident).eqNullSafe(F.col("expected_id")))

@@ -11,7 +11,7 @@ from ..functions import pandas_text as P
 from ..functions import scoring as S
 from ..functions import text as T
 from ..functions.profiles import DRIVER, RuleProfile
-from ..operators import curation, evaluation, isolation, pairs, reviews, rows
+from ..operators import curation, evaluation, isolation, ordinals, pairs, reviews, rows
 from ..sources import publication
 from ..sources.scratch import materialise
 
@@ -24,9 +24,9 @@ def curate(candidates: DataFrame, text: str, stratum: str, pos: str, shares: Seq
     unique = curation.exact_dedup(keyed, F.col("_key"), pos).drop("_key", "group_rows")
     accepted = curation.greedy_accept(unique, curation.near_duplicate_edges(unique, text, pos), pos).where("accepted")
     kept = unique.join(accepted.select(F.col("pos").alias(pos)), pos, "left_semi")
-    split = curation.stratified_split(kept, stratum, F.col(pos), shares, seed).where("split is not null")
-    place = F.row_number().over(curation.Window.partitionBy("split").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(pos).cast("string"))), pos))
-    out = split.withColumn("record_id", F.concat(F.col("split"), F.format_string("_%04d", place))).drop("split_rank")
+    split = curation.stratified_split(kept, stratum, F.col(pos), shares, seed).where("split is not null").drop("split_rank")
+    placed = ordinals.ranked(split, curation.seeded_order(seed, F.col(pos)), "_place", ["split"])
+    out = placed.withColumn("record_id", F.concat(F.col("split"), F.format_string("_%04d", "_place"))).drop("_place")
     counts = own.where("_issue is not null").groupBy(F.col("_issue").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
     for reason, left, right in (("exact_duplicate", keyed, unique), ("near_duplicate", unique, kept)):
         counts = counts.unionByName(left.agg(F.count(F.lit(1)).alias("l")).crossJoin(right.agg(F.count(F.lit(1)).alias("r"))).select(F.lit(reason).alias("reason"), (F.col("l") - F.col("r")).alias("n")))

@@ -8,12 +8,12 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import pairs, preparation
+from tessera.operators import ordinals, pairs, preparation
 from tessera.streaming import logs
 
 
 def test_places_over_several_ranges(spark, monkeypatch):
-    monkeypatch.setattr(preparation, "RANGE", 40)
+    monkeypatch.setattr(ordinals, "RANGE", 40)
     df = spark.range(500).selectExpr("id", "pmod(hash(id), 7) as k").repartition(5)
     got = {r["place"]: (r["k"], r["id"]) for r in preparation.placed(df, ["k", "id"]).collect()}
     assert [got[i] for i in range(1, 501)] == sorted(got.values())
