@@ -13,7 +13,7 @@ from ..functions import pandas_text as P
 from ..functions import text as T
 from ..operators import contracts, evaluation, isolation, preparation, reports, reviews, rows
 from ..sources import loaders, publication, records, sinks
-from ..sources.scratch import scratch_dir
+from ..sources.scratch import materialise, scratch_dir
 from ..streaming import logs
 from . import bindings as B
 from .bindings import drawn_sql as drawn
@@ -62,17 +62,18 @@ def q_jsonl_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_jsonl(spark, _lines(c, raw, scratch_dir(spark, "lenient")), "conv_id long, turn long, role string", strict=False).drop("file")
 
 
-@query("SELECT * FROM (VALUES ('empty', 0::BIGINT), ('error', 1::BIGINT)) AS v(mode, n)")
+@query("SELECT unnest(['there', 'empty', 'error']) AS mode, unnest([count(*), 0, 1])::BIGINT AS n, unnest([coalesce(sum(doc_id), 0), 0, 0])::BIGINT AS ids FROM documents")
 def q_jsonl_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A path that isn't there: no rows, or an error."""
-    path = scratch_dir(spark, "not-there")
-    n = records.read_jsonl(spark, path, "a string", missing="empty").count()
+    """The documents as JSON lines, and a path beside them that isn't there: no rows, or an error."""
+    root = scratch_dir(spark, "not-there")
+    sinks.write_jsonl(B.table(spark, sf_dir, "documents").select("doc_id", "text"), f"{root}/there")
+    facts = lambda path, mode: records.read_jsonl(spark, path, "doc_id long, text string", missing="empty").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("doc_id"), F.lit(0)).alias("ids")).select(F.lit(mode).alias("mode"), "n", "ids")
     failed = 0
     try:
-        records.read_jsonl(spark, path, "a string").count()
+        records.read_jsonl(spark, f"{root}/elsewhere", "doc_id long").count()
     except Exception:  # noqa: BLE001  the kind of error is the store's
         failed = 1
-    return spark.createDataFrame([("empty", n), ("error", failed)], "mode string, n long")
+    return facts(f"{root}/there", "there").unionByName(facts(f"{root}/elsewhere", "empty")).unionByName(spark.createDataFrame([("error", failed, 0)], "mode string, n long, ids long"))
 
 
 @query("SELECT 'regions' AS name, count(*) AS n, string_agg(r_name, ',' ORDER BY r_regionkey) AS listed FROM region")
@@ -647,11 +648,13 @@ def q_packet_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.table(spark, sf_dir, "nation").select("n_nationkey", d.alias("d")).select("n_nationkey", "d.title", F.array_join("d.severe_codes", ",").alias("codes"))
 
 
-@query("SELECT 'manifest' AS name, sha256('{\"filters\":[\"exact\",\"near\"],\"near_duplicates\":{\"ratio\":0.88},\"quotas\":{\"dev\":5,\"train\":20},\"seed\":7}') AS digest UNION ALL SELECT 'reward', sha256('{\"codes\":[\"a\"],\"constants\":{\"base\":-12.0},\"score\":\"(1 - v) / (1 + v)\",\"weights\":{\"style\":1.0}}')")
+@query("""WITH n AS (SELECT count(*) AS n, count(*) FILTER (n_chars > 1000) AS long FROM documents) SELECT 'manifest' AS name, sha256('{"filters":["exact","near"],"near_duplicates":{"ratio":0.88},"quotas":{"dev":' || long || ',"train":' || n || '},"seed":7}') AS digest FROM n
+  UNION ALL SELECT 'reward', sha256('{"codes":["a"],"constants":{"base":-' || n || '.0},"score":"(1 - v) / (1 + v)","weights":{"style":1.0}}') FROM n""")
 def q_record_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of a run's manifest and of a reward's definition, as canonical JSON."""
-    docs = {"manifest": preparation.run_manifest({"train": 20, "dev": 5}, {"ratio": 0.88}, ["exact", "near"], 7), "reward": preparation.reward_spec({"style": 1.0}, {"base": -12.0}, ["a"])}
-    raw = spark.createDataFrame([(n, preparation.canonical_json(d)) for n, d in docs.items()], "name string, raw string")
+    """Digests, as canonical JSON, of a run's manifest that asks for as many rows as there are documents and long ones, and of a reward's definition with their number."""
+    n = B.table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_chars") > 1000).alias("long")).first()  # one row
+    docs = {"manifest": preparation.run_manifest({"train": n["n"], "dev": n["long"]}, {"ratio": 0.88}, ["exact", "near"], 7), "reward": preparation.reward_spec({"style": 1.0}, {"base": -float(n["n"])}, ["a"])}
+    raw = spark.createDataFrame([(k, preparation.canonical_json(d)) for k, d in docs.items()], "name string, raw string")
     return raw.select("name", F.sha2("raw", 256).alias("digest"))
 
 
@@ -834,18 +837,55 @@ def q_sequential_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.concat("lang", F.substring("record_id", 2, 100)).alias("record_id"))
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 <> 0 THEN upper(n_name) END AS response, 1 AS attempts, CASE WHEN n_nationkey % 3 = 0 THEN 'ValueError: refused ' || n_nationkey END AS error FROM nation")
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN CAST(length(coalesce(text, '')) AS VARCHAR) END AS response, CASE doc_id % 5 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS attempts,
+  CASE WHEN doc_id % 5 = 0 THEN 'ValueError: refused ' || doc_id END AS error FROM documents""")
 def q_external_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers of an external function, and the errors of what it refuses."""
+    """Answers of an external function over whole texts: some come at the second attempt, some never; all are logged."""
+    tried: dict[str, int] = {}
 
     def ask(text: str) -> str:
-        number, _, name = text.partition(":")
-        if int(number) % 3 == 0:
+        number, _, own = text.partition(":")
+        tried[number] = tried.get(number, 0) + 1
+        if int(number) % 5 == 0 or int(number) % 5 == 1 and tried[number] < 2:
             raise ValueError(f"refused {number}")
-        return name.upper()
+        return str(len(own))
 
-    n = B.table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.col("n_nationkey").cast("string"), F.lit(":"), "n_name").alias("t"))
-    return logs.call_external(n, "t", ask, attempts=1).drop("t")
+    d = B.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.coalesce("text", F.lit(""))).alias("t"))
+    called = logs.call_external(d, "t", ask, attempts=3, at_once=4, waits=(0.001,), executor_limit=8).drop("t")
+    log = scratch_dir(spark, "calls")
+    try:
+        return logs.logged_calls(called, log)
+    except logs.CallsFailed:
+        return spark.read.schema(called.schema).parquet(log)
+
+
+@query("SELECT doc_id, length(coalesce(text, '')) AS n FROM documents")
+def q_processed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are worked off in portions; the run is killed in its second one, and the next goes on."""
+    plan, out = B.table(spark, sf_dir, "documents").select("doc_id", "text"), scratch_dir(spark, "items")
+    portion, tries = plan.count() // 3 + 1, []
+
+    def work(rows_: DataFrame) -> DataFrame:
+        tries.append(1)
+        if len(tries) == 2:
+            raise InterruptedError("on purpose")
+        return rows_.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).alias("n"))
+
+    try:
+        logs.process_items(plan, "doc_id", work, out, portion)
+    except InterruptedError:
+        logs.process_items(plan, "doc_id", work, out, portion)
+    return logs.processed(spark, out)
+
+
+@query("""WITH e AS (SELECT user_id, event_id, ['running', 'review', 'passed', 'failed'][event_id % 4 + 1] AS status FROM events), b AS (SELECT *, lag(status) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM e)
+  SELECT user_id, event_id, before, status, CASE WHEN before IS NOT NULL AND NOT coalesce(status IN ('review', 'failed') AND before = 'running' OR status IN ('passed', 'failed') AND before = 'review', false) THEN 'transition' END AS issue FROM b""")
+def q_status_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event's status beside the one before it, from a stream that keeps one row of state for a user."""
+    status = F.element_at(F.array(*map(F.lit, ("running", "review", "passed", "failed"))), (F.col("event_id") % 4 + 1).cast("int"))
+    events = logs.read_stream(spark, sf_dir, "events").select("user_id", "event_id", status.alias("status"), "ts")
+    steps = logs.status_machine(events, "user_id", "status", "event_id", "ts", {"running": ("review", "failed"), "review": ("passed", "failed")}, "36500 days", "36500 days")
+    return logs.drain(steps, "append", "status-machine")
 
 
 @query("""WITH a AS (SELECT n_nationkey AS id, n_name AS u FROM nation WHERE n_nationkey < 10), b AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey % 4 = 0 THEN 'x' || n_nationkey ELSE n_name END AS u FROM nation WHERE n_nationkey BETWEEN 7 AND 14)
@@ -917,17 +957,19 @@ def q_distinct_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.repeated_answers(B.table(spark, sf_dir, "documents").where("text is not null"), "source", F.col("text"))
 
 
-@query("SELECT unnest(range(3, 61, 3))::VARCHAR AS taken")
+@query("SELECT doc_id AS taken FROM documents WHERE n_chars % 3 = 0 ORDER BY doc_id LIMIT 20")
 def q_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is taken from a generator that is asked for more than is wanted, and then for what is missing."""
+    """The first twenty documents that a test accepts, from a source that is asked for more than is wanted, and then for what is missing."""
+    docs = materialise(preparation.placed(B.table(spark, sf_dir, "documents").select("doc_id", "n_chars"), ["doc_id"]), "backfill")
     state = {"at": 0}
 
     def ask(n: int) -> list[str]:
         state["at"] += n
-        return [str(i) for i in range(state["at"] - n + 1, state["at"] + 1)]
+        got = docs.where(F.col("place").between(state["at"] - n + 1, state["at"])).orderBy("place").collect()  # n rows, 25 at most
+        return [f"{r['doc_id']} {r['n_chars']}" for r in got]
 
-    taken = reports.backfill(20, ask, lambda new, limit: [x for x in new if int(x) % 3 == 0][:limit])
-    return spark.createDataFrame([(x,) for x in taken], "taken string")
+    taken = reports.backfill(20, ask, lambda new, limit: [x for x in new if int(x.split()[1]) % 3 == 0][:limit], max_empty=50)
+    return spark.createDataFrame([(int(x.split()[0]),) for x in taken], "taken long")
 
 
 @query("SELECT a.n_nationkey AS left_id, a.n_nationkey AS right_id FROM nation a WHERE n_nationkey % 2 = 0")
@@ -948,17 +990,19 @@ def q_env_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.env_pairs(spark.read.text(path))
 
 
-@query("SELECT unnest(['logs/a.log', 'note.txt']) AS removed, 2::BIGINT AS kept, true AS stopped")
+@query("SELECT lang, count(*) AS n, count(DISTINCT doc_id) AS ids, true AS stopped FROM documents WHERE lang IN ('de', 'en') GROUP BY lang")
 def q_pruned_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extras that are removed from a run's folder; an unknown file stops it."""
+    """The documents in folders by language, of which two are a run's and the others are removed as extras; a file that is neither stops it first."""
     root = scratch_dir(spark, "run")
-    for name in ("meta.json", "rows/part.jsonl", "logs/a.log", "note.txt"):
-        sinks.put_bytes(spark, f"{root}/{name}", b"x")
+    B.table(spark, sf_dir, "documents").select("doc_id", "text", "lang").write.partitionBy("lang").json(root)
+    files = sorted(r["path"].rpartition(f"{root.rpartition('/')[2]}/")[2] for r in records.file_facts(spark, root, recursive=True).select("path").collect())  # names of files
+    mine = ["_SUCCESS", *(f for f in files if f.startswith(("lang=de/", "lang=en/")))]
+    extras = [f for f in files if f not in mine] + ["gone.txt"]
     stopped = False
     try:
-        sinks.prune(spark, root, ["meta.json"], ["note.txt"])
+        sinks.prune(spark, root, mine[1:], extras)
     except ValueError:
         stopped = True
-    gone = sinks.prune(spark, root, ["meta.json", "rows/part.jsonl"], ["logs/a.log", "note.txt", "gone.txt"])
-    kept = records.file_facts(spark, root, recursive=True).count()
-    return spark.createDataFrame([(g, kept, stopped) for g in gone], "removed string, kept long, stopped boolean")
+    sinks.prune(spark, root, mine, extras)
+    left = spark.read.schema("doc_id long, text string, lang string").json(root)
+    return left.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids")).withColumn("stopped", F.lit(stopped))

@@ -1,12 +1,18 @@
-"""Reward logs as streams: append, running statistics, dedup across batches, resumable runs, retried calls."""
+"""Reward logs as streams: append, running statistics, dedup across batches, a status machine with expiry, resumable runs and items, retried calls under one limit."""
 
 from __future__ import annotations
 
+import fcntl
 import hashlib
 import json
+import os
+import random
+import tempfile
 import time
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
@@ -15,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
+from ..operators import ordinals
+from ..sources.publication import Store
 from ..sources.scratch import shared_dir
 
 
@@ -29,13 +37,14 @@ def append_log(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.format("json").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(out)
 
 
-def drain(stream: DataFrame, mode: str, label: str) -> DataFrame:
+def drain(stream: DataFrame, mode: str, label: str, root: str | None = None) -> DataFrame:
     """Run a stream over what is available and return what it leaves: the last state in mode 'complete', all rows in mode 'append'.
 
-    Each batch is written under its own number, so a batch that is run again after a failure replaces what it wrote before.
+    Each batch is written under its own number, so a batch that is run again after a failure replaces what it wrote before. With the ``root`` of a run that was
+    killed, its checkpoint goes on where it stopped.
     """
     spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{label}-{time.time_ns()}"
+    root = root or f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{label}-{time.time_ns()}"
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
@@ -91,6 +100,69 @@ def status_issues(events: DataFrame, run: str, status: str, order: str, allowed:
     return own.where(F.col("before").isNotNull() & ~F.coalesce(F.array_contains(F.try_element_at(known, F.col("before")), F.col(status)), F.lit(False)))
 
 
+def status_machine(stream: DataFrame, run: str, status: str, order: str, at: str, allowed: Mapping[str, Sequence[str]], lateness: str, idle: str) -> DataFrame:
+    """A stream of status events as one of steps: rows (run, order, before, status, issue), one for each event and one for each run that falls silent.
+
+    State is one row a run: its last status, its place and time. The issue is ``transition`` where a status may not follow the one before, ``late`` for an event that comes after one of a higher
+    place (it changes nothing), ``expired`` for a run without an event for ``idle`` of event time, whose state then goes (its row has no order). A run begins with any status, and anew
+    after it expired. Events that are behind the latest of the batches before by more than ``lateness`` are dropped.
+    """
+    types = dict(stream.dtypes)
+    own = stream.select(run, status, order, F.col(at).cast("timestamp").alias("_at")).withWatermark("_at", lateness)
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+    follows = {k: set(v) for k, v in allowed.items()}
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            before, _, _ = state.get
+            state.remove()
+            yield pd.DataFrame({run: [key[0]], order: pd.array([None], "Int64"), "before": [before], status: [before], "issue": ["expired"]})
+            return
+        before, last, seen = state.get if state.exists else (None, None, 0)
+        rows = []
+        for _, name, place, when in pd.concat(batches)[[run, status, order, "_at"]].sort_values([order, "_at"], kind="stable").itertuples(index=False):
+            if last is not None and place <= last:
+                rows.append((place, before, name, "late"))
+                continue
+            rows.append((place, before, name, "transition" if before is not None and name not in follows.get(before, ()) else None))
+            before, last, seen = name, int(place), max(seen, int(when.timestamp() * 1000))
+        if last is not None:
+            state.update((before, last, seen))
+            state.setTimeoutTimestamp(max(seen + wait, state.getCurrentWatermarkMs() + 1))
+        out = pd.DataFrame(rows, columns=[order, "before", status, "issue"])
+        out.insert(0, run, key[0])
+        yield out.astype({order: "Int64"})
+
+    schema = f"`{run}` {types[run]}, `{order}` long, before string, `{status}` string, issue string"
+    return own.groupBy(run).applyInPandasWithState(step, schema, "before string, last long, seen long", "append", "EventTimeTimeout")
+
+
+def process_items(plan: DataFrame, ident: str, work: Callable[[DataFrame], DataFrame], out: str, portion: int) -> int:
+    """``work`` over the rows of a plan in portions, each committed by one rename, in the order of ``ident``; returns how many portions this run did.
+
+    A portion is written aside, then renamed to its place, which names it done. A run that is killed leaves whole portions only, and the next one goes on with the plan's rows that aren't
+    among them, so each row is worked off and kept once. ``work`` must keep the column ``ident``.
+    """
+    spark = plan.sparkSession
+    store = Store(spark, out)
+    done = [n for n in store.names("") if n.startswith("portion-")]
+    rest = plan
+    if done:
+        rest = plan.join(spark.read.parquet(*(f"{out}/{n}" for n in done)).select(ident), ident, "left_anti")
+    placed = ordinals.ranked(rest, [F.col(ident)], "_place").withColumn("_portion", F.floor((F.col("_place") - 1) / portion))
+    portions = placed.agg(F.max("_portion")).first()[0]
+    for n in range(0 if portions is None else portions + 1):
+        name = f"{len(done) + n:08d}-{uuid.uuid4().hex}"
+        work(placed.where(F.col("_portion") == n).drop("_place", "_portion")).write.parquet(f"{out}/.aside-{name}")
+        store.rename(f".aside-{name}", f"portion-{name}")
+    return 0 if portions is None else portions + 1
+
+
+def processed(spark: SparkSession, out: str) -> DataFrame:
+    """The rows of all committed portions."""
+    return spark.read.parquet(f"{out}/portion-*")
+
+
 def stream_lines(spark: SparkSession, path: str) -> DataFrame:
     """The lines of a folder of log files as a stream."""
     return spark.readStream.format("text").load(path)
@@ -112,14 +184,43 @@ def retried(call: Callable[[Any], Any], attempts: int = 3, waits: tuple[float, .
     return run
 
 
-def call_external(rows: DataFrame, text: str, call: Callable[[str], str], out: str = "response", attempts: int = 3, at_once: int = 1) -> DataFrame:
+@contextmanager
+def slot(group: str, limit: int, pause: float = 0.01) -> Iterator[None]:
+    """One of ``limit`` places of an executor, shared by all its Python workers: a lock on one of so many empty files in its own temporary folder.
+
+    The system gives a lock back when its holder ends, however it ends. The files hold no data and are nobody else's business.
+    """
+    folder = os.path.join(tempfile.gettempdir(), f"tessera-slots-{os.getuid()}-{hashlib.sha256(f'{os.getcwd()}:{group}'.encode()).hexdigest()[:16]}")
+    os.makedirs(folder, exist_ok=True)
+    while True:
+        for n in random.sample(range(limit), limit):
+            with open(os.path.join(folder, str(n)), "w") as place:
+                try:
+                    fcntl.flock(place, fcntl.LOCK_EX | fcntl.LOCK_NB)
+                except BlockingIOError:
+                    continue
+                yield
+                return
+        time.sleep(pause)
+
+
+def call_external(
+    rows: DataFrame, text: str, call: Callable[[str], str], out: str = "response", attempts: int = 3, at_once: int = 1, waits: tuple[float, ...] = (1.0, 2.0), executor_limit: int | None = None, group: str = "calls"
+) -> DataFrame:
     """``rows`` with what an external function answers to a text, the attempts and the last error; the function is the plug-in for models and judges.
 
-    A task has at most ``at_once`` calls under way.
+    A task has at most ``at_once`` calls under way, and all tasks of an executor together at most ``executor_limit`` of one ``group``. A call that fails is tried again after ``waits``, while its
+    place is free for others.
     """
 
+    def limited(item: Any) -> Any:
+        if executor_limit is None:
+            return call(item)
+        with slot(group, executor_limit):
+            return call(item)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ask = retried(call, attempts)
+        ask = retried(limited, attempts, waits)
         for pdf in batches:
             with ThreadPoolExecutor(at_once) as pool:
                 got = list(pool.map(ask, pdf[text]))
@@ -129,6 +230,20 @@ def call_external(rows: DataFrame, text: str, call: Callable[[str], str], out: s
     return rows.mapInPandas(run, f"{fields}, `{out}` string, attempts int, error string")
 
 
+class CallsFailed(RuntimeError):
+    """Some calls had no answer; all rows are in the log all the same."""
+
+
+def logged_calls(called: DataFrame, log: str) -> DataFrame:
+    """The rows of ``call_external``, from a log that is written whole before the first error is raised: so no answer that was paid for is lost to another row's failure."""
+    called.write.mode("errorifexists").parquet(log)
+    rows = called.sparkSession.read.schema(called.schema).parquet(log)
+    bad = rows.where("error is not null").agg(F.count(F.lit(1)).alias("n"), F.min("error").alias("first")).first()
+    if bad["n"]:
+        raise CallsFailed(f"{bad['n']} calls failed, such as: {bad['first']} (all rows are in {log})")
+    return rows
+
+
 def generate(prompts: DataFrame, ident: str, text: str, k: int, make: Callable[[str, int], str] | None = None) -> DataFrame:
     """K candidates to each prompt (prompt, candidate_index, raw). Without a generator a fixed one that turns the prompt's words."""
     make = make or (lambda t, i: " ".join(t.split()[i:] + t.split()[:i]))
