@@ -4,20 +4,39 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
-from functools import lru_cache
+from dataclasses import dataclass
+from functools import lru_cache, reduce
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types
 from pyspark.sql.window import Window
 
 from ..functions import pandas_text as P
 from ..functions import text as T
 from ..functions.profiles import DRIVER, RuleProfile
+from ..sources.scratch import materialise
 from . import curation, evaluation, ordinals, pairs, rows
 
 
+#: Ranges that a pass with a limit doubles through, at most.
+PORTIONS = 12
+
+
+@dataclass(frozen=True)
+class ChatTemplate:
+    """What stands before a role, between role and content, and after the content; and the role that answers."""
+
+    before: str = "<|im_start|>"
+    between: str = "\n"
+    after: str = "<|im_end|>\n"
+    answer: str = "assistant"
+
+
+CHAT = ChatTemplate()
+
 # --- joins ------------------------------------------------------------------------------------------
 
 
@@ -71,11 +90,30 @@ def placed(data: DataFrame, order: Sequence[str]) -> DataFrame:
 
 
 def first_accepted(data: DataFrame, accepted: Column, order: str, limit: int) -> tuple[DataFrame, DataFrame]:
-    """What a pass in order that stops at ``limit`` accepted rows takes, and one row of what it has seen: (accepted, refused)."""
-    taken = data.where(accepted).orderBy(order).limit(limit)
-    end = taken.agg(F.max(order).alias("_end"), F.count(F.lit(1)).alias("_n"))
-    seen = data.crossJoin(F.broadcast(end)).where((F.col("_n") < limit) | (F.col(order) <= F.col("_end")))  # one row
-    return taken, seen.agg(F.count_if(accepted).alias("accepted"), F.count_if(~F.coalesce(accepted, F.lit(False))).alias("refused"))
+    """What a pass in order that stops at ``limit`` accepted rows takes, and one row of what it has seen: (accepted, refused).
+
+    Rows are taken in ranges of the order, each as large as all before it, and the test is made in a range only if those before it didn't suffice: so it sees at most about twice the rows that the
+    pass sees, and a costly test, such as a call, isn't paid for the rest. The ranges come from quantiles of a number or time, for which one scan of that column is read; another kind of
+    order is one range. Nulls come first.
+    """
+    o, cuts = F.col(order), []
+    if isinstance(data.schema[order].dataType, (types.NumericType, types.DateType, types.TimestampType)):
+        cuts = sorted(set(data.agg(F.percentile_approx(order, [2.0**-k for k in range(PORTIONS, 0, -1)], 10_000)).first()[0] or []))
+    portions, n, low = [], 0, None
+    for cut in [*cuts, None]:
+        own = data if low is None else data.where(o > F.lit(low))
+        own = own if cut is None else own.where((o <= F.lit(cut)) | (o.isNull() if low is None else F.lit(False)))
+        tested = own.withColumn("_ok", F.coalesce(accepted, F.lit(False)))
+        portions.append(materialise(tested.select(o.alias("_o"), "_ok", F.when(F.col("_ok"), F.struct(*(F.col(f"`{c}`") for c in data.columns))).alias("_row")), "accepted"))
+        n += portions[-1].where("_ok").count()
+        if n >= limit:
+            break
+        low = cut
+    rows_ = reduce(DataFrame.unionByName, portions)
+    taken = rows_.where("_ok").orderBy("_o").limit(limit).select("_o", "_row")
+    end = taken.agg(F.max("_o").alias("_end"), F.count(F.lit(1)).alias("_n"))
+    seen = rows_.crossJoin(F.broadcast(end)).where((F.col("_n") < limit) | F.coalesce(F.col("_o") <= F.col("_end"), F.lit(True)))  # one row
+    return taken.select("_row.*"), seen.agg(F.count_if("_ok").alias("accepted"), F.count_if(~F.col("_ok")).alias("refused"))
 
 
 def quotas(categories: DataFrame, category: str, total: int) -> DataFrame:
@@ -165,6 +203,25 @@ def tokenizer_count(path: str):
     return run
 
 
+def chat_text(messages: Column, add_prompt: bool = False, template: ChatTemplate = CHAT) -> Column:
+    """Messages (role, content) as the one text that a model is trained on; with ``add_prompt`` it ends where an answer begins."""
+    body = F.array_join(F.transform(messages, lambda m: F.concat(F.lit(template.before), F.coalesce(m["role"], F.lit("")), F.lit(template.between), F.coalesce(m["content"], F.lit("")), F.lit(template.after))), "")
+    return F.concat(body, F.lit(template.before + template.answer + template.between)) if add_prompt else body
+
+
+def pair_lengths(pairs_: DataFrame, ident: str, messages: str, rejected: str, most: int, count, template: ChatTemplate = CHAT) -> DataFrame:
+    """Rows (ident, prompt_tokens, chosen_tokens, rejected_tokens, issue) of preference pairs: lengths of the rendered prompt and of it with either answer, and which of the two is over ``most``.
+
+    ``messages`` ends with the chosen answer, which ``rejected`` stands in for. ``count`` counts the tokens of a text column (tokenizer_count).
+    """
+    prompt = F.slice(messages, F.lit(1), F.greatest(F.size(messages) - 1, F.lit(0)))
+    other = F.concat(prompt, F.array(rows.message("assistant", F.col(rejected))))
+    own = pairs_.select(F.col(ident), chat_text(prompt, True, template).alias("_p"), chat_text(F.col(messages), False, template).alias("_c"), chat_text(other, False, template).alias("_r"))
+    counted = own.select(ident, count(F.col("_p")).alias("prompt_tokens"), count(F.col("_c")).alias("chosen_tokens"), count(F.col("_r")).alias("rejected_tokens"))
+    over = F.array_compact(F.array(*(F.when(F.col(f"{n}_tokens") > most, n) for n in ("chosen", "rejected"))))
+    return counted.withColumn("issue", F.when(F.size(over) > 0, F.array_join(over, ",")))
+
+
 def reward_rows(prompts: DataFrame, ident: str, user: str, system: str, exactly: int | None = None) -> DataFrame:
     """Rows of reward training (id, messages) from prompts whose ids and users are unique, ``exactly`` so many; else the query fails."""
     facts = prompts.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(ident).alias("ids"), F.count_distinct(T.collapse(F.col(user))).alias("users"), F.count_if(F.trim(user) == "").alias("blank"))

@@ -681,6 +681,16 @@ def q_length_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preparation.word_cap_issues(B.table(spark, sf_dir, "documents"), "doc_id", ["text"], 400)
 
 
+@query()
+def q_pair_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, by a chat template and a tokenizer file, of pairs whose answers are a whole document and its text in upper case, and which are over a cap."""
+    import public_tokenizers
+
+    d = B.table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    made = d.select("doc_id", F.array(rows.message("system", F.col("lang")), rows.message("user", F.col("source")), rows.message("assistant", F.col("text"))).alias("messages"), F.upper("text").alias("rejected"))
+    return preparation.pair_lengths(made, "doc_id", "messages", "rejected", 1024, preparation.tokenizer_count(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 @query("SELECT conv_id * 100 + turn AS id, md5('system:s|user:' || conv_id || '-' || turn) AS digest FROM conversations WHERE role = 'user'")
 def q_reward_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of reward training from prompts that keep their contract."""

@@ -27,6 +27,46 @@ def test_a_pass_that_stops_early_and_one_that_doesnt(spark):
     assert preparation.first_accepted(df, F.lit(False), "n", 5)[1].first().asDict() == {"accepted": 0, "refused": 100}
 
 
+def test_ranges_behind_the_limit_are_not_tested(spark, tmp_path):
+    """The test writes down what it sees."""
+    seen = tmp_path / "seen"
+    seen.touch()
+
+    @F.udf("boolean")
+    def costly(n):
+        with open(seen, "a") as f:
+            f.write(f"{n}\n")
+        return n % 10 == 0
+
+    df = spark.range(20_000).select(F.col("id").alias("n"), F.lit("x").alias("c")).repartition(3)
+    taken, counts = preparation.first_accepted(df, costly("n"), "n", 20)
+    assert sorted(r["n"] for r in taken.collect()) == list(range(0, 200, 10)) and counts.first().asDict() == {"accepted": 20, "refused": 171}
+    tested = {int(x) for x in seen.read_text().split()}
+    assert max(tested) < 1000 and len(tested) < 1000
+    words = spark.createDataFrame([(w, i) for i, w in enumerate(["b", None, "a", "c"])], "w string, i int")
+    assert [r["w"] for r in preparation.first_accepted(words, F.col("i") >= 0, "w", 2)[0].collect()] == [None, "a"]
+    assert preparation.first_accepted(df.limit(0), F.lit(True), "n", 5)[1].first().asDict() == {"accepted": 0, "refused": 0}
+
+
+def test_pair_lengths_are_the_tokenizers_own(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    n = lambda text: len(tokenizer.encode(text, add_special_tokens=False).ids)
+    data = [(1, [("system", "Be brief."), ("user", "Größe? 日本"), ("assistant", "yes " * 40)], "no"), (2, [("user", ""), ("assistant", None)], "long " * 90), (3, [("assistant", "only an answer")], None)]
+    df = spark.createDataFrame(data, "i int, m array<struct<role:string,content:string>>, r string")
+    got = {r["i"]: r for r in preparation.pair_lengths(df, "i", "m", "r", 60, preparation.tokenizer_count(path)).collect()}
+    for i, messages, rejected in data:
+        text = lambda ms: "".join(f"<|im_start|>{r}\n{c or ''}<|im_end|>\n" for r, c in ms)
+        prompt = messages[:-1]
+        want = (n(text(prompt) + "<|im_start|>assistant\n"), n(text(messages)), n(text([*prompt, ("assistant", rejected)])))
+        assert (got[i]["prompt_tokens"], got[i]["chosen_tokens"], got[i]["rejected_tokens"]) == want
+    over = lambda r: ",".join(k for k in ("chosen", "rejected") if r[f"{k}_tokens"] > 60) or None
+    assert [got[i]["issue"] for i in (1, 2, 3)] == [over(got[i]) for i in (1, 2, 3)] == ["chosen", "rejected", None]
+
+
 def test_reward_rows_keep_their_contract(spark):
     good = spark.createDataFrame([(1, "a"), (2, "b")], "id long, user string")
     assert preparation.reward_rows(good, "id", "user", "s", 2).count() == 2
