@@ -64,7 +64,8 @@ def test_pair_lengths_are_the_tokenizers_own(spark):
         want = (n(text(prompt) + "<|im_start|>assistant\n"), n(text(messages)), n(text([*prompt, ("assistant", rejected)])))
         assert (got[i]["prompt_tokens"], got[i]["chosen_tokens"], got[i]["rejected_tokens"]) == want
     over = lambda r: ",".join(k for k in ("chosen", "rejected") if r[f"{k}_tokens"] > 60) or None
-    assert [got[i]["issue"] for i in (1, 2, 3)] == [over(got[i]) for i in (1, 2, 3)] == ["chosen", "rejected", None]
+    assert [got[i]["issue"] for i in (1, 2, 3)] == [over(got[i]) for i in (1, 2, 3)]
+    assert "chosen" in got[1]["issue"] and got[2]["issue"] == "rejected" and got[3]["issue"] is None
 
 
 def test_reward_rows_keep_their_contract(spark):
