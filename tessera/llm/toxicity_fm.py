@@ -7,8 +7,9 @@ The machine scores w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j with x_i = 1
 as an insult and a mention of a group can weigh more than both do apart. It is trained on a bounded sample of labelled rows by normalised
 gradient steps, both classes of equal weight. A step is shared among a text's terms by their evidence: a term's share grows with the square of its
 standardised excess among toxic texts, up to that of EVIDENCE, and is FLOOR at least, so that no term is left out of any pair. What is sent to
-the tasks is 2**HASH_BITS rows of FACTORS + 1 floats of 4 bytes, whatever the input. A last step fits a line in the margin (Platt's method, both classes of equal
-weight) on a part of the sample that the machine hasn't seen.
+the tasks is 2**HASH_BITS rows of FACTORS + 1 floats of 4 bytes, whatever the input. A last step fits a line in the margin (Platt's method, with
+the sample's own shares of the classes, so that a score is a probability) over the whole sample: each text's margin comes from a machine that has learnt the other half. The machine
+that scores has learnt all of it.
 
 Every text is scored whole, in memory linear in its distinct words. Nulls count as empty texts; a text without terms has the score of
 the bias. Without labels of both classes the score is the share of toxic labels with one added to each class. Equal texts have
@@ -35,8 +36,8 @@ HASH_BITS, FACTORS = 18, 8
 RATE, START, FLOOR, EVIDENCE = 2.0, 0.1, 0.005, 12.0
 #: Steps of training, as far as between the first and the last number of passes over the sample allow it.
 STEPS, PASSES = 40_000, (8, 60)
-#: One in so many sampled texts fits the scores to probabilities.
-CALIBRATION = 5
+#: Parts of the sample; the margins that fit the scores to probabilities come from machines that haven't seen the text's part.
+FOLDS = 2
 STEMS = (4, 5, 6)
 
 
@@ -84,15 +85,20 @@ class Model:
         self.prior = float((y.sum() + 1) / (len(y) + 2))
         self.slope, self.shift = 1.0, 0.0
         self.bias, self.weight, self.factor = 0.0, np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32)
-        last = np.arange(len(y)) % CALIBRATION == CALIBRATION - 1
-        self.trained = all((y[part] == k).any() for part in (last, ~last) for k in (0, 1)) if len(y) else False
+        fold = np.zeros(len(y), int)  # every class is dealt in turn
+        for k in (0, 1):
+            fold[y == k] = np.arange((y == k).sum()) % FOLDS
+        self.trained = all((y == k).sum() >= FOLDS for k in (0, 1))
         if self.trained:
             terms = Terms()
             rows = [terms(t) for t in texts]
-            own = np.flatnonzero(~last)
-            self._fit([rows[i] for i in own], y[own], seed)
-            rest = np.flatnonzero(last)
-            self._calibrate(np.array([self.margin(rows[i]) for i in rest]), y[rest])
+            margins = np.zeros(len(y))
+            for f in range(FOLDS):
+                own, rest = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+                self._fit([rows[i] for i in own], y[own], seed, STEPS // FOLDS)
+                margins[rest] = [self.margin(rows[i]) for i in rest]
+            self._fit(rows, y, seed, STEPS)
+            self._calibrate(margins, y)
 
     @staticmethod
     def _evidence(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -103,12 +109,12 @@ class Model:
         excess = np.abs(toxic - every * p) / np.sqrt(np.maximum(every, 1) * p * (1 - p) * np.maximum(1 - every / n, 1e-3))
         return np.clip((excess / EVIDENCE) ** 2, FLOOR, 1)
 
-    def _fit(self, rows: list[np.ndarray], y: np.ndarray, seed: int) -> None:
+    def _fit(self, rows: list[np.ndarray], y: np.ndarray, seed: int, steps: int) -> None:
         rng = np.random.default_rng(seed)
         share = self._evidence(rows, y)
         w, v, b = np.zeros(len(share)), rng.normal(0, START, (len(share), FACTORS)) * np.sqrt(share)[:, None], 0.0
         each = len(y) / (2 * np.bincount(y, minlength=2))
-        passes = int(np.clip(STEPS / len(y), *PASSES))
+        passes = int(np.clip(steps / len(y), *PASSES))
         for k in range(passes):
             rate = RATE / (1 + 3 * k / passes)
             for i in rng.permutation(len(rows)):
@@ -130,11 +136,10 @@ class Model:
         mean, spread = float(z.mean()), float(z.std()) or 1.0
         n = np.bincount(y, minlength=2)
         wanted = np.where(y == 1, (n[1] + 0.5) / (n[1] + 1), 0.5 / (n[0] + 1))
-        each = np.where(y == 1, n[0] / n[1], 1.0)
         a, c = np.stack([(z - mean) / spread, np.ones(len(z))], 1), np.array([1.0, 0.0])
         for _ in range(200):
             p = logistic(a @ c)
-            move = np.linalg.solve((a * (each * p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2), a.T @ (each * (p - wanted)) + 1e-3 * c)
+            move = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2), a.T @ (p - wanted) + 1e-3 * c)
             c = c - np.clip(move, -1, 1)
             if np.abs(move).max() < 1e-9:
                 break

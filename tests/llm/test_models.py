@@ -354,3 +354,44 @@ def test_mixing_odd_rows(spark):
     assert mixing.mix_documents(df).schema.simpleString() == df.schema.simpleString()
     mixing.mix_documents(df).collect()
     assert mixing.mixed(none(spark)).collect() == [] and mixing.mix_documents(none(spark)).collect() == []
+
+
+def test_margin_is_the_sum_over_all_pairs():
+    """The margin in linear time against bias, weights and a double loop over pairs; scores follow by the line."""
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(60)]
+    texts = [" ".join(rng.sample(words, 12)) + (" insult group" if i % 4 == 0 else rng.choice((" insult", " group", ""))) for i in range(200)]
+    model = toxicity_fm.Model(texts, [int(i % 4 == 0) for i in range(200)])
+    terms = toxicity_fm.Terms()
+    for text in [*texts[:10], "", "unknown words only", "insult group"]:
+        x = terms(text).tolist()
+        slow = model.bias + sum(float(model.weight[i]) for i in x)
+        slow += sum(float(model.factor[i].astype(float) @ model.factor[j].astype(float)) for n, i in enumerate(x) for j in x[n + 1 :])
+        assert abs(model.margin(terms(text)) - slow) < 1e-6
+        assert abs(model.score(terms(text)) - 1 / (1 + np.exp(-np.clip(model.slope * slow + model.shift, -30, 30)))) < 1e-6
+    assert model.score(terms("insult group")) > model.score(terms("insult")) and model.score(terms("insult group")) > model.score(terms("group"))
+    assert not toxicity_fm.Model(["a", "b"], [1, 1]).trained and not toxicity_fm.Model([], []).trained
+
+
+def test_quality_score_is_recomputed_naively(spark):
+    """Sizes with either dictionary, their difference for a byte, the logistic of a line in it: with plain zstandard, text by text."""
+    import zstandard
+
+    rng = random.Random(6)
+    good = [" ".join(rng.choice(["the", "house", "stands", "near", "a", "river"]) for _ in range(80)) for _ in range(60)]
+    bad = ["".join(rng.choice("xyzq#$% ") for _ in range(300)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(good + bad)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i, _ in rows], "doc_id long, quality int")
+    model = quality_zstd.train(docs, labels)
+    got = {r["id"]: r["score"] for r in quality_zstd.scored(docs, model).collect()}
+    for i, text in rows:
+        raw, sizes = text.encode(), []
+        for d in model.dictionaries:
+            kind = zstandard.DICT_TYPE_FULLDICT if d[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT
+            plain = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=kind), level=quality_zstd.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(len(plain.compress(raw)))
+        slope, shift = model.weights
+        assert abs(got[i] - 1 / (1 + np.exp(-(slope * (sizes[0] - sizes[1]) / len(raw) + shift)))) < 1e-9
+    again = {r["id"]: r["score"] for r in quality_zstd.scored(docs.repartition(5), model).collect()}
+    assert got == again and min(got[i] for i in range(60)) > 0.5 > max(got[i] for i in range(60, 120))
