@@ -29,10 +29,17 @@ def test_runs_and_repeats(spark, name):
 
 
 def test_native_queries_run_no_python(spark):
-    for name in ("q_inspect_flags", "q_quality_summary", "q_exact_dedup", "q_dup_pointer", "q_best_pairs", "q_contamination_ngrams", "q_action_spans"):
+    for name in ("q_exact_dedup", "q_dup_pointer", "q_best_pairs", "q_contamination_ngrams", "q_action_spans"):
         plan = queries.queries()[name](spark, SF)._jdf.queryExecution().toString()
         assert "EvalPython" not in plan and "CartesianProduct" not in plan, name
 
 
 def test_cli_lists(capsys):
     assert cli.main(["list"]) == 0 and "q_compare_gate" in capsys.readouterr().out
+
+
+def test_flags_take_one_arrow_pass(spark):
+    """The repeated-span rule is the only one that leaves the JVM, in Arrow batches."""
+    for name in ("q_inspect_flags", "q_quality_summary"):
+        plan = queries.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and "BatchEvalPython" not in plan and "CartesianProduct" not in plan, name
