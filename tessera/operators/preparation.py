@@ -17,10 +17,12 @@ from pyspark.sql.window import Window
 from ..functions import pandas_text as P
 from ..functions import text as T
 from ..functions.profiles import DRIVER, RuleProfile
-from ..sources.scratch import materialise
+from ..sources.scratch import materialise, short_batches
 from . import curation, evaluation, ordinals, pairs, rows
 
 
+#: Letters that a tokenizer encodes at once.
+AT_ONCE = 1 << 17
 #: Ranges that a pass with a limit doubles through, at most.
 PORTIONS = 12
 
@@ -194,11 +196,14 @@ def _tokenizer(path: str):
 
 
 def tokenizer_count(path: str):
-    """Token counts by a tokenizer file, for ``word_cap_issues``; each worker loads the file once."""
+    """Token counts by a tokenizer file, for ``word_cap_issues``; each worker loads the file once, and holds the encodings, of over 100 bytes a token, of AT_ONCE letters or one text."""
 
     @F.pandas_udf("long")
     def run(x: pd.Series) -> pd.Series:
-        return pd.Series([len(e.ids) for e in _tokenizer(path).encode_batch(x.fillna("").tolist(), add_special_tokens=False)])
+        texts = x.fillna("")
+        portion = (texts.str.len().cumsum() // AT_ONCE).to_numpy()
+        encoded = (_tokenizer(path).encode_batch_fast(list(own), add_special_tokens=False) for _, own in texts.groupby(portion))
+        return pd.Series([len(e.ids) for batch in encoded for e in batch], dtype="int64")
 
     return run
 
@@ -214,6 +219,7 @@ def pair_lengths(pairs_: DataFrame, ident: str, messages: str, rejected: str, mo
 
     ``messages`` ends with the chosen answer, which ``rejected`` stands in for. ``count`` counts the tokens of a text column (tokenizer_count).
     """
+    short_batches(pairs_.sparkSession, 500)
     prompt = F.slice(messages, F.lit(1), F.greatest(F.size(messages) - 1, F.lit(0)))
     other = F.concat(prompt, F.array(rows.message("assistant", F.col(rejected))))
     own = pairs_.select(F.col(ident), chat_text(prompt, True, template).alias("_p"), chat_text(F.col(messages), False, template).alias("_c"), chat_text(other, False, template).alias("_r"))

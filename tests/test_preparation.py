@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,28 @@ def test_pair_lengths_are_the_tokenizers_own(spark):
     assert "chosen" in got[1]["issue"] and got[2]["issue"] == "rejected" and got[3]["issue"] is None
 
 
+def test_few_texts_are_encoded_at_once(spark, monkeypatch):
+    """Encodings take far more memory than their texts."""
+    held = []
+
+    class Fake:
+        def encode_batch(self, texts, add_special_tokens):
+            held.append(texts)
+            return [type("Encoding", (), {"ids": [0] * len(t)}) for t in texts]
+
+        encode_batch_fast = encode_batch
+
+    monkeypatch.setattr(preparation, "_tokenizer", lambda path: Fake())
+    texts = ["x" * 2000] * 3000 + ["y" * 300_000, None, ""] + ["zz"] * 1000
+    got = preparation.tokenizer_count("p").func(pd.Series(texts))
+    assert got.tolist() == [len(t or "") for t in texts]
+    assert all(len(h) == 1 or sum(map(len, h)) <= 500_000 for h in held)
+    assert preparation.tokenizer_count("p").func(pd.Series([], dtype=object)).tolist() == []
+    df = spark.createDataFrame([(1, [("user", "a")], "b")], "i int, m array<struct<role:string,content:string>>, r string")
+    preparation.pair_lengths(df, "i", "m", "r", 60, preparation.tokenizer_count("p"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
+
+
 def test_reward_rows_keep_their_contract(spark):
     good = spark.createDataFrame([(1, "a"), (2, "b")], "id long, user string")
     assert preparation.reward_rows(good, "id", "user", "s", 2).count() == 2
