@@ -43,8 +43,8 @@ from .store import materialise, quoted, short_batches
 END_ID = 2
 #: Rows after which ORC begins a row group.
 ROW_STRIDE = 1000
-#: Pieces that a generation of a worker's cache holds (of about 140 bytes; there are two generations).
-CACHE_PIECES = 800_000
+#: Pieces that a generation of a worker's cache holds (of about 230 bytes; there are two generations).
+CACHE_PIECES = 600_000
 #: Text that is encoded at once.
 PORTION_BYTES = 4 << 20
 #: Characters of stable class beyond ASCII: the letters of Latin-1 and of the Latin extensions A and B.
@@ -276,6 +276,7 @@ def read_tokens(spark: SparkSession, path: str, ids: Sequence | None = None) ->
 
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hold("token-layout")  # the workers that encoded read next, and need their pieces no more
     for batch in batches:
         lists = batch.column("ids")
         flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])

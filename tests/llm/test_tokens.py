@@ -143,6 +143,20 @@ def test_encoder_equals_the_library(alphabet, monkeypatch):
         assert counts.tolist() == [len(w) for w in want] and (flat == np.concatenate(want)).all()
 
 
+def test_reading_drops_what_encoding_kept():
+    texts = pa.array(["one two three", "two words"])
+    e = token_orc.encoder(BPE)
+    flat, counts = e.encode(texts, 2)
+    assert e.later.new and e.first.new
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(flat.view(np.int32)))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([0, 0]), pa.array([0, 1]), lists], ["doc_id", "file", "place", "ids"])
+    (read,) = token_orc._digested(iter([batch]))
+    assert not (e.later.new or e.later.old or e.first.new or e.first.old)
+    assert read.column("ids_crc32").to_pylist() == [zlib.crc32(np.array(x, np.uint32).tobytes()) for x in lists.to_pylist()]
+    again, _ = token_orc.encoder(BPE).encode(texts, 2)
+    assert (again == flat).all()
+
+
 def test_token_files(spark, tmp_path):
     rows = [r for r in odd_rows() if r[0] is not None][:13]
     df = spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string").repartition(4)
