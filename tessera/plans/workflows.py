@@ -22,11 +22,14 @@ def curate(candidates: DataFrame, text: str, stratum: str, pos: str, shares: Seq
     good = own.where("_issue is null").drop("_issue")
     keyed = materialise(good.withColumn("_key", P.nfkc_key(text)).where("_key <> ''"), "curated")
     unique = curation.exact_dedup(keyed, F.col("_key"), pos).drop("_key", "group_rows")
+    unique = materialise(unique.withColumn("_row", F.monotonically_increasing_id()), "unique")
     accepted = curation.greedy_accept(unique, curation.near_duplicate_edges(unique, text, pos), pos).where("accepted")
     kept = unique.join(accepted.select(F.col("pos").alias(pos)), pos, "left_semi")
-    split = curation.stratified_split(kept, stratum, F.col(pos), shares, seed).where("split is not null").drop("split_rank")
+    # Ranks need no texts: only the rows of the splits get theirs back.
+    split = curation.stratified_split(kept.select(pos, stratum, "_row"), stratum, F.col(pos), shares, seed).where("split is not null").drop("split_rank")
     placed = ordinals.ranked(split, curation.seeded_order(seed, F.col(pos)), "_place", ["split"])
-    out = placed.withColumn("record_id", F.concat(F.col("split"), F.format_string("_%04d", "_place"))).drop("_place")
+    numbered = placed.select("_row", "split", F.concat(F.col("split"), F.format_string("_%04d", "_place")).alias("record_id"))
+    out = unique.join(numbered, "_row").drop("_row")
     counts = own.where("_issue is not null").groupBy(F.col("_issue").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
     for reason, left, right in (("exact_duplicate", keyed, unique), ("near_duplicate", unique, kept)):
         counts = counts.unionByName(left.agg(F.count(F.lit(1)).alias("l")).crossJoin(right.agg(F.count(F.lit(1)).alias("r"))).select(F.lit(reason).alias("reason"), (F.col("l") - F.col("r")).alias("n")))
