@@ -9,8 +9,8 @@ Reading: Spark splits files by stripe, so stripes are read in parallel; a filter
 prunes by file, stripe and row-group statistics and by Bloom filter.
 
 Encoding is the tokenizers library's. A byte-level BPE never joins characters across a single space that
-stands between two non-spaces, so a text is cut there and each piece's ids are looked up, in a cache that the
-library fills. Texts with other runs of white space around a space, with characters on whose class Unicode versions
+stands between two non-spaces, so a text is cut there. Arrow parts each distinct piece into letters and the marks after them, and the ids of
+either are looked up, in a cache that the library fills. Texts with other runs of white space around a space, with characters on whose class Unicode versions
 may differ, or with a special token's string, are encoded whole.
 
 Every row carries its place in its file, and a file its number in its name, so starts follow the files' own order.
@@ -28,7 +28,7 @@ import string
 import zlib
 from array import array
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -71,20 +71,21 @@ class Recent:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def lookup(self, keys: list[str]) -> list[bytes | None]:
-        return list(map(self.new.get, keys))
-
-    def fill(self, missing: set[str], make: Callable[[list[str]], list[bytes]]) -> None:
-        if len(self.new) > self.limit:
+    def lookup(self, keys: list[str], make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """What the mapping has for distinct keys; ``make`` gives what it doesn't."""
+        got: list = list(map(self.new.get, keys))
+        gaps = [i for i, g in enumerate(got) if g is None]
+        if gaps and len(self.new) > self.limit:
             self.old, self.new = self.new, {}
         unknown = []
-        for k in missing:
-            got = self.old.get(k)
-            if got is None:
-                unknown.append(k)
-            else:
-                self.new[k] = got
-        self.new.update(zip(unknown, make(unknown)))
+        for i in gaps:
+            got[i] = self.old.get(keys[i])
+            if got[i] is None:
+                unknown.append(i)
+        for i, made in zip(unknown, make([keys[i] for i in unknown]) if unknown else ()):
+            got[i] = made
+        self.new.update((keys[i], got[i]) for i in gaps)
+        return got
 
 
 class PieceEncoder:
@@ -100,9 +101,7 @@ class PieceEncoder:
         self.odd = "|".join([*_RUNS, " $", *special, _UNSURE])
         self.forget()
         self.model = self.tokenizer.model
-        self.marks: dict[str, bytes] = {}
         self.line_end = self._ids(["\n"])[0]
-        self.marks.update(zip(string.punctuation, self._ids(list(string.punctuation))))
 
     def forget(self) -> None:
         self.later, self.first = Recent(CACHE_PIECES), Recent(CACHE_PIECES // 10)
@@ -110,62 +109,20 @@ class PieceEncoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word(self, piece: str, lead: str, known: dict[str, bytes]) -> bytes | None:
-        """Ids of letters with marks after them, or None if the piece is something else.
-
-        A run of letters is one pre-token, and so are the marks after it: they go to the library's model as they are, in
-        its alphabet of bytes, without the cost of a whole encoding.
-        """
-        word = piece.rstrip(string.punctuation)
-        if not word.isalpha():
-            return None
-        ids = known.get(word) if len(word) < len(piece) else None
-        if ids is None:
-            own = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_ALPHABET)
-            ids = array("I", [t.id for t in self.model.tokenize(lead + own)]).tobytes()
-        if len(word) < len(piece):
-            end = piece[len(word) :]
-            if end not in self.marks:
-                self.marks[end] = self._ids([end])[0]
-            ids += self.marks[end]
-        return ids
-
-    def _solve(self, pieces: list[str], space: str) -> list[bytes]:
-        """Ids of pieces, each after a space or none. A line end between non-spaces is a pre-token of its own, so lines are solved apart."""
-        out, other = [b""] * len(pieces), []
-        lead, known, tokenize, mark = ("Ġ" if space else ""), (self.later if space else self.first).new, self.model.tokenize, self.marks.get
-        for i, p in enumerate(pieces):
-            # Most are a word, or a word and one mark.
-            word, tail = p, b""
-            if not p.isalpha():
-                word, tail = p[:-1], mark(p[-1:])
-            if tail is not None and word.isalpha():
-                ids = known.get(word) if tail else None
-                if ids is None:
-                    own = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_ALPHABET)
-                    ids = array("I", [t.id for t in tokenize(lead + own)]).tobytes()
-                out[i] = ids + tail if tail else ids
-                continue
-            lines = p.split("\n")
-            found = [self._word(lines[0], lead, known)] + [self._word(x, "", self.first.new) for x in lines[1:]]
-            if None in found:
-                other.append(i)
+    def _solve(self, keys: list[str], space: str) -> list[bytes]:
+        """Ids of keys, each after a space or none. A run of letters is one pre-token: it goes to the library's model as it is, in its alphabet of bytes, without the cost of a whole encoding."""
+        out, other = [b""] * len(keys), []
+        lead, tokenize = ("Ġ" if space else ""), self.model.tokenize
+        for i, key in enumerate(keys):
+            if key.isalpha():
+                own = key if key.isascii() else key.encode().decode("latin-1").translate(_BYTE_ALPHABET)
+                out[i] = array("I", [t.id for t in tokenize(lead + own)]).tobytes()
             else:
-                out[i] = self.line_end.join(found)
-        for i, ids in zip(other, self._ids([space + pieces[i] for i in other])):
+                other.append(i)
+        for i, ids in zip(other, self._ids([space + keys[i] for i in other])):
             out[i] = ids
         return out
 
-    @staticmethod
-    def _looked_up(cache: Recent, pieces: list[str], make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
-        got = cache.lookup(pieces)
-        if None in got:
-            gaps = [i for i, g in enumerate(got) if g is None]
-            cache.fill({pieces[i] for i in gaps}, make)
-            for i in gaps:
-                got[i] = cache.new[pieces[i]]
-        return got
-
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text's followed by ``end_id``, and the number of ids of each text.
 
@@ -187,30 +144,79 @@ class PieceEncoder:
         n = len(texts)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        cut = pc.split_pattern(texts, " ")
-        begin = cut.offsets.to_numpy()[:-1].astype(np.int64)
-        last = cut.offsets.to_numpy()[1:].astype(np.int64) - 1
-        pieces = cut.values.slice(begin[0], last[-1] + 1 - begin[0])
-        begin, last = begin - cut.offsets[0].as_py(), last - cut.offsets[0].as_py()
+        begin, pieces = _split(texts.cast(pa.string()), " ")
         numbered = pieces.dictionary_encode()
-        number = numbered.indices.to_numpy().copy()
-        later = self._looked_up(self.later, numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), lambda p: self._solve(p, " "))
-        first = self._looked_up(self.first, pieces.take(pa.array(begin)).to_pylist(), lambda p: self._solve(p, ""))
-        # A text's first piece has no space before it, its last one takes the end id along.
-        end = array("I", [end_id]).tobytes()
-        tails = [(first[i] if b == z else later[number[z]]) + end for i, (b, z) in enumerate(zip(begin.tolist(), last.tolist()))]
-        m = len(later)
-        number[begin] = m + np.arange(n, dtype=np.int32)
-        number[last] = m + n + np.arange(n, dtype=np.int32)
-        every = later + first + tails
-        size = np.fromiter(map(len, every), np.int32, len(every)) // 4
-        at = np.cumsum(size, dtype=np.int32) - size
-        flat = np.frombuffer(b"".join(every), np.uint32)
-        sizes = size[number]
-        upto = np.cumsum(sizes, dtype=np.int32)
-        place = np.repeat(at[number] - (upto - sizes), sizes)
-        place += np.arange(upto[-1], dtype=np.int32)
-        return flat[place], np.add.reduceat(sizes, begin)
+        number, m = numbered.indices.to_numpy().copy(), len(numbered.dictionary)
+        # A text's first piece has no space before it, and the end id comes after its last one.
+        flat, size = self._pieces(pa.concat_arrays([numbered.dictionary, pieces.take(pa.array(begin[:-1]))]), m)
+        number[begin[:-1]] = m + np.arange(n, dtype=np.int32)
+        number = np.insert(number, begin[1:], m + n)
+        out, sizes = _gathered(np.append(flat, np.uint32(end_id)), np.append(size, np.int32(1)), number)
+        return out, np.add.reduceat(sizes, begin[:-1] + np.arange(n))
+
+    def _pieces(self, pieces: pa.Array, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces, and the number of ids of each; the first ``m`` pieces follow a space.
+
+        Most pieces are letters, with marks after them or none, or lines of such. A line end between them is a pre-token of its own, and so are the letters and the marks,
+        so each distinct run of letters or marks is solved once, whatever stands beside it. Other pieces are solved as they are.
+        """
+        begin, lines = _split(pieces, "\n")
+        word = pc.utf8_rtrim(lines, characters=string.punctuation)
+        plain = np.logical_and.reduceat(pc.utf8_is_alpha(word).to_numpy(zero_copy_only=False), begin[:-1])
+        n_lines = np.diff(begin)
+        spaced, of_plain = np.zeros(len(lines), bool), np.repeat(plain, n_lines)
+        spaced[begin[:m]] = True
+        marks = _rests(lines, word)
+        marked = of_plain & (pc.binary_length(marks).to_numpy() > 0)
+        # Up to three numbers for each line: its letters, its marks, the line end after it.
+        rows = np.full((len(lines), 3), -1, np.int64)
+        every: list[bytes] = [self.line_end]
+        odd = np.flatnonzero(~plain)
+        for cache, space, later in ((self.later, " ", True), (self.first, "", False)):
+            runs, rest = np.flatnonzero(of_plain & (spaced == later)), odd[(odd < m) == later]
+            parts = [word.take(pa.array(runs)), pieces.take(pa.array(rest))] + ([] if later else [marks.take(pa.array(np.flatnonzero(marked)))])
+            keys = pa.concat_arrays(parts).dictionary_encode()
+            code = keys.indices.to_numpy() + len(every)
+            every += cache.lookup(keys.dictionary.to_numpy(zero_copy_only=False).tolist(), partial(self._solve, space=space))
+            rows[runs, 0], rows[begin[rest], 0] = code[: len(runs)], code[len(runs) : len(runs) + len(rest)]
+            if not later:
+                rows[marked, 1] = code[len(runs) + len(rest) :]
+        rows[of_plain, 2] = 0
+        rows[begin[1:] - 1, 2] = -1  # none after the last line
+        held = rows >= 0
+        flat, sizes = _gathered(np.frombuffer(b"".join(every), np.uint32), np.fromiter(map(len, every), np.int32, len(every)) // 4, rows[held])
+        by_line = np.zeros(rows.shape, np.int32)
+        by_line[held] = sizes
+        return flat, np.add.reduceat(by_line.sum(axis=1, dtype=np.int32), begin[:-1])
+
+
+def _split(texts: pa.Array, mark: str) -> tuple[np.ndarray, pa.Array]:
+    """The parts of all texts, and the place of each text's first part, with the number of parts at the end."""
+    cut = pc.split_pattern(texts, mark)
+    at = cut.offsets.to_numpy().astype(np.int64)
+    return at - at[0], cut.values.slice(at[0], at[-1] - at[0])
+
+
+def _rests(texts: pa.Array, heads: pa.Array) -> pa.Array:
+    """What follows each head in its text."""
+    taken = pc.binary_length(heads).to_numpy()
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    # Heads and rests in turn, over the texts' own bytes.
+    both = np.empty(2 * len(texts) + 1, np.int32)
+    both[0:-1:2], both[1::2], both[-1] = at[:-1], at[:-1] + taken, at[-1]
+    every = pa.StringArray.from_buffers(2 * len(texts), pa.py_buffer(both), data)
+    return every.take(pa.array(np.arange(1, 2 * len(texts), 2)))
+
+
+def _gathered(flat: np.ndarray, size: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of items by number, of which ``flat`` has the ids in turn and ``size`` how many; and how many each number took."""
+    begin = np.cumsum(size, dtype=np.int32) - size
+    sizes = size[number]
+    upto = np.cumsum(sizes, dtype=np.int32)
+    place = np.repeat(begin[number] - (upto - sizes), sizes)
+    place += np.arange(len(place), dtype=np.int32)
+    return flat[place], sizes
 
 
 @lru_cache

@@ -143,6 +143,18 @@ def test_encoder_equals_the_library(alphabet, monkeypatch):
         assert counts.tolist() == [len(w) for w in want] and (flat == np.concatenate(want)).all()
 
 
+def test_letters_are_solved_once_whatever_stands_beside_them():
+    texts = ["x word word. word, (word) word\nword.\nword! word?!", "word", "word. é1 word\n\nword", "", "."]
+    e = token_orc.PieceEncoder(BPE)
+    flat, counts = e.encode(pa.array(texts), 2)
+    want = plain(texts)
+    assert counts.tolist() == [len(w) for w in want] and (flat == np.concatenate(want)).all()
+    assert {k for k in e.later.new if "word" in k} == {"word", "(word)", "word\n\nword"} and {k for k in e.first.new if "word" in k} == {"word"}
+    for few in ([""], ["", ""], ["."]):
+        flat, counts = e.encode(pa.array(few), 2)
+        assert (flat == np.concatenate(plain(few))).all() and counts.sum() == len(flat)
+
+
 def test_reading_drops_what_encoding_kept():
     texts = pa.array(["one two three", "two words"])
     e = token_orc.encoder(BPE)
